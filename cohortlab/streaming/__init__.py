@@ -1,0 +1 @@
+"""Empty: the jobs in scope are batch jobs and hold no streaming state."""
