@@ -7,15 +7,18 @@ smaller one; a `salt` makes draws independent.
 
 No stratum is ever gathered or sorted. Counts per (stratum, key prefix) locate
 the prefix in which the k-th key lies; the rows of that one prefix give the
-k-th key itself; and the draw is then a filter `key <= cut` over the table,
-without moving a row. A prefix still too large to rank is refined by further
-digits first.
+k-th key itself, the cut; a prefix still too large to rank is refined by
+further digits first. These steps run when a draw is built and leave one small
+row per stratum. What is returned is a filter `key <= cut` over the table: a
+plan without a shuffle that can be used any number of times.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlab.constants import DEFAULT_SEED
@@ -87,83 +90,132 @@ def capacity_report(allocation: DataFrame, pool_counts: DataFrame, strata: list[
 # ---------------------------------------------------------------------- draw
 
 
-def _boundary(counts: DataFrame, needs: DataFrame, strata: list[str]) -> DataFrame:
-    """Per stratum the prefix that holds the k-th key, and how many keys of it
-    are wanted. At most 256 rows per stratum enter the window."""
-    order = Window.partitionBy(*map(col, strata)).orderBy("prefix")
-    placed = counts.join(needs, strata).withColumn("upto", F.sum("n").over(order))
-    hit = (F.col("need") <= F.col("upto")) & (F.col("need") > F.col("upto") - F.col("n"))
-    need = F.col("need") - (F.col("upto") - F.col("n"))
-    return placed.filter(hit).select(*map(col, strata), "prefix", need.alias("need"), "rankable")
+@dataclass(frozen=True)
+class KeyCounts:
+    """Rows per (stratum, key prefix): (*strata, prefix, n, rankable)."""
 
+    table: DataFrame
+    rows: pa.Table | None
 
-def _rows_at(keyed: DataFrame, boundary: DataFrame, strata: list[str], width: int) -> DataFrame:
-    return keyed.join(boundary, strata).filter(F.substring(_KEY, 1, width) == F.col("prefix"))
+    def by(self, *columns: str) -> DataFrame:
+        """(*columns, n): the same counts by stratum columns only."""
+        return self.table.groupBy(*map(col, columns)).agg(F.sum("n").alias("n"))
 
 
-def _cuts(
-    keyed: DataFrame, allocation: DataFrame, strata: list[str], id_cols: list[str], rank_rows: int, bounded: bool
-) -> DataFrame:
-    """(*strata, cut, cut_id): the k-th key of every stratum with k > 0.
+def _count_keys(keyed: DataFrame, strata: list[str], id_cols: list[str], width: int, rank_rows: int) -> KeyCounts:
+    id_hash = F.xxhash64(*map(col, id_cols))
+    one_id = F.min(id_hash) == F.max(id_hash)
+    return KeyCounts(*small_table(keyed.groupBy(*map(col, strata), F.substring(_KEY, 1, width).alias("prefix")).agg(
+        F.count("*").alias("n"), ((F.count("*") <= rank_rows) | one_id).alias("rankable")
+    )))
 
-    `bounded`: the allocation is known to be small. Boundaries and cuts have at
-    most one row per row of it, so they are then broadcast.
-    """
-    mark = F.broadcast if bounded else (lambda df: df)
-    this_id = F.struct(*map(col, id_cols))
 
-    def counted(rows: DataFrame, width: int) -> DataFrame:
-        id_hash = F.xxhash64(*map(col, id_cols))
-        one_id = F.min(id_hash) == F.max(id_hash)
-        return rows.groupBy(*map(col, strata), F.substring(_KEY, 1, width).alias("prefix")).agg(
-            F.count("*").alias("n"), ((F.count("*") <= rank_rows) | one_id).alias("rankable")
-        )
+def count_keys(
+    pool: DataFrame, strata: list[str], id_cols: str | list[str], seed: int | Column = DEFAULT_SEED,
+    salt: str | None = None, rank_rows: int = RANK_ROWS,
+) -> KeyCounts:
+    """The counts a draw starts from. Made beforehand, they also give the
+    stratum counts that an allocation needs, which saves a scan."""
+    ids = _listed(id_cols)
+    return _count_keys(pool.withColumn(_KEY, draw_key(ids, seed, salt)), strata, ids, _DIGITS, rank_rows)
 
-    width = _DIGITS
-    counts, rows = small_table(counted(keyed, width))
-    needs = allocation.filter(F.col("k") > 0).select(*map(col, strata), F.col("k").alias("need"))
-    sized = needs.join(counts.groupBy(*map(col, strata)).agg(F.sum("n").alias("size")), strata)
-    boundary = mark(_boundary(counts, sized.filter("need < size").drop("size"), strata))
-    done = rows is not None and all(rows["rankable"].to_pylist())
-    while not done and width < _MD5_LENGTH:
-        boundary, _ = small_table(boundary)
-        done = boundary.filter(~F.col("rankable")).isEmpty()
-        if not done:
-            inside = _rows_at(keyed, boundary, strata, width).select(keyed.columns)
-            width += _DIGITS
-            counts, _ = small_table(counted(inside, width))
-            boundary = mark(_boundary(counts, boundary.drop("prefix", "rankable"), strata))
-
-    # Copies of an id are counted, not sorted; only distinct ids are ranked.
-    near = _rows_at(keyed, boundary, strata, width)
-    ids = near.groupBy(*map(col, strata), _KEY, this_id.alias("cut_id"), "need").agg(F.count("*").alias("copies"))
-    order = Window.partitionBy(*map(col, strata)).orderBy(_KEY, "cut_id")
+
+def _listed(id_cols: str | list[str]) -> list[str]:
+    return [id_cols] if isinstance(id_cols, str) else id_cols
+
+
+def _boundary(counts: DataFrame, needs: DataFrame, strata: list[str]) -> DataFrame:
+    """One row per stratum: its size, the prefix in which the draw ends, and
+    how many keys of that prefix are wanted. A stratum's window holds at most
+    one row per prefix value, 256 in all."""
+    whole = Window.partitionBy(*map(col, strata))
+    n = F.coalesce("n", F.lit(0))
+    placed = needs.join(counts, strata, "left").withColumn("upto", F.sum(n).over(whole.orderBy("prefix")))
+    placed = placed.withColumn("size", F.sum(n).over(whole)).withColumn("ends", F.least("need", "size"))
+    here = (F.col("size") == 0) | ((F.col("ends") <= F.col("upto")) & (F.col("ends") > F.col("upto") - F.col("n")))
+    return placed.filter(here).select(
+        *map(col, strata), "need", "size", "prefix", (F.col("need") - F.col("upto") + F.col("n")).alias("rest"), "rankable"
+    )
+
+
+def _cut_keys(near: DataFrame, strata: list[str], id_cols: list[str]) -> DataFrame:
+    """(*strata, cut, _cut_0.., spare): the `rest`-th key, and its id, among
+    rows of the boundary prefixes. Copies of an id are counted, not sorted; `spare` copies
+    of the last id are left over if the draw ends among them."""
+    named = [col(c).alias(f"_cut_{i}") for i, c in enumerate(id_cols)]
+    cut_id = [f"_cut_{i}" for i in range(len(id_cols))]
+    ids = near.select(*map(col, strata), F.col(_KEY).alias("cut"), *named, "rest") \
+        .groupBy(*map(col, strata), "cut", *cut_id, "rest").agg(F.count("*").alias("copies"))
+    order = Window.partitionBy(*map(col, strata)).orderBy("cut", *cut_id)
     ranked = ids.withColumn("upto", F.sum("copies").over(order))
-    last = ranked.filter((F.col("need") <= F.col("upto")) & (F.col("need") > F.col("upto") - F.col("copies")))
-    error = F.raise_error(F.lit("a draw ends among copies of one id; name columns that make rows unique"))
-    cut = F.when(F.col("need") == F.col("upto"), F.col(_KEY)).otherwise(error.cast("string"))
-    inner = last.select(*map(col, strata), cut.alias("cut"), "cut_id")
-    all_of_it = sized.filter("need >= size").select(*map(col, strata), F.lit(_PAST_ALL).alias("cut"))
-    return mark(inner.unionByName(all_of_it, allowMissingColumns=True))
+    last = (F.col("rest") <= F.col("upto")) & (F.col("rest") > F.col("upto") - F.col("copies"))
+    spare = (F.col("upto") - F.col("rest")).alias("spare")
+    return ranked.filter(last).select(*map(col, strata), "cut", *cut_id, spare)
+
+
+def _complain(cuts: DataFrame, rows: pa.Table | None, condition: str, text: str, show: list[str]) -> None:
+    """Raise if rows of the cut table meet the condition. No job runs for a
+    table without any, if its rows are at hand."""
+    column = condition.split()[0]
+    if rows is not None and not any(rows[column].to_pylist()):
+        return
+    found = cuts.filter(condition).select(*map(col, show)).limit(20).collect()
+    if found:
+        raise ValueError(f"{text}: {[r.asDict() for r in found]}")
+
+
+def _find_cuts(
+    keyed: DataFrame, needs: DataFrame, counts: KeyCounts, strata: list[str], id_cols: list[str],
+    rank_rows: int, strict: bool,
+) -> DataFrame:
+    """(*strata, cut, _cut_0..) of every stratum that gives rows."""
+    bounded = counts.rows is not None
+    boundary = _boundary(counts.table, needs, strata)
+    fits = bounded and all(counts.rows["rankable"].to_pylist())
+    if not fits:
+        boundary, _ = small_table(boundary)
+    open_ends = boundary.filter("need < size").select(*map(col, strata), "prefix", "rest", "rankable")
+    width = _DIGITS
+
+    def at_boundary() -> DataFrame:
+        # At most one row per stratum, so the checked counts bound these too.
+        inside = keyed.join(F.broadcast(open_ends) if bounded else open_ends, strata)
+        return inside.filter(F.substring(_KEY, 1, width) == F.col("prefix"))
+
+    while not fits and width < _MD5_LENGTH and not open_ends.filter(~F.col("rankable")).isEmpty():
+        inside = at_boundary().select(keyed.columns)
+        width += _DIGITS
+        finer = _count_keys(inside, strata, id_cols, width, rank_rows)
+        rest = open_ends.select(*map(col, strata), F.col("rest").alias("need"))
+        ends = _boundary(finer.table, rest, strata).select(*map(col, strata), "prefix", "rest", "rankable")
+        open_ends, _ = small_table(ends)
+    nothing = F.lit(0).cast("bigint")
+    closed = boundary.filter("need >= size").select(
+        *map(col, strata), F.when(F.col("size") > 0, F.lit(_PAST_ALL)).alias("cut"), nothing.alias("spare"),
+        (F.col("need") - F.col("size")).alias("short"),
+    )
+    inner = _cut_keys(at_boundary(), strata, id_cols).withColumn("short", nothing)
+    cuts, rows = small_table(inner.unionByName(closed, allowMissingColumns=True))
+    _complain(cuts, rows, "spare > 0", "a draw ends among copies of one id; name columns that make rows unique", strata)
+    if strict:
+        _complain(cuts, rows, "short > 0", "strata too small for the draw", [*strata, "short"])
+    return cuts.drop("spare", "short")
 
 
 def _flagged(
     pool: DataFrame, allocation: DataFrame, strata: list[str], id_cols: list[str], seed: int | Column,
-    salt: str | None, strict: bool, rank_rows: int, how: str,
+    salt: str | None, strict: bool, rank_rows: int, counts: KeyCounts | None, how: str,
 ) -> DataFrame:
-    allocation, allocation_rows = small_table(allocation)
-    if strict:
-        pool_counts = pool.groupBy(*map(col, strata)).agg(F.count("*").alias("n"))
-        short = capacity_report(allocation, pool_counts, strata).limit(20).collect()
-        if short:
-            raise ValueError(f"strata too small for the draw: {[r.asDict() for r in short]}")
     keyed = pool.withColumn(_KEY, draw_key(id_cols, seed, salt))
-    needed = list(dict.fromkeys([*strata, *id_cols]))
-    bounded = allocation_rows is not None
-    cuts = _cuts(keyed.select(*map(col, needed), _KEY), allocation, strata, id_cols, rank_rows, bounded)
+    narrow = keyed.select(*map(col, dict.fromkeys([*strata, *id_cols])), _KEY)
+    counts = counts or _count_keys(narrow, strata, id_cols, _DIGITS, rank_rows)
+    needs = allocation.filter(F.col("k") > 0).select(*map(col, strata), F.col("k").alias("need"))
+    cuts = _find_cuts(narrow, needs, counts, strata, id_cols, rank_rows, strict)
     this_id = F.struct(*map(col, id_cols))
-    taken = (F.col(_KEY) < F.col("cut")) | ((F.col(_KEY) == F.col("cut")) & (this_id <= F.col("cut_id")))
-    return keyed.join(cuts, strata, how).withColumn("_taken", definite(taken)).drop("cut", "cut_id")
+    cut_id = [f"_cut_{i}" for i in range(len(id_cols))]
+    last_id = F.struct(*[F.col(cut).alias(c) for cut, c in zip(cut_id, id_cols)])
+    taken = (F.col(_KEY) < F.col("cut")) | ((F.col(_KEY) == F.col("cut")) & (this_id <= last_id))
+    return keyed.join(cuts, strata, how).withColumn("_taken", definite(taken)).drop("cut", *cut_id)
 
 
 def draw(
@@ -175,17 +227,26 @@ def draw(
     salt: str | None = None,
     strict: bool = False,
     rank_rows: int = RANK_ROWS,
+    counts: KeyCounts | None = None,
 ) -> DataFrame:
     """Exactly k rows of every stratum of `allocation` (*strata, k).
 
     k <= 0 draws nothing. A stratum with fewer than k rows is taken whole, or
-    raises with `strict`. `id_cols` must identify rows; a repeated id right at
-    the end of a draw raises. The pool is scanned more than once: pass a
-    staged table if it is costly to compute.
+    raises with `strict`. `id_cols` must identify rows; a draw that ends among
+    copies of an id raises. The pool is scanned more than once: pass a staged
+    table if it is costly to compute. `counts` are those of `count_keys` for
+    the same strata, ids, seed and salt; they may hold further strata.
     """
-    ids = [id_cols] if isinstance(id_cols, str) else id_cols
-    return _flagged(pool, allocation, strata, ids, seed, salt, strict, rank_rows, "inner") \
-        .filter("_taken").select(*map(col, pool.columns))
+    allocation, _ = small_table(allocation)
+    return _drawn(pool, allocation, strata, id_cols, seed, salt, strict, rank_rows, counts)
+
+
+def _drawn(
+    pool: DataFrame, allocation: DataFrame, strata: list[str], id_cols: str | list[str], seed: int | Column,
+    salt: str | None, strict: bool, rank_rows: int, counts: KeyCounts | None,
+) -> DataFrame:
+    flagged = _flagged(pool, allocation, strata, _listed(id_cols), seed, salt, strict, rank_rows, counts, "inner")
+    return flagged.filter("_taken").select(*map(col, pool.columns))
 
 
 def two_way_split(
@@ -205,9 +266,9 @@ def two_way_split(
     Raises as a stratified split must: when a part would be empty or smaller
     than the number of strata, or a stratum has a single row.
     """
-    ids = [id_cols] if isinstance(id_cols, str) else id_cols
-    counts, _ = small_table(stratum_counts(df, stratum))
-    total, strata, least = counts.agg(F.sum("n"), F.count("*"), F.min("n")).first()
+    counts = count_keys(df, [stratum], id_cols, seed, salt, rank_rows)
+    sizes = counts.by(stratum).filter(col(stratum).isNotNull())
+    total, strata, least = sizes.agg(F.sum("n"), F.count("*"), F.min("n")).first()
     total = total or 0
     if not 0 < size < total:
         raise ValueError(f"cannot put {size} of {total} rows in one part and leave some for the other")
@@ -215,8 +276,8 @@ def two_way_split(
         raise ValueError("a stratum has only one row")
     if min(size, total - size) < strata:
         raise ValueError(f"each part needs at least one row per stratum ({strata})")
-    allocation = largest_remainder_allocation(counts, size, stratum)
-    flagged = _flagged(df, allocation, [stratum], ids, seed, salt, False, rank_rows, "left")
+    allocation = largest_remainder_allocation(sizes, size, stratum)
+    flagged = _flagged(df, allocation, [stratum], _listed(id_cols), seed, salt, False, rank_rows, counts, "left")
     part = F.when(F.col("_taken"), F.lit(names[0])).otherwise(F.lit(names[1]))
     return flagged.withColumn(name, part).select(*map(col, df.columns), col(name))
 
@@ -235,7 +296,7 @@ def simple_sample(df: DataFrame, size: int, id_cols: str | list[str], seed: int
     Up to the rank limit this is a top-k that keeps k rows per task; above it,
     the draw over a single stratum.
     """
-    ids = [id_cols] if isinstance(id_cols, str) else id_cols
+    ids = _listed(id_cols)
     if size <= RANK_ROWS // 10:
         return df.orderBy(draw_key(ids, seed), *map(col, ids)).limit(size)
     pool = df.withColumn("_all", F.lit(1))
@@ -255,17 +316,18 @@ def matched_negatives(
 
     `label` holds `pos` / `neg`. Output splits are named `{split}_{label}`.
     """
-    positive = df.filter(col(label) == "pos")
+    inside = df.filter(col(split).isin(list(sizes)))
+    counts = count_keys(inside, [split, label, stratum], id_col, seed)
+    positive = counts.by(split, label, stratum).filter((col(label) == "pos") & col(stratum).isNotNull())
     size = F.coalesce(*[F.when(col(split) == name, F.lit(n)) for name, n in sizes.items()])
-    inside = positive.filter(col(split).isin(list(sizes)))
-    allocation = rounded_allocation(stratum_counts(inside, stratum, [split]), size, stratum, [split])
-    pool = df.filter((col(label) == "neg") & col(split).isin(list(sizes)))
-    negative = draw(pool, allocation, [split, stratum], id_col, seed, strict=strict)
+    allocation = rounded_allocation(positive, size, stratum, [split]).withColumn(label, F.lit("neg"))
+    pool = inside.filter(col(label) == "neg")
+    negative = _drawn(pool, allocation, [split, label, stratum], id_col, seed, None, strict, RANK_ROWS, counts)
 
     def named(rows: DataFrame) -> DataFrame:
         return rows.select(F.concat(col(split), F.lit("_"), col(label)).alias("split"), col(id_col).alias("id"))
 
-    return named(inside).unionByName(named(negative))
+    return named(inside.filter(col(label) == "pos")).unionByName(named(negative))
 
 
 def ratio_subsamples(
@@ -280,17 +342,16 @@ def ratio_subsamples(
         F.struct(F.lit(name).alias("_name"), F.lit(size).alias("_size"), F.lit(seed).alias("_seed"))
         for name, size, seed in specs
     ])
-    counts, _ = small_table(df.groupBy(col(label), col(stratum)).agg(F.count("*").alias("n")))
-    whole = Window.partitionBy()
-    by_class = counts.groupBy(col(label)).agg(F.sum("n").alias("rows")).withColumn("all", F.sum("rows").over(whole))
-    # Two rows (pos, neg): the negative side is what the positive side leaves.
-    ratios = by_class.select(col(label).alias("_label"), "rows", "all", F.inline(spec))
-    positive_size = half_even(
-        F.col("_size") * F.when(F.col("_label") == "pos", F.col("rows")).otherwise(F.col("all") - F.col("rows")) / F.col("all")
-    ).cast("bigint")
-    ratios = ratios.withColumn("_part", F.when(F.col("_label") == "pos", positive_size).otherwise(F.col("_size") - positive_size))
-    strata = counts.filter(col(stratum).isNotNull()).join(F.broadcast(ratios), col(label) == F.col("_label"))
-    allocation = rounded_allocation(strata, F.col("_part"), stratum, ["_name", label])
     pool = df.select(col(id_col), col(label), col(stratum), F.inline(spec))
-    drawn = draw(pool, allocation, ["_name", label, stratum], id_col, F.col("_seed"), strict=strict)
+    strata = ["_name", label, stratum]
+    counts = count_keys(pool, strata, id_col, F.col("_seed"))
+    sizes = counts.by(*strata).join(F.broadcast(df.sparkSession.createDataFrame(specs, "_name string, _size int, _seed int")), "_name")
+    classes = Window.partitionBy("_name")
+    is_pos = col(label) == "pos"
+    positive, everything = F.sum(F.when(is_pos, F.col("n"))).over(classes), F.sum("n").over(classes)
+    # The negative side is what the positive side leaves.
+    part = half_even(F.col("_size") * F.coalesce(positive, F.lit(0)) / everything).cast("bigint")
+    sizes = sizes.withColumn("_part", F.when(is_pos, part).otherwise(F.col("_size") - part))
+    allocation = rounded_allocation(sizes.filter(col(stratum).isNotNull()), F.col("_part"), stratum, ["_name", label])
+    drawn = _drawn(pool, allocation, strata, id_col, F.col("_seed"), None, strict, RANK_ROWS, counts)
     return drawn.select(F.concat("_name", F.lit("_"), col(label)).alias("split"), col(id_col).alias("id"))

@@ -31,12 +31,12 @@ def stage(df: DataFrame) -> DataFrame:
 def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, pa.Table | None]:
     """`df` computed once, for joining to a much larger table.
 
-    With at most `max_rows` rows it becomes a local table marked for
-    broadcast, returned together with its rows. With more it is staged and
-    left unmarked (rows: None), so the join shuffles and adaptive execution
-    splits hot keys.
+    With at most `max_rows` rows it becomes a local table in one partition,
+    which further grouping need not shuffle, marked for broadcast; its rows
+    are returned with it. With more it is staged and left unmarked (rows:
+    None), so a join shuffles and adaptive execution splits hot keys.
     """
     rows = df.limit(max_rows + 1).toArrow()
     if rows.num_rows <= max_rows:
-        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), rows
+        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema).coalesce(1)), rows
     return stage(df), None
