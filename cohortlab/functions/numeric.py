@@ -4,20 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from cohortlab.functions.text import strip
-
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_INFINITY = r"(?i)^[+-]?inf(inity)?$"
+_NUMBER = (
+    r"(?Ui)^[\s\x1c-\x1f]*([+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf(?:inity)?))[\s\x1c-\x1f]*\z"
+)
 
 
 def to_number(col: Column) -> Column:
     """Text to double; anything that is not a plain number becomes missing.
 
-    The pattern is needed next to the cast, which would read `12d` as 12.
+    The pattern is needed next to the cast, which would read `12d` as 12. The
+    column is used once, so a costly one is not computed again.
     """
-    text = strip(col)
-    infinite = F.when(text.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
-    return F.when(text.rlike(_NUMBER), text.try_cast("double")).when(text.rlike(_INFINITY), infinite)
+    return F.regexp_extract(col, _NUMBER, 1).try_cast("double")
 
 
 def nan_to_null(col: Column) -> Column:

@@ -10,6 +10,7 @@ are exact for any edges.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
@@ -19,39 +20,51 @@ from pyspark.sql import DataFrame, Window, functions as F
 from cohortlab.functions.predicates import col
 from cohortlab.staging import small_table
 
-ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 10_000
+ROWS_PER_BUCKET = 200_000
+MAX_BUCKETS = 100_000
 FEW_DISTINCT = 100_000
 
 
-def few_distinct(df: DataFrame, columns: list[str], limit: int = FEW_DISTINCT) -> bool:
-    """Whether each column has at most about `limit` distinct values, so that
-    a value -> count map of it fits in one task. One scan, sketches only."""
-    row = df.agg(*[F.approx_count_distinct(col(c)) for c in columns]).first()
-    return max(row) <= limit
+@dataclass(frozen=True)
+class Probe:
+    """How many values some columns hold in all, and whether each has so few
+    distinct ones that a value -> count map of it fits in one task."""
 
+    values: int
+    few: bool
 
-def value_edges(df: DataFrame, value: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
+
+def probe(df: DataFrame, columns: list[str], limit: int = FEW_DISTINCT) -> Probe:
+    """One scan, counts and sketches only."""
+    row = df.agg(*[F.count(col(c)) for c in columns], *[F.approx_count_distinct(col(c)) for c in columns]).first()
+    return Probe(sum(row[:len(columns)]), max(row[len(columns):]) <= limit)
+
+
+def value_edges(
+    df: DataFrame, value: str, rows_per_bucket: int = ROWS_PER_BUCKET, rows: int | None = None
+) -> list[float]:
     """Inner bucket edges; none if all rows fit into one bucket.
 
     Edges are distinct, so one very frequent value gets a bucket of its own at
     most; grouping by value collapses it before any sort.
     """
-    rows = df.filter(col(value).isNotNull()).count()
+    if rows is None:
+        rows = df.filter(col(value).isNotNull()).count()
     buckets = min(-(-rows // rows_per_bucket), MAX_BUCKETS)
     if buckets <= 1:
         return []
-    points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    edges = df.agg(F.percentile_approx(col(value).cast("double"), points, 10 * buckets)).first()[0]
+    points = F.expr("array(" + ", ".join(f"{i / buckets!r}D" for i in range(1, buckets)) + ")")
+    edges = df.agg(F.percentile_approx(col(value).cast("double"), points, max(10_000, 2 * buckets))).first()[0]
     return sorted(set(edges))
 
 
 def with_bucket(df: DataFrame, value: str, edges: list[float], name: str = "bucket") -> DataFrame:
-    """Add the bucket number: how many edges are <= value."""
+    """Add the bucket number: how many edges are <= value; NULL for no value."""
     if not edges:
-        return df.withColumn(name, F.lit(0.0))
-    splits = [float("-inf"), *edges, float("inf")]
-    return Bucketizer(splits=splits, inputCol=value, outputCol=name, handleInvalid="keep").transform(df)
+        return df.withColumn(name, F.when(col(value).isNotNull(), F.lit(0)))
+    splits = [float("-inf"), *map(float, edges), float("inf")]
+    number = Bucketizer(splits=splits, inputCol=value, outputCol=name, handleInvalid="keep").transform(df)
+    return number.withColumn(name, col(name).cast("int"))
 
 
 def exact_quantiles(
@@ -61,23 +74,27 @@ def exact_quantiles(
     by: list[str] | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
     builtin: bool | None = None,
+    found: Probe | None = None,
 ) -> DataFrame:
     """(*by, measure, p, value): exact quantiles, linear between ranks.
 
     A missing group key is a group; missing values are left out, and a group
     without values has no row. `builtin` chooses Spark's own exact percentile
-    (None: where its value -> count maps are checked to be small).
+    (None: where its value -> count maps are checked to be small). `found` is a
+    probe of the same measures, if there is one already.
     """
     by = by or []
     cells = F.array(*[F.struct(F.lit(m).alias("measure"), col(m).cast("double").alias("value")) for m in measures])
     long = df.select(*map(col, by), F.inline(cells)).filter(F.col("value").isNotNull())
     keys = [*by, "measure"]
-    if builtin or (builtin is None and few_distinct(df, measures)):
-        found = long.groupBy(*map(col, keys)).agg(F.percentile("value", F.array(*map(F.lit, probs))).alias("values"))
+    if found is None and not builtin:
+        found = probe(df, measures)
+    if builtin or (builtin is None and found.few):
+        at_once = long.groupBy(*map(col, keys)).agg(F.percentile("value", F.array(*map(F.lit, probs))).alias("values"))
         pairs = F.arrays_zip(F.array(*map(F.lit, probs)).alias("p"), F.col("values").alias("value"))
-        return found.select(*map(col, keys), F.inline(pairs))
+        return at_once.select(*map(col, keys), F.inline(pairs))
 
-    long = with_bucket(long, "value", value_edges(long, "value", rows_per_bucket))
+    long = with_bucket(long, "value", value_edges(long, "value", rows_per_bucket, found.values))
     # Per key at most one row per bucket, so these windows stay small.
     in_order = Window.partitionBy(*map(col, keys)).orderBy("bucket")
     whole = Window.partitionBy(*map(col, keys))

@@ -13,7 +13,7 @@ from cohortlab.constants import AGE_EDGES, AGE_LABELS
 from cohortlab.functions.numeric import half_even, nan_to_null, percentage, to_number
 from cohortlab.functions.predicates import all_above_zero, any_at_least_one, col, positive_count
 from cohortlab.functions.text import non_blank, percent_bar
-from cohortlab.operators.order_stats import exact_quantiles, few_distinct
+from cohortlab.operators.order_stats import exact_quantiles, probe, with_bucket
 
 
 def _one_row_to_long(row: DataFrame, entries: list[dict[str, Column]]) -> DataFrame:
@@ -90,11 +90,12 @@ def grouped_mean_median(df: DataFrame, group: str, measures: list[str]) -> DataF
     """
     means = [F.avg(col(m)).alias(f"{m}_mean") for m in measures]
     ordered = [c for m in measures for c in (f"{m}_mean", f"{m}_median")]
-    if few_distinct(df, measures):
+    found = probe(df, measures)
+    if found.few:
         medians = [F.median(col(m)).alias(f"{m}_median") for m in measures]
         return df.groupBy(col(group)).agg(*means, *medians).select(col(group), *map(col, ordered))
     averages = df.groupBy(col(group)).agg(*means)
-    quantiles = exact_quantiles(df, measures, [0.5], by=[group], builtin=False)
+    quantiles = exact_quantiles(df, measures, [0.5], by=[group], found=found)
     medians = quantiles.groupBy(col(group).alias("_group")).agg(*[
         F.max(F.when(F.col("measure") == m, F.col("value"))).alias(f"{m}_median") for m in measures
     ])
@@ -140,9 +141,10 @@ def numeric_summary(df: DataFrame, column: str) -> DataFrame:
         F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"),
     ]
     spread = F.stddev_samp("value").alias("std")
-    if few_distinct(values, ["value"]):
+    found = probe(values, ["value"])
+    if found.few:
         return values.agg(*basics, F.median("value").alias("median"), spread)
-    median = exact_quantiles(values, ["value"], [0.5], builtin=False).select("value").scalar()
+    median = exact_quantiles(values, ["value"], [0.5], found=found).select("value").scalar()
     return values.agg(*basics, spread).withColumn("median", median)
 
 
@@ -154,24 +156,20 @@ def describe(df: DataFrame, column: str) -> DataFrame:
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
     ]
     quartiles = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
-    if few_distinct(values, ["value"]):
+    found = probe(values, ["value"])
+    if found.few:
         at = F.array(*[F.lit(p) for p in quartiles.values()])
         row = values.agg(*aggregates, F.percentile("value", at).alias("_q"))
         row = row.select("*", *[F.get("_q", F.lit(i)).alias(q) for i, q in enumerate(quartiles)])
     else:
-        found = exact_quantiles(values, ["value"], list(quartiles.values()), builtin=False)
-        picked = {q: found.filter(F.col("p") == p).select("value").scalar() for q, p in quartiles.items()}
-        row = values.agg(*aggregates).select("*", *[c.alias(q) for q, c in picked.items()])
+        exact = exact_quantiles(values, ["value"], list(quartiles.values()), found=found)
+        by_p = exact.agg(F.map_from_entries(F.collect_list(F.struct("p", "value")))).scalar()
+        row = values.agg(*aggregates).withColumn("_q", by_p)
+        row = row.select("*", *[F.try_element_at("_q", F.lit(p)).alias(q) for q, p in quartiles.items()])
     order = ["count", "mean", "std", "min", *quartiles, "max"]
     return _one_row_to_long(row, [{"statistic": F.lit(s), "value": col(s)} for s in order])
 
 
-def bracket_index(value: Column, edges: list[float]) -> Column:
-    """Index of the left-closed bracket that holds `value`, NULL outside all."""
-    held = [F.when((value >= low) & (value < high), F.lit(i)) for i, (low, high) in enumerate(zip(edges, edges[1:]))]
-    return F.coalesce(*held)
-
-
 def _zero_filled(bins: DataFrame, counts: DataFrame, on: str) -> DataFrame:
     """All bins, with 0 where nothing was counted.
 
@@ -185,15 +183,17 @@ def binned_distribution(
 ) -> DataFrame:
     """(bin_ix, label, n, pct, bar) in bin order, empty brackets included.
 
-    Percentages are of all valid values, also those outside every bracket.
+    Percentages are of all valid values, also those outside every bracket. All
+    brackets are counted in one aggregation, so an empty one is a zero.
     """
-    values = coerced(df, column).filter(F.col("value").isNotNull())
-    counts = values.groupBy(bracket_index(F.col("value"), edges).alias("bin_ix")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    bins = df.sparkSession.createDataFrame(list(enumerate(labels)), "bin_ix int, label string")
-    filled = _zero_filled(bins, counts.filter(F.col("bin_ix").isNotNull()), "bin_ix")
-    with_pct = filled.withColumn("pct", percentage(F.col("n"), total))
-    return with_pct.withColumn("bar", percent_bar(F.col("pct"))).orderBy("bin_ix")
+    placed = with_bucket(coerced(df, column), "value", edges, "bracket")
+    counts = [F.count_if(F.col("bracket") == i + 1).alias(f"_n{i}") for i in range(len(labels))]
+    row = placed.agg(F.count("bracket").alias("_valid"), *counts)
+    entries = []
+    for i, label in enumerate(labels):
+        n, pct = F.col(f"_n{i}"), percentage(F.col(f"_n{i}"), F.col("_valid"))
+        entries.append({"bin_ix": F.lit(i), "label": F.lit(label), "n": n, "pct": pct, "bar": percent_bar(pct)})
+    return _one_row_to_long(row, entries)
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:

@@ -345,7 +345,8 @@ def ratio_subsamples(
     pool = df.select(col(id_col), col(label), col(stratum), F.inline(spec))
     strata = ["_name", label, stratum]
     counts = count_keys(pool, strata, id_col, F.col("_seed"))
-    sizes = counts.by(*strata).join(F.broadcast(df.sparkSession.createDataFrame(specs, "_name string, _size int, _seed int")), "_name")
+    named = df.sparkSession.range(1).select(F.inline(spec)).drop("_seed")
+    sizes = counts.by(*strata).join(F.broadcast(named), "_name")
     classes = Window.partitionBy("_name")
     is_pos = col(label) == "pos"
     positive, everything = F.sum(F.when(is_pos, F.col("n"))).over(classes), F.sum("n").over(classes)

@@ -61,7 +61,7 @@ def test_buckets_keep_equal_values_together(spark, measured):
 def test_grouped_median_by_both_ways(spark, measured, monkeypatch):
     df = spark.createDataFrame(measured, "g string, x double, y double")
     short = {r.g: r for r in profile.grouped_mean_median(df, "g", ["x", "y"]).collect()}
-    monkeypatch.setattr(profile, "few_distinct", lambda *a: False)
+    monkeypatch.setattr(profile, "probe", lambda *a: order_stats.Probe(4000, False))
     long = {r.g: r for r in profile.grouped_mean_median(df, "g", ["x", "y"]).collect()}
     assert short.keys() == long.keys() and None in short and "empty" in short
     assert short["empty"].x_median is None and long["empty"].x_median is None

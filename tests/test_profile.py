@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlab.operators import profile
+from cohortlab.operators import order_stats, profile
 
 
 @pytest.fixture(scope="module")
@@ -47,7 +47,7 @@ AGES = ["45", "17", "18", "80", "119", "120", "-1", "045Y", "", None, "30.5", "1
 
 @pytest.mark.parametrize("few", [True, False])
 def test_summary_and_describe(spark, monkeypatch, few):
-    monkeypatch.setattr(profile, "few_distinct", lambda *a: few)
+    monkeypatch.setattr(profile, "probe", lambda *a: order_stats.Probe(8, few))
     df = spark.createDataFrame([(a,) for a in AGES], "age string")
     valid = [45, 17, 18, 80, 119, 120, -1, 30.5]
     r = profile.numeric_summary(df, "age").first()
