@@ -22,22 +22,31 @@ from cohortlab.staging import small_table
 
 ROWS_PER_BUCKET = 200_000
 MAX_BUCKETS = 100_000
-FEW_DISTINCT = 100_000
+# Entries of value -> count maps that one task may hold: about 250 MB.
+MAP_ENTRIES = 4_000_000
+# Groups whose maps an aggregation task holds at once before it sorts instead.
+OPEN_GROUPS = 128
 
 
 @dataclass(frozen=True)
 class Probe:
-    """How many values some columns hold in all, and whether each has so few
-    distinct ones that a value -> count map of it fits in one task."""
+    """How many values some columns hold in all, and whether value -> count
+    maps of them, one per group, are small enough for one task."""
 
     values: int
     few: bool
 
 
-def probe(df: DataFrame, columns: list[str], limit: int = FEW_DISTINCT) -> Probe:
+def probe(df: DataFrame, columns: list[str], by: list[str] | None = None, limit: int = MAP_ENTRIES) -> Probe:
     """One scan, counts and sketches only."""
-    row = df.agg(*[F.count(col(c)) for c in columns], *[F.approx_count_distinct(col(c)) for c in columns]).first()
-    return Probe(sum(row[:len(columns)]), max(row[len(columns):]) <= limit)
+    row = df.agg(
+        F.sum(F.size(F.array_compact(F.array(*[col(c).cast("double") for c in columns])))).alias("values"),
+        F.array(*[F.approx_count_distinct(col(c)) for c in columns]).alias("distinct"),
+        F.approx_count_distinct(F.struct(*map(col, by))).alias("groups") if by else F.lit(1).alias("groups"),
+    ).first()
+    values = row["values"] or 0
+    entries = min(values, sum(row["distinct"]) * min(row["groups"], OPEN_GROUPS))
+    return Probe(values, entries <= limit)
 
 
 def value_edges(
@@ -88,7 +97,7 @@ def exact_quantiles(
     long = df.select(*map(col, by), F.inline(cells)).filter(F.col("value").isNotNull())
     keys = [*by, "measure"]
     if found is None and not builtin:
-        found = probe(df, measures)
+        found = probe(df, measures, by)
     if builtin or (builtin is None and found.few):
         at_once = long.groupBy(*map(col, keys)).agg(F.percentile("value", F.array(*map(F.lit, probs))).alias("values"))
         pairs = F.arrays_zip(F.array(*map(F.lit, probs)).alias("p"), F.col("values").alias("value"))

@@ -90,7 +90,7 @@ def grouped_mean_median(df: DataFrame, group: str, measures: list[str]) -> DataF
     """
     means = [F.avg(col(m)).alias(f"{m}_mean") for m in measures]
     ordered = [c for m in measures for c in (f"{m}_mean", f"{m}_median")]
-    found = probe(df, measures)
+    found = probe(df, measures, [group])
     if found.few:
         medians = [F.median(col(m)).alias(f"{m}_median") for m in measures]
         return df.groupBy(col(group)).agg(*means, *medians).select(col(group), *map(col, ordered))

@@ -21,7 +21,7 @@ from cohortlab.staging import stage
 class ScanColumns:
     """Names of the columns the job reads."""
 
-    id: str = "PanTS ID"
+    id: str = "scan_id"
     id_num: str = "id_num"
     flag: str = "tumor?"
     stratum: str = "ct phase"

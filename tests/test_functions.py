@@ -45,7 +45,7 @@ def test_strip_and_blank(spark, given, want):
 
 
 def test_id_number(spark):
-    assert one(spark, text.id_number(F.lit("PanTS_00000123_4"))) == 123
+    assert one(spark, text.id_number(F.lit("SCAN_00000123_4"))) == 123
     with pytest.raises(Exception, match="id without digits"):
         one(spark, text.id_number(F.lit("none")))
     with pytest.raises(Exception, match="id without digits"):

@@ -67,3 +67,11 @@ def test_grouped_median_by_both_ways(spark, measured, monkeypatch):
     assert short["empty"].x_median is None and long["empty"].x_median is None
     for g in short:
         assert tuple(short[g])[1:] == pytest.approx(tuple(long[g])[1:], nan_ok=True) or g == "empty"
+
+
+def test_probe_bounds_the_maps(spark):
+    df = spark.range(1000).selectExpr("id % 10 AS g", "id AS x", "IF(id % 2 = 0, id % 3, NULL) AS y")
+    assert order_stats.probe(df, ["x", "y"], ["g"]) == order_stats.Probe(1500, True)
+    assert not order_stats.probe(df, ["x"], ["g"], limit=900).few
+    assert order_stats.probe(df, ["y"], ["g"], limit=60).few
+    assert order_stats.probe(df.limit(0), ["x"]) == order_stats.Probe(0, True)

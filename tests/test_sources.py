@@ -10,15 +10,15 @@ from cohortlab.sources import id_lists, metadata, results, volumes
 def test_read_metadata(spark, tmp_path):
     path = tmp_path / "scans.csv"
     path.write_text(
-        'PanTS ID,tumor?,ct phase,age,radiologist note\n'
-        'PanTS_00000001,1,portal,45,"two\nlines, ""quoted"""\n'
-        'PanTS_00000002,,NA,045Y,\n'
-        'PanTS_00000003,0,None,NaN,n/a\n', encoding="utf-8")
-    df = metadata.read_metadata(spark, str(path), {"tumor?": "int", "age": "double"}, id_col="PanTS ID")
+        'scan id,tumor?,ct phase,age,radiologist note\n'
+        'SCAN_00000001,1,portal,45,"two\nlines, ""quoted"""\n'
+        'SCAN_00000002,,NA,045Y,\n'
+        'SCAN_00000003,0,None,NaN,n/a\n', encoding="utf-8")
+    df = metadata.read_metadata(spark, str(path), {"tumor?": "int", "age": "double"}, id_col="scan id")
     assert [tuple(r) for r in df.orderBy("id_num").collect()] == [
-        ("PanTS_00000001", 1, "portal", 45.0, 'two\nlines, "quoted"', 1),
-        ("PanTS_00000002", None, None, None, None, 2),
-        ("PanTS_00000003", 0, None, None, None, 3)]
+        ("SCAN_00000001", 1, "portal", 45.0, 'two\nlines, "quoted"', 1),
+        ("SCAN_00000002", None, None, None, None, 2),
+        ("SCAN_00000003", 0, None, None, None, 3)]
     assert dict(df.dtypes)["id_num"] == "bigint"
     inferred = metadata.read_metadata(spark, str(path), infer=True)
     assert dict(inferred.dtypes)["tumor?"] == "int"
