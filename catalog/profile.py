@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from catalog.registry import AGES, ORGANS, SCANS, Tables, query
 from cohortlab.constants import AGE_EDGES, AGE_LABELS
 from cohortlab.functions.predicates import positive_count
+from cohortlab.functions.resolve import resolve_columns
 from cohortlab.operators import profile
 from cohortlab.operators.order_stats import exact_quantiles
 
@@ -57,6 +58,19 @@ def q_value_counts_pct(t: Tables) -> DataFrame:
     return profile.value_percentages(t.scans(), "quality")
 
 
+@query("""
+SELECT 'Status' AS name, o_orderstatus AS value, count(*) AS n,
+       round_even(count(*) / (SELECT count(*) FROM orders) * 100, 2) AS pct FROM orders GROUP BY o_orderstatus
+UNION ALL
+SELECT 'Priority', o_orderpriority, count(*), round_even(count(*) / (SELECT count(*) FROM orders) * 100, 2)
+FROM orders GROUP BY o_orderpriority""")
+def q_resolved_value_counts(t: Tables) -> DataFrame:
+    """Columns found by label and keyword where the exact name is not there."""
+    orders = t.orders
+    found, _ = resolve_columns(orders.columns, {"Status": "o_orderstatus", "Priority": "order priority"}, "order")
+    return profile.value_percentages_of(orders, found)
+
+
 @query(f"""WITH {SCANS}
 SELECT quality::BIGINT AS quality,
        round(avg(n_chars), 6) AS n_chars_mean, round(median(n_chars)::DOUBLE, 6) AS n_chars_median,

@@ -18,13 +18,18 @@ CLASSES = 10
 FINDINGS = [f"finding_{c}" for c in range(CLASSES)]
 
 
-def exemplars_of(t: Tables) -> DataFrame:
-    """(label, vec_id, embedding) of the first embedding of every label."""
-    first = t.embeddings.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
-    return t.embeddings.join(small_table(first)[0], ["label", "vec_id"])
+def first_ids_of(t: Tables) -> DataFrame:
+    """(label, first_id): the first embedding of every label."""
+    return small_table(t.embeddings.groupBy("label").agg(F.min("vec_id").alias("first_id")))[0]
 
 
-def prompt_rows_of(t: Tables) -> DataFrame:
+def exemplars_of(t: Tables, first: DataFrame) -> DataFrame:
+    """(label, embedding) of the first embedding of every label."""
+    rows = t.embeddings.select("label", F.col("vec_id").alias("first_id"), "embedding")
+    return rows.join(first, ["label", "first_id"]).drop("first_id")
+
+
+def prompt_rows_of(t: Tables, first: DataFrame) -> DataFrame:
     """(finding, polarity, embedding): each exemplar serves two findings."""
     served = F.array(
         F.struct(F.concat(F.lit("finding_"), "label").alias("finding"), F.lit("present").alias("polarity")),
@@ -33,13 +38,12 @@ def prompt_rows_of(t: Tables) -> DataFrame:
             F.lit("absent").alias("polarity"),
         ),
     )
-    return exemplars_of(t).select("embedding", F.inline(served))
+    return exemplars_of(t, first).select("embedding", F.inline(served))
 
 
-def labels_of(t: Tables) -> DataFrame:
+def labels_of(t: Tables, first: DataFrame) -> DataFrame:
     """Wide labels (vec_id, finding_0..9): 1, 0, or -1 for the finding's own exemplars."""
-    first = t.embeddings.groupBy("label").agg(F.min("vec_id").alias("first_id"))
-    rows = t.embeddings.select("vec_id", "label").join(small_table(first)[0], "label")
+    rows = t.embeddings.select("vec_id", "label").join(first, "label")
     is_exemplar = F.col("vec_id") == F.col("first_id")
 
     def state(c: int):
@@ -50,8 +54,9 @@ def labels_of(t: Tables) -> DataFrame:
 
 
 def scored_of(t: Tables) -> DataFrame:
-    prompts = zeroshot.pair_prompts(prompt_rows_of(t))
-    return zeroshot.zero_shot_scores(t.embeddings, labels_of(t), prompts, FINDINGS, "vec_id")
+    first = first_ids_of(t)
+    prompts = zeroshot.pair_prompts(prompt_rows_of(t, first))
+    return zeroshot.zero_shot_scores(t.embeddings, labels_of(t, first), prompts, FINDINGS, "vec_id")
 
 
 _EXEMPLARS = "first_of AS (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label)"
@@ -97,7 +102,7 @@ SELECT e.vec_id, e.label::BIGINT AS label,
        round(list_cosine_similarity(e.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS similarity
 FROM embeddings e JOIN first_of f ON f.label = e.label JOIN embeddings p ON p.vec_id = f.vec_id""")
 def q_cosine(t: Tables) -> DataFrame:
-    own = small_table(exemplars_of(t).select("label", F.col("embedding").alias("exemplar")))[0]
+    own = small_table(exemplars_of(t, first_ids_of(t)).select("label", F.col("embedding").alias("exemplar")))[0]
     similarity = cosine(F.col("embedding"), F.col("exemplar")).alias("similarity")
     return t.embeddings.join(own, "label").select("vec_id", "label", similarity)
 
@@ -108,7 +113,7 @@ SELECT 'finding_' || a.label AS finding, round(p.embedding[1]::DOUBLE, 6) AS pre
 FROM first_of a JOIN embeddings p ON p.vec_id = a.vec_id
 JOIN first_of b ON b.label = (a.label + 1) % 10 JOIN embeddings q ON q.vec_id = b.vec_id""")
 def q_prompt_pairs(t: Tables) -> DataFrame:
-    pairs = zeroshot.pair_prompts(prompt_rows_of(t))
+    pairs = zeroshot.pair_prompts(prompt_rows_of(t, first_ids_of(t)))
     return pairs.select(
         "finding", F.get("present", F.lit(0)).alias("present_first"), F.get("absent", F.lit(0)).alias("absent_first"),
         F.size("present").alias("width"),

@@ -40,11 +40,11 @@ class Probe:
 def probe(df: DataFrame, columns: list[str], by: list[str] | None = None, limit: int = MAP_ENTRIES) -> Probe:
     """One scan, counts and sketches only."""
     row = df.agg(
-        F.sum(F.size(F.array_compact(F.array(*[col(c).cast("double") for c in columns])))).alias("values"),
+        F.array(*[F.count(col(c)) for c in columns]).alias("values"),
         F.array(*[F.approx_count_distinct(col(c)) for c in columns]).alias("distinct"),
         F.approx_count_distinct(F.struct(*map(col, by))).alias("groups") if by else F.lit(1).alias("groups"),
     ).first()
-    values = row["values"] or 0
+    values = sum(row["values"])
     entries = min(values, sum(row["distinct"]) * min(row["groups"], OPEN_GROUPS))
     return Probe(values, entries <= limit)
 

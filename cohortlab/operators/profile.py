@@ -81,6 +81,19 @@ def value_percentages(df: DataFrame, column: str, digits: int = 2) -> DataFrame:
     return shares.select(col(column), "n", half_even(F.col("share") * 100, digits).alias("pct"))
 
 
+def value_percentages_of(df: DataFrame, columns: dict[str, str], digits: int = 2) -> DataFrame:
+    """(name, value, n, pct) for several text columns in one scan, missing kept.
+
+    Every row counts once per column, so one row count serves all columns.
+    """
+    cells = F.array(*[
+        F.struct(F.lit(name).alias("name"), col(c).cast("string").alias("value")) for name, c in columns.items()
+    ])
+    counts = df.select(F.inline(cells)).groupBy("name", "value").agg(F.count("*").alias("n"))
+    total = counts.filter(F.col("name") == next(iter(columns))).agg(F.sum("n")).scalar()
+    return counts.withColumn("pct", half_even(F.col("n") / total * 100, digits))
+
+
 def grouped_mean_median(df: DataFrame, group: str, measures: list[str]) -> DataFrame:
     """{measure}_mean and {measure}_median per group; a missing group is a group.
 

@@ -26,7 +26,10 @@ from cohortlab.functions.numeric import half_even
 from cohortlab.functions.predicates import col, definite
 from cohortlab.staging import small_table
 
+# Most keys ranked by one task.
 RANK_ROWS = 1_000_000
+# Most rows a plain top-k is used for.
+TOP_ROWS = 10_000
 _DIGITS = 2
 _KEY = "_draw_key"
 _MD5_LENGTH = 32
@@ -293,11 +296,11 @@ def stratified_sample(
 def simple_sample(df: DataFrame, size: int, id_cols: str | list[str], seed: int = DEFAULT_SEED) -> DataFrame:
     """Exactly `size` rows (all, if there are fewer), in the same order as `draw`.
 
-    Up to the rank limit this is a top-k that keeps k rows per task; above it,
+    A small size is a top-k that keeps that many rows per task; a larger one,
     the draw over a single stratum.
     """
     ids = _listed(id_cols)
-    if size <= RANK_ROWS // 10:
+    if size <= TOP_ROWS:
         return df.orderBy(draw_key(ids, seed), *map(col, ids)).limit(size)
     pool = df.withColumn("_all", F.lit(1))
     allocation = df.sparkSession.createDataFrame([(1, size)], "_all int, k bigint")

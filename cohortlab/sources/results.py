@@ -22,6 +22,7 @@ def write_results(
 
     Rows of an entry are in key order. Entries split a finding by a hash of
     the whole row, sized from the largest finding; one entry if it is small.
+    Copies of a row are counted before they meet and spread over entries.
     """
     rows = scored.select(
         col(finding).cast("string").alias("finding"), col(key).cast("string").alias("study_id"),
@@ -29,10 +30,14 @@ def write_results(
     )
     largest = rows.groupBy("finding").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     entries = max(1, -(-largest // rows_per_entry))
-    part = F.pmod(F.xxhash64("study_id", "y_score"), F.lit(entries)).alias("part")
-    cells = F.array_sort(F.collect_list(F.struct("study_id", "y_true", "y_score")))
-    nested = rows.groupBy("finding", part).agg(cells.alias("cells"))
-    arrays = F.struct(*[F.col(f"cells.{c}").alias(c) for c in ("study_id", "y_true", "y_score")])
+    fields = ["study_id", "y_true", "y_score"]
+    piece = F.expr(f"explode(sequence(0L, (n - 1) div {rows_per_entry}))").alias("piece")
+    pieces = rows.groupBy("finding", *fields).agg(F.count("*").alias("n")).select("finding", *fields, "n", piece)
+    copies = F.least(F.lit(rows_per_entry), F.col("n") - F.col("piece") * rows_per_entry).cast("int")
+    part = F.pmod(F.xxhash64(*fields), F.lit(entries)).alias("part")
+    cells = F.flatten(F.collect_list(F.array_repeat(F.struct(*fields), copies)))
+    nested = pieces.groupBy("finding", part, "piece").agg(F.array_sort(cells).alias("cells"))
+    arrays = F.struct(*[F.col(f"cells.{c}").alias(c) for c in fields])
     line = F.to_json(F.create_map("finding", arrays))
     nested.select(line.alias("value")).write.mode("overwrite").text(path)
 

@@ -31,6 +31,13 @@ def test_value_counts(cases):
         None: (2, 40.0), "x": (2, 40.0), "y": (1, 20.0)}
 
 
+def test_value_percentages_of_many_columns(cases):
+    out = profile.value_percentages_of(cases, {"Kind": "kind", "Note": "note"})
+    got = {(r.name, r.value): (r.n, r.pct) for r in out.collect()}
+    assert got[("Kind", None)] == (2, 40.0) and got[("Note", "n")] == (1, 20.0)
+    assert len(got) == 3 + 5 and sum(n for n, _ in got.values()) == 10
+
+
 def test_cooccurrence_and_prevalence(cases):
     out = rows(profile.cooccurrence(cases, {"both": ["liver", "pancreas"], "none": ["liver", "kidney"]}))
     assert out == [("both", "liver", 2, 5, 40.0, 3.0), ("both", "pancreas", 2, 5, 40.0, 1.5),

@@ -166,7 +166,7 @@ def test_simple_sample(spark, monkeypatch):
     df = spark.range(500)
     want = sorted(range(500), key=lambda i: key(42, i))[:20]
     assert [r.id for r in sampling.simple_sample(df, 20, "id").collect()] == want
-    monkeypatch.setattr(sampling, "RANK_ROWS", 100)
+    monkeypatch.setattr(sampling, "TOP_ROWS", 10)
     assert sorted(r.id for r in sampling.simple_sample(df, 20, "id").collect()) == sorted(want)
     assert sampling.simple_sample(df, 1000, "id").count() == 500
 
