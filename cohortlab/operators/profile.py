@@ -90,7 +90,7 @@ def value_percentages_of(df: DataFrame, columns: dict[str, str], digits: int = 2
         F.struct(F.lit(name).alias("name"), col(c).cast("string").alias("value")) for name, c in columns.items()
     ])
     counts = df.select(F.inline(cells)).groupBy("name", "value").agg(F.count("*").alias("n"))
-    total = counts.filter(F.col("name") == next(iter(columns))).agg(F.sum("n")).scalar()
+    total = (counts.agg(F.sum("n")).scalar() / len(columns)).cast("bigint")
     return counts.withColumn("pct", half_even(F.col("n") / total * 100, digits))
 
 

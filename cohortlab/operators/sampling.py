@@ -105,11 +105,17 @@ class KeyCounts:
         return self.table.groupBy(*map(col, columns)).agg(F.sum("n").alias("n"))
 
 
-def _count_keys(keyed: DataFrame, strata: list[str], id_cols: list[str], width: int, rank_rows: int) -> KeyCounts:
-    id_hash = F.xxhash64(*map(col, id_cols))
-    one_id = F.min(id_hash) == F.max(id_hash)
+def _count_keys(
+    keyed: DataFrame, strata: list[str], id_cols: list[str], width: int, rank_rows: int, finer: bool = False
+) -> KeyCounts:
+    """`finer` counts also tell prefixes of a single id, however often copied,
+    which need no ranking and would never become small."""
+    rankable = F.count("*") <= rank_rows
+    if finer:
+        id_hash = F.xxhash64(*map(col, id_cols))
+        rankable = rankable | (F.min(id_hash) == F.max(id_hash))
     return KeyCounts(*small_table(keyed.groupBy(*map(col, strata), F.substring(_KEY, 1, width).alias("prefix")).agg(
-        F.count("*").alias("n"), ((F.count("*") <= rank_rows) | one_id).alias("rankable")
+        F.count("*").alias("n"), rankable.alias("rankable")
     )))
 
 
@@ -188,7 +194,7 @@ def _find_cuts(
     while not fits and width < _MD5_LENGTH and not open_ends.filter(~F.col("rankable")).isEmpty():
         inside = at_boundary().select(keyed.columns)
         width += _DIGITS
-        finer = _count_keys(inside, strata, id_cols, width, rank_rows)
+        finer = _count_keys(inside, strata, id_cols, width, rank_rows, finer=True)
         rest = open_ends.select(*map(col, strata), F.col("rest").alias("need"))
         ends = _boundary(finer.table, rest, strata).select(*map(col, strata), "prefix", "rest", "rankable")
         open_ends, _ = small_table(ends)
