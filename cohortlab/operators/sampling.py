@@ -15,6 +15,7 @@ plan without a shuffle that can be used any number of times.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -75,10 +76,10 @@ def largest_remainder_allocation(
     fractions (ties by stratum). Always sums to `size`."""
     size = size if isinstance(size, Column) else F.lit(size)
     group = Window.partitionBy(*map(col, by or []))
-    exact = counts.withColumn("exact", F.col("n") / F.sum("n").over(group) * size)
-    floored = exact.withColumn("k", F.floor("exact")).withColumn("left", size - F.sum(F.floor("exact")).over(group))
-    order = group.orderBy(F.desc(F.col("exact") - F.col("k")), col(stratum))
-    k = F.col("k") + (F.row_number().over(order) <= F.col("left")).cast("int")
+    exact = counts.withColumn("_exact", F.col("n") / F.sum("n").over(group) * size)
+    floored = exact.withColumn("k", F.floor("_exact")).withColumn("_left", size - F.sum(F.floor("_exact")).over(group))
+    order = group.orderBy(F.desc(F.col("_exact") - F.col("k")), col(stratum))
+    k = F.col("k") + (F.row_number().over(order) <= F.col("_left")).cast("int")
     return floored.select(*map(col, by or []), col(stratum), k.cast("bigint").alias("k"))
 
 
@@ -95,7 +96,7 @@ def capacity_report(allocation: DataFrame, pool_counts: DataFrame, strata: list[
 
 @dataclass(frozen=True)
 class KeyCounts:
-    """Rows per (stratum, key prefix): (*strata, prefix, n, rankable)."""
+    """Rows per (stratum, key prefix): (*strata, _prefix, n, _rankable)."""
 
     table: DataFrame
     rows: pa.Table | None
@@ -114,8 +115,8 @@ def _count_keys(
     if finer:
         id_hash = F.xxhash64(*map(col, id_cols))
         rankable = rankable | (F.min(id_hash) == F.max(id_hash))
-    return KeyCounts(*small_table(keyed.groupBy(*map(col, strata), F.substring(_KEY, 1, width).alias("prefix")).agg(
-        F.count("*").alias("n"), rankable.alias("rankable")
+    return KeyCounts(*small_table(keyed.groupBy(*map(col, strata), F.substring(_KEY, 1, width).alias("_prefix")).agg(
+        F.count("*").alias("n"), rankable.alias("_rankable")
     )))
 
 
@@ -133,33 +134,46 @@ def _listed(id_cols: str | list[str]) -> list[str]:
     return [id_cols] if isinstance(id_cols, str) else id_cols
 
 
+def _check_names(columns: list[str]) -> None:
+    taken = {"n", "k"} & set(columns)
+    if taken:
+        raise ValueError(f"counts and allocations use the names n and k; rename {sorted(taken)}")
+
+
 def _boundary(counts: DataFrame, needs: DataFrame, strata: list[str]) -> DataFrame:
     """One row per stratum: its size, the prefix in which the draw ends, and
-    how many keys of that prefix are wanted. A stratum's window holds at most
-    one row per prefix value, 256 in all."""
+    how many keys of that prefix are wanted. A stratum's window holds one row
+    per prefix counted: 256, or 65,536 after a refinement."""
     whole = Window.partitionBy(*map(col, strata))
     n = F.coalesce("n", F.lit(0))
-    placed = needs.join(counts, strata, "left").withColumn("upto", F.sum(n).over(whole.orderBy("prefix")))
-    placed = placed.withColumn("size", F.sum(n).over(whole)).withColumn("ends", F.least("need", "size"))
-    here = (F.col("size") == 0) | ((F.col("ends") <= F.col("upto")) & (F.col("ends") > F.col("upto") - F.col("n")))
+    placed = needs.join(counts, strata, "left").withColumn("_upto", F.sum(n).over(whole.orderBy("_prefix")))
+    placed = placed.withColumn("_rows", F.sum(n).over(whole)).withColumn("_ends", F.least("_need", "_rows"))
+    here = (F.col("_rows") == 0) | ((F.col("_ends") <= F.col("_upto")) & (F.col("_ends") > F.col("_upto") - F.col("n")))
     return placed.filter(here).select(
-        *map(col, strata), "need", "size", "prefix", (F.col("need") - F.col("upto") + F.col("n")).alias("rest"), "rankable"
+        *map(col, strata), "_need", "_rows", "_prefix", (F.col("_need") - F.col("_upto") + F.col("n")).alias("_rest"),
+        "n", "_rankable",
     )
 
 
+def _further_digits(rows: int, rank_rows: int) -> int:
+    """Digits that bring so many evenly spread keys down to the rank limit, at
+    most four: 65,536 counts per stratum."""
+    return min(4, max(1, math.ceil(math.log(rows / rank_rows, 16))))
+
+
 def _cut_keys(near: DataFrame, strata: list[str], id_cols: list[str]) -> DataFrame:
-    """(*strata, cut, _cut_0.., spare): the `rest`-th key, and its id, among
-    rows of the boundary prefixes. Copies of an id are counted, not sorted; `spare` copies
-    of the last id are left over if the draw ends among them."""
+    """(*strata, _cut_key, _cut_0.., _spare): the `_rest`-th key, and its id,
+    among rows of the boundary prefixes. Copies of an id are counted, not
+    sorted; some of the last id are spare if the draw ends among them."""
     named = [col(c).alias(f"_cut_{i}") for i, c in enumerate(id_cols)]
     cut_id = [f"_cut_{i}" for i in range(len(id_cols))]
-    ids = near.select(*map(col, strata), F.col(_KEY).alias("cut"), *named, "rest") \
-        .groupBy(*map(col, strata), "cut", *cut_id, "rest").agg(F.count("*").alias("copies"))
-    order = Window.partitionBy(*map(col, strata)).orderBy("cut", *cut_id)
-    ranked = ids.withColumn("upto", F.sum("copies").over(order))
-    last = (F.col("rest") <= F.col("upto")) & (F.col("rest") > F.col("upto") - F.col("copies"))
-    spare = (F.col("upto") - F.col("rest")).alias("spare")
-    return ranked.filter(last).select(*map(col, strata), "cut", *cut_id, spare)
+    ids = near.select(*map(col, strata), F.col(_KEY).alias("_cut_key"), *named, "_rest") \
+        .groupBy(*map(col, strata), "_cut_key", *cut_id, "_rest").agg(F.count("*").alias("_copies"))
+    order = Window.partitionBy(*map(col, strata)).orderBy("_cut_key", *cut_id)
+    ranked = ids.withColumn("_upto", F.sum("_copies").over(order))
+    last = (F.col("_rest") <= F.col("_upto")) & (F.col("_rest") > F.col("_upto") - F.col("_copies"))
+    spare = (F.col("_upto") - F.col("_rest")).alias("_spare")
+    return ranked.filter(last).select(*map(col, strata), "_cut_key", *cut_id, spare)
 
 
 def _complain(cuts: DataFrame, rows: pa.Table | None, condition: str, text: str, show: list[str]) -> None:
@@ -177,54 +191,60 @@ def _find_cuts(
     keyed: DataFrame, needs: DataFrame, counts: KeyCounts, strata: list[str], id_cols: list[str],
     rank_rows: int, strict: bool,
 ) -> DataFrame:
-    """(*strata, cut, _cut_0..) of every stratum that gives rows."""
+    """(*strata, _cut_key, _cut_0..) of every stratum that gives rows."""
     bounded = counts.rows is not None
     boundary = _boundary(counts.table, needs, strata)
-    fits = bounded and all(counts.rows["rankable"].to_pylist())
+    fits = bounded and all(counts.rows["_rankable"].to_pylist())
     if not fits:
         boundary, _ = small_table(boundary)
-    open_ends = boundary.filter("need < size").select(*map(col, strata), "prefix", "rest", "rankable")
+    ends = [*map(col, strata), "_prefix", "_rest", "n", "_rankable"]
+    open_ends = boundary.filter("_need < _rows").select(*ends)
     width = _DIGITS
 
     def at_boundary() -> DataFrame:
         # At most one row per stratum, so the checked counts bound these too.
-        inside = keyed.join(F.broadcast(open_ends) if bounded else open_ends, strata)
-        return inside.filter(F.substring(_KEY, 1, width) == F.col("prefix"))
-
-    while not fits and width < _MD5_LENGTH and not open_ends.filter(~F.col("rankable")).isEmpty():
+        at = open_ends.select(*map(col, strata), "_prefix", "_rest")
+        inside = keyed.join(F.broadcast(at) if bounded else at, strata)
+        return inside.filter(F.substring(_KEY, 1, width) == F.col("_prefix"))
+
+    while not fits and width < _MD5_LENGTH:
+        largest = open_ends.filter(~F.col("_rankable")).agg(F.max("n")).first()[0]
+        if largest is None:
+            break
         inside = at_boundary().select(keyed.columns)
-        width += _DIGITS
+        width = min(width + _further_digits(largest, rank_rows), _MD5_LENGTH)
         finer = _count_keys(inside, strata, id_cols, width, rank_rows, finer=True)
-        rest = open_ends.select(*map(col, strata), F.col("rest").alias("need"))
-        ends = _boundary(finer.table, rest, strata).select(*map(col, strata), "prefix", "rest", "rankable")
-        open_ends, _ = small_table(ends)
+        rest = open_ends.select(*map(col, strata), F.col("_rest").alias("_need"))
+        open_ends, _ = small_table(_boundary(finer.table, rest, strata).select(*ends))
     nothing = F.lit(0).cast("bigint")
-    closed = boundary.filter("need >= size").select(
-        *map(col, strata), F.when(F.col("size") > 0, F.lit(_PAST_ALL)).alias("cut"), nothing.alias("spare"),
-        (F.col("need") - F.col("size")).alias("short"),
+    # Strata without any row matter to the strict check only.
+    closed = boundary.filter("_need >= _rows" if strict else "_need >= _rows AND _rows > 0").select(
+        *map(col, strata), F.when(F.col("_rows") > 0, F.lit(_PAST_ALL)).alias("_cut_key"), nothing.alias("_spare"),
+        (F.col("_need") - F.col("_rows")).alias("_short"),
     )
-    inner = _cut_keys(at_boundary(), strata, id_cols).withColumn("short", nothing)
-    cuts, rows = small_table(inner.unionByName(closed, allowMissingColumns=True))
-    _complain(cuts, rows, "spare > 0", "a draw ends among copies of one id; name columns that make rows unique", strata)
+    inner = _cut_keys(at_boundary(), strata, id_cols).withColumn("_short", nothing)
+    cuts, rows = small_table(inner.unionByName(closed, allowMissingColumns=True), bounded=bounded and not strict)
+    _complain(cuts, rows, "_spare > 0", "a draw ends among copies of one id; name columns that make rows unique", strata)
     if strict:
-        _complain(cuts, rows, "short > 0", "strata too small for the draw", [*strata, "short"])
-    return cuts.drop("spare", "short")
+        _complain(cuts, rows, "_short > 0", "strata too small for the draw", [*strata, "_short"])
+    return cuts.drop("_spare", "_short")
 
 
 def _flagged(
     pool: DataFrame, allocation: DataFrame, strata: list[str], id_cols: list[str], seed: int | Column,
     salt: str | None, strict: bool, rank_rows: int, counts: KeyCounts | None, how: str,
 ) -> DataFrame:
+    _check_names([*strata, *id_cols])
     keyed = pool.withColumn(_KEY, draw_key(id_cols, seed, salt))
     narrow = keyed.select(*map(col, dict.fromkeys([*strata, *id_cols])), _KEY)
     counts = counts or _count_keys(narrow, strata, id_cols, _DIGITS, rank_rows)
-    needs = allocation.filter(F.col("k") > 0).select(*map(col, strata), F.col("k").alias("need"))
+    needs = allocation.filter(F.col("k") > 0).select(*map(col, strata), F.col("k").alias("_need"))
     cuts = _find_cuts(narrow, needs, counts, strata, id_cols, rank_rows, strict)
     this_id = F.struct(*map(col, id_cols))
     cut_id = [f"_cut_{i}" for i in range(len(id_cols))]
     last_id = F.struct(*[F.col(cut).alias(c) for cut, c in zip(cut_id, id_cols)])
-    taken = (F.col(_KEY) < F.col("cut")) | ((F.col(_KEY) == F.col("cut")) & (this_id <= last_id))
-    return keyed.join(cuts, strata, how).withColumn("_taken", definite(taken)).drop("cut", *cut_id)
+    taken = (F.col(_KEY) < F.col("_cut_key")) | ((F.col(_KEY) == F.col("_cut_key")) & (this_id <= last_id))
+    return keyed.join(cuts, strata, how).withColumn("_taken", definite(taken)).drop("_cut_key", *cut_id)
 
 
 def draw(

@@ -28,15 +28,16 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, pa.Table | None]:
+def small_table(df: DataFrame, max_rows: int = SMALL_ROWS, bounded: bool = False) -> tuple[DataFrame, pa.Table | None]:
     """`df` computed once, for joining to a much larger table.
 
     With at most `max_rows` rows it becomes a local table in one partition,
     which further grouping need not shuffle, marked for broadcast; its rows
     are returned with it. With more it is staged and left unmarked (rows:
     None), so a join shuffles and adaptive execution splits hot keys.
+    `bounded` says that the size is known from a table checked before.
     """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows <= max_rows:
+    rows = df.toArrow() if bounded else df.limit(max_rows + 1).toArrow()
+    if bounded or rows.num_rows <= max_rows:
         return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema).coalesce(1)), rows
     return stage(df), None

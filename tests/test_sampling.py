@@ -47,7 +47,7 @@ def test_draw_without_small_tables(spark, pool, monkeypatch):
     """Beyond the size check nothing is broadcast and results stay the same."""
     rows, df = pool
     monkeypatch.setattr(staging, "SMALL_ROWS", 0)
-    monkeypatch.setattr(sampling, "small_table", lambda t: staging.small_table(t, 0))
+    monkeypatch.setattr(sampling, "small_table", lambda t, bounded=False: staging.small_table(t, 0, bounded))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         for rank_rows in (1_000_000, 3):
@@ -231,3 +231,21 @@ def test_draw_counts_of_one_class_only(spark):
     out = sampling.ratio_subsamples(df, [("s", 10, 1)], "label", "phase", "id").collect()
     assert len(out) == 10 and {r.split for r in out} == {"s_pos"}
     assert math.isclose(len({r.id for r in out}), 10)
+
+
+def test_sizes_of_the_usual_subsamples(spark):
+    """926 positives and 309 negatives: 262 + 88 of 350, 37 + 13 of 50."""
+    rows = [(i, "pos" if i < 926 else "neg", ["portal", "arterial", "venous"][i * 7 % 3]) for i in range(1235)]
+    df = spark.createDataFrame(rows, "id int, label string, phase string")
+    out = sampling.ratio_subsamples(df, [("a", 350, 42), ("b", 50, 43)], "label", "phase", "id").collect()
+    assert Counter(r.split for r in out) == {"a_pos": 262, "a_neg": 88, "b_pos": 37, "b_neg": 13}
+
+
+def test_columns_may_have_common_names(spark):
+    names = ["cut", "size", "need", "prefix", "rest", "short", "upto", "left"]
+    df = spark.createDataFrame([(i, "x", *range(6)) for i in range(50)], ["cut", "size", *names[2:]])
+    out = sampling.draw(df, spark.createDataFrame([("x", 7)], "size string, k bigint"), ["size"], "cut")
+    assert out.columns == names and out.count() == 7
+    assert sampling.two_way_split(df.withColumn("size", df.cut % 2), 20, "size", "cut", name="part").filter("part = 'train'").count() == 20
+    with pytest.raises(ValueError, match="rename"):
+        sampling.draw(df.withColumnRenamed("cut", "n"), spark.createDataFrame([("x", 7)], "size string, k bigint"), ["size"], "n")
