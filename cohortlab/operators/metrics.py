@@ -39,31 +39,31 @@ def confusion_metrics(
 
 
 def _ranked(scored: DataFrame, by: str, truth: str, score: str, threshold: float, rows_per_bucket: int) -> DataFrame:
-    """(by, p, n, tp, fp, won): class sizes, hits at the threshold, and the
+    """(by, _p, _n, _tp, _fp, _won): class sizes, hits at the threshold, and the
     pairs in which the positive scores higher (ties half).
 
     Tied scores are collapsed first; each score bucket of a group is then
     ranked on its own, and the negatives in lower buckets are added from the
     bucket totals. No task sorts a whole group.
     """
-    rows = scored.select(col(by), col(score).cast("double").alias("s"), (col(truth) == 1).cast("int").alias("pos"))
-    bucketed = with_bucket(rows, "s", value_edges(rows, "s", rows_per_bucket))
-    ties = bucketed.groupBy(col(by), "bucket", "s").agg(
-        F.sum("pos").alias("p"), F.sum(1 - F.col("pos")).alias("n")
+    rows = scored.select(col(by), col(score).cast("double").alias("_s"), (col(truth) == 1).cast("int").alias("_pos"))
+    bucketed = with_bucket(rows, "_s", value_edges(rows, "_s", rows_per_bucket), "_bucket")
+    ties = bucketed.groupBy(col(by), "_bucket", "_s").agg(
+        F.sum("_pos").alias("_p"), F.sum(1 - F.col("_pos")).alias("_n")
     )
-    rising = Window.partitionBy(col(by), "bucket").orderBy("s")
-    below = F.sum("n").over(rising) - F.col("n")
-    hit = at_least(F.col("s"), threshold)
-    per_bucket = ties.withColumn("won", F.col("p").cast("double") * (below + F.col("n") / 2))
-    per_bucket = per_bucket.groupBy(col(by), "bucket").agg(
-        F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum("won").alias("won"),
-        F.sum(F.col("p") * hit).alias("tp"), F.sum(F.col("n") * hit).alias("fp"),
+    rising = Window.partitionBy(col(by), "_bucket").orderBy("_s")
+    below = F.sum("_n").over(rising) - F.col("_n")
+    hit = at_least(F.col("_s"), threshold)
+    per_bucket = ties.withColumn("_won", F.col("_p").cast("double") * (below + F.col("_n") / 2))
+    per_bucket = per_bucket.groupBy(col(by), "_bucket").agg(
+        F.sum("_p").alias("_p"), F.sum("_n").alias("_n"), F.sum("_won").alias("_won"),
+        F.sum(F.col("_p") * hit).alias("_tp"), F.sum(F.col("_n") * hit).alias("_fp"),
     )
     # One row per bucket and group from here on.
-    up = Window.partitionBy(col(by)).orderBy("bucket")
-    lower = F.sum("n").over(up) - F.col("n")
-    placed = per_bucket.withColumn("won", F.col("won") + F.col("p").cast("double") * lower)
-    return placed.groupBy(col(by)).agg(*[F.sum(c).alias(c) for c in ("p", "n", "tp", "fp", "won")])
+    up = Window.partitionBy(col(by)).orderBy("_bucket")
+    lower = F.sum("_n").over(up) - F.col("_n")
+    placed = per_bucket.withColumn("_won", F.col("_won") + F.col("_p").cast("double") * lower)
+    return placed.groupBy(col(by)).agg(*[F.sum(c).alias(c) for c in ("_p", "_n", "_tp", "_fp", "_won")])
 
 
 def auroc(
@@ -77,7 +77,7 @@ def auroc(
 
 
 def _area() -> Column:
-    return F.try_divide(F.col("won"), F.col("p").cast("double") * F.col("n"))
+    return F.try_divide(F.col("_won"), F.col("_p").cast("double") * F.col("_n"))
 
 
 def evaluation_report(
@@ -91,8 +91,8 @@ def evaluation_report(
     """
     ranked = _ranked(scored, by, truth, score, threshold, rows_per_bucket)
     measured = ranked.select(
-        col(by), (F.col("p") + F.col("n")).alias("n"), F.col("p").alias("n_positive"), _area().alias("auroc"),
-        *_ratios(F.col("tp"), F.col("fp"), F.col("p") - F.col("tp")),
+        col(by), (F.col("_p") + F.col("_n")).alias("n"), F.col("_p").alias("n_positive"), _area().alias("auroc"),
+        *_ratios(F.col("_tp"), F.col("_fp"), F.col("_p") - F.col("_tp")),
     )
     return measured.select(col(by), "n", "n_positive", "auroc", "f1", "precision", "recall")
 

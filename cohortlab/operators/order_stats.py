@@ -103,45 +103,45 @@ def exact_quantiles(
         pairs = F.arrays_zip(F.array(*map(F.lit, probs)).alias("p"), F.col("values").alias("value"))
         return at_once.select(*map(col, keys), F.inline(pairs))
 
-    long = with_bucket(long, "value", value_edges(long, "value", rows_per_bucket, found.values))
+    long = with_bucket(long, "value", value_edges(long, "value", rows_per_bucket, found.values), "_bucket")
     # Per key at most one row per bucket, so these windows stay small.
-    in_order = Window.partitionBy(*map(col, keys)).orderBy("bucket")
+    in_order = Window.partitionBy(*map(col, keys)).orderBy("_bucket")
     whole = Window.partitionBy(*map(col, keys))
-    counts = long.groupBy(*map(col, keys), "bucket").agg(F.count("*").alias("n"))
+    counts = long.groupBy(*map(col, keys), "_bucket").agg(F.count("*").alias("_n"))
     placed = counts.select(
-        *map(col, keys), "bucket", "n",
-        (F.sum("n").over(in_order) - F.col("n")).alias("before"), F.sum("n").over(whole).alias("rows"),
+        *map(col, keys), "_bucket", "_n",
+        (F.sum("_n").over(in_order) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("_rows"),
     )
     ranks = F.array(*[
-        F.struct(F.lit(p).alias("p"), (F.lit(p) * (F.col("rows") - 1)).alias("at")) for p in probs
+        F.struct(F.lit(p).alias("p"), (F.lit(p) * (F.col("_rows") - 1)).alias("_at")) for p in probs
     ])
 
     def holds(before, n, x):
-        low, high = F.floor(x["at"]), F.ceil(x["at"])
+        low, high = F.floor(x["_at"]), F.ceil(x["_at"])
         inside = lambda rank: (rank >= before) & (rank < before + n)
         return inside(low) | inside(high)
 
-    wanted = placed.withColumn("ranks", F.filter(ranks, lambda x: holds(F.col("before"), F.col("n"), x)))
-    wanted = wanted.filter(F.size("ranks") > 0).drop("n")
+    wanted = placed.withColumn("_ranks", F.filter(ranks, lambda x: holds(F.col("_before"), F.col("_n"), x)))
+    wanted = wanted.filter(F.size("_ranks") > 0).drop("_n")
     wanted, _ = small_table(wanted)
-    renamed = wanted.select(*[col(k).alias(f"_w_{k}") for k in keys], F.col("bucket").alias("_w_bucket"), "before", "ranks")
+    renamed = wanted.select(*[col(k).alias(f"_w_{k}") for k in keys], F.col("_bucket").alias("_w_bucket"), "_before", "_ranks")
     same = [col(k).eqNullSafe(col(f"_w_{k}")) for k in by]
-    same += [F.col("measure") == F.col("_w_measure"), F.col("bucket") == F.col("_w_bucket")]
+    same += [F.col("measure") == F.col("_w_measure"), F.col("_bucket") == F.col("_w_bucket")]
     same = reduce(and_, same)
     near = long.join(renamed, same, "left_semi")
-    distinct = near.groupBy(*map(col, keys), "bucket", "value").agg(F.count("*").alias("n"))
-    in_bucket = Window.partitionBy(*map(col, keys), "bucket").orderBy("value")
-    ranked = distinct.withColumn("upto", F.sum("n").over(in_bucket)).join(renamed, same)
-    before = (F.col("before") + F.col("upto") - F.col("n")).alias("before")
-    ranked = ranked.select(*map(col, keys), "value", before, "n", F.inline("ranks"))
+    distinct = near.groupBy(*map(col, keys), "_bucket", "value").agg(F.count("*").alias("_n"))
+    in_bucket = Window.partitionBy(*map(col, keys), "_bucket").orderBy("value")
+    ranked = distinct.withColumn("_upto", F.sum("_n").over(in_bucket)).join(renamed, same)
+    before = (F.col("_before") + F.col("_upto") - F.col("_n")).alias("_before")
+    ranked = ranked.select(*map(col, keys), "value", before, "_n", F.inline("_ranks"))
 
     def value_at(rank):
-        hit = (rank >= F.col("before")) & (rank < F.col("before") + F.col("n"))
+        hit = (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_n"))
         return F.max(F.when(hit, F.col("value")))
 
-    low, high = F.floor("at"), F.ceil("at")
+    low, high = F.floor("_at"), F.ceil("_at")
     ends = ranked.groupBy(*map(col, keys), "p").agg(
-        value_at(low).alias("low"), value_at(high).alias("high"), F.max(F.col("at") - low).alias("weight")
+        value_at(low).alias("_low"), value_at(high).alias("_high"), F.max(F.col("_at") - low).alias("_weight")
     )
-    value = F.col("low") + (F.col("high") - F.col("low")) * F.col("weight")
+    value = F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_weight")
     return ends.select(*map(col, keys), "p", value.alias("value"))
