@@ -293,7 +293,8 @@ def two_way_split(
     second, each with the same mix of strata (largest remainder).
 
     Raises as a stratified split must: when a part would be empty or smaller
-    than the number of strata, or a stratum has a single row.
+    than the number of strata, or a stratum has a single row. Rows without a
+    stratum are not counted and go to the second part.
     """
     counts = count_keys(df, [stratum], id_cols, seed, salt, rank_rows)
     sizes = counts.by(stratum).filter(col(stratum).isNotNull())
@@ -328,8 +329,10 @@ def simple_sample(df: DataFrame, size: int, id_cols: str | list[str], seed: int
     ids = _listed(id_cols)
     if size <= TOP_ROWS:
         return df.orderBy(draw_key(ids, seed), *map(col, ids)).limit(size)
-    pool = df.withColumn("_all", F.lit(1))
-    allocation = df.sparkSession.createDataFrame([(1, size)], "_all int, k bigint")
+    # One stratum for all rows. A plain constant would be folded out of the join
+    # with the cut and leave a nested loop, so it is the length of the key.
+    pool = df.withColumn("_all", F.length(draw_key(ids, seed)))
+    allocation = df.sparkSession.createDataFrame([(_MD5_LENGTH, size)], "_all int, k bigint")
     return draw(pool, allocation, ["_all"], ids, seed).drop("_all")
 
 

@@ -169,6 +169,8 @@ def test_simple_sample(spark, monkeypatch):
     monkeypatch.setattr(sampling, "TOP_ROWS", 10)
     assert sorted(r.id for r in sampling.simple_sample(df, 20, "id").collect()) == sorted(want)
     assert sampling.simple_sample(df, 1000, "id").count() == 500
+    plan = sampling.simple_sample(df, 20, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan
 
 
 def scan_rows():
