@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortlab.llm import mixing, quality, secrets, toxicity
+from cohortlab.llm import mixing, pieces, quality, secrets, substrings, toxicity
 from cohortlab.llm.common import table
 
 QUERIES = {}
@@ -36,3 +36,13 @@ def op5_toxicity(spark, folder):
 @query()
 def op7_secrets(spark, folder):
     return secrets.report(table(spark, folder, "documents"))
+
+
+@query()
+def op8_sentencepiece(spark, folder):
+    return pieces.encode(table(spark, folder, "documents"))
+
+
+@query()
+def op3_substring_dedup(spark, folder):
+    return substrings.report(table(spark, folder, "documents"))

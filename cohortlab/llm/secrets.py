@@ -122,8 +122,10 @@ def link(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """Counts of base kinds, a digest of base spans, and all spans, of every document."""
     found = scan(docs, id_col, text_col, scope)
-    counts = [F.size(F.filter("base", lambda x, i=i: x.kind == i)).cast("bigint").alias(f"n_{BASE[i][0]}") for i in range(len(BASE))]
-    return found.select("doc_id", *counts, F.sha2(_named(F.col("base")), 256).alias("base_sha256"), _named(F.col("found")).alias("spans"))
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda x: x.kind == kind)).cast("bigint")
+
+    return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, (k, *_) in enumerate(BASE)], F.sha2(_named(F.col("base")), 256).alias("base_sha256"), _named(F.col("found")).alias("spans"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE, mark: str = "[secret]") -> DataFrame:

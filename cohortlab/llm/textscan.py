@@ -112,4 +112,4 @@ class Words:
         for j in range(k):
             h = h * BASE + self.hash[j: j + n]
         at = np.flatnonzero(self.doc[:n] == self.doc[k - 1:])
-        return at, mix(h[at] ^ (np.uint64(seed) * _ODD))
+        return at, mix(h[at] ^ CODES[seed])
