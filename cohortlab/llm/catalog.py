@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortlab.llm import mixing, pieces, quality, secrets, substrings, toxicity
+from cohortlab.llm import mixing, near_duplicates, pieces, quality, secrets, substrings, toxicity
 from cohortlab.llm.common import table
 
 QUERIES = {}
@@ -46,3 +46,8 @@ def op8_sentencepiece(spark, folder):
 @query()
 def op3_substring_dedup(spark, folder):
     return substrings.report(table(spark, folder, "documents"))
+
+
+@query()
+def op2_minhash_near_dedup(spark, folder):
+    return near_duplicates.report(table(spark, folder, "documents"), k=2)

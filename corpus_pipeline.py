@@ -1,8 +1,8 @@
-"""Corpus preparation in stages; each reads what the one before wrote."""
+"""Corpus preparation in stages; each works on all that the one before wrote."""
 
 from __future__ import annotations
 
-from cohortlab.llm import toxicity
+from cohortlab.llm import mixing, near_duplicates, pieces, secrets, toxicity
 from cohortlab.llm.common import table
 from cohortlab.staging import stage
 
@@ -12,7 +12,28 @@ def drop_toxic(spark, docs, sf_dir):
     return toxicity.filter_documents(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("toxicity", drop_toxic)]
+def drop_near_copies(spark, docs, sf_dir):
+    """One document of each group of near copies stays: the one with the smallest id."""
+    return near_duplicates.keep_one(docs)
+
+
+def hide_secrets(spark, docs, sf_dir):
+    """Every document stays; reported spans in texts are replaced by a mark. Other columns keep their values."""
+    return secrets.redact(docs)
+
+
+def mix_sources(spark, docs, sf_dir):
+    """Documents as often as the mix takes them, in the order of training."""
+    return mixing.mix_documents(docs)
+
+
+def encode_texts(spark, docs, sf_dir):
+    """All rows, with ids of their texts."""
+    return pieces.encode_documents(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("near duplicates", drop_near_copies), ("secrets", hide_secrets), ("mixing", mix_sources),
+          ("encoding", encode_texts)]
 # Learned and hashed stages have no SQL; tests hold them against plain versions.
 ORACLE_SQL = None
 
@@ -20,6 +41,6 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     """The stages in order over `documents`."""
     docs = table(spark, sf_dir, "documents")
-    for _, step in STAGES:
+    for _, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
