@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortlab.llm import mixing, near_duplicates, pieces, quality, secrets, substrings, toxicity
+from cohortlab.llm import embeddings, lm_scores, mixing, near_duplicates, pieces, quality, secrets, substrings, toxicity
 from cohortlab.llm.common import table
 
 QUERIES = {}
@@ -51,3 +51,13 @@ def op3_substring_dedup(spark, folder):
 @query()
 def op2_minhash_near_dedup(spark, folder):
     return near_duplicates.report(table(spark, folder, "documents"), k=2)
+
+
+@query()
+def op6_embedding_near_dedup(spark, folder):
+    return embeddings.links(table(spark, folder, "embeddings"))
+
+
+@query()
+def op9_lm_scores(spark, folder):
+    return lm_scores.score(table(spark, folder, "documents"))
