@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortlab.llm import embeddings, lm_scores, mixing, near_duplicates, pieces, quality, secrets, substrings, toxicity
+from cohortlab.llm import embeddings, lm_scores, mixing, near_duplicates, pieces, quality, secrets, substrings, suffixes, toxicity
 from cohortlab.llm.common import table
 
 QUERIES = {}
@@ -61,3 +61,8 @@ def op6_embedding_near_dedup(spark, folder):
 @query()
 def op9_lm_scores(spark, folder):
     return lm_scores.score(table(spark, folder, "documents"))
+
+
+@query()
+def op10_suffix_dedup(spark, folder):
+    return suffixes.report(table(spark, folder, "documents"))

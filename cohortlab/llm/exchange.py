@@ -88,8 +88,11 @@ def asks(n_buckets: int, docs: np.ndarray, rks: np.ndarray, item_doc: np.ndarray
         names=["bucket", "tell", "rks", "docs", "counts", "hashes"])
 
 
-def answer(rows: DataFrame, width: int, smaller: bool) -> DataFrame:
-    """(rk, hashes) of found items, from rows of `asks`."""
+def answer(rows: DataFrame, width: int, smaller: bool, often: int | None = None) -> DataFrame:
+    """(rk, hashes) of found items, from rows of `asks`.
+
+    With `often` there is a third column, `common`: its rows list, without a key, the items that so many blocks or more asked for.
+    """
     def reply(table: pa.Table) -> pa.Table:
         tell = table.column("tell").to_numpy(zero_copy_only=False)
         cols = {k: table.column(k).to_pylist() for k in ("rks", "docs", "counts", "hashes")}
@@ -111,10 +114,18 @@ def answer(rows: DataFrame, width: int, smaller: bool) -> DataFrame:
             found = ~lead | np.concatenate((~lead[1:], [False])) if len(h) else lead
         keys, hashes = by_row(rk[found], h[found])
         told = np.flatnonzero(tell)
+        top = np.zeros(0, np.uint64)
+        if often is not None and len(h):
+            top = h[lead][np.bincount(np.cumsum(lead) - 1) >= often]
         keys = np.concatenate((keys, np.frombuffer(b"".join(cols["rks"][i] for i in told), np.int64)))
-        return pa.table({"rk": keys, "hashes": pa.concat_arrays([hashes, pa.array([cols["hashes"][i] for i in told], pa.binary())])})
-
-    return rows.groupBy("bucket").applyInArrow(reply, REPLIES)
+        hashes = [hashes, pa.array([cols["hashes"][i] for i in told], pa.binary())]
+        if often is None:
+            return pa.table({"rk": keys, "hashes": pa.concat_arrays(hashes)})
+        listed = pa.array([top.astype("<u8").tobytes()] if len(top) else [], pa.binary())
+        return pa.table({"rk": pa.array([*keys.tolist(), *[None] * len(listed)], pa.int64()), "hashes": pa.concat_arrays([*hashes, listed]),
+                         "common": [False] * len(keys) + [True] * len(listed)})
+
+    return rows.groupBy("bucket").applyInArrow(reply, REPLIES + ("" if often is None else ", common boolean"))
 
 
 def gathered(replies: DataFrame) -> DataFrame:
