@@ -123,7 +123,7 @@ def answer(rows: DataFrame, width: int, smaller: bool, often: int | None = None)
             return pa.table({"rk": keys, "hashes": pa.concat_arrays(hashes)})
         listed = pa.array([top.astype("<u8").tobytes()] if len(top) else [], pa.binary())
         return pa.table({"rk": pa.array([*keys.tolist(), *[None] * len(listed)], pa.int64()), "hashes": pa.concat_arrays([*hashes, listed]),
-                         "common": [False] * len(keys) + [True] * len(listed)})
+                         "common": pa.array([False] * len(keys) + [True] * len(listed), pa.bool_())})
 
     return rows.groupBy("bucket").applyInArrow(reply, REPLIES + ("" if often is None else ", common boolean"))
 

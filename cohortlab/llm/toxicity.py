@@ -41,7 +41,7 @@ EXCEPTIONS = {"clown fish": "clown", "trash can": "trash", "trash bin": "trash",
               "circus clown": "clown", "sore loser": "loser", "stupid simple": "stupid"}
 # Signs read as the letter they resemble.
 LOOKALIKES = {
-    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e",
+    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "€": "e",
     "а": "a", "в": "b", "с": "c", "е": "e", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s",
     "т": "t", "у": "y", "х": "x", "ԁ": "d", "ɡ": "g", "ӏ": "l", "ո": "n", "ս": "u", "ԝ": "w",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
@@ -66,7 +66,10 @@ def folding() -> np.ndarray:
 def fold(text: str) -> str:
     """Letters folded, all else a space. The length stays."""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    return folding()[np.minimum(points, _SIZE - 1)].tobytes().decode("utf-32-le")
+    out = folding()[np.minimum(points, _SIZE - 1)]
+    # An exclamation mark reads as a letter only before another.
+    out[np.flatnonzero((points[:-1] == 33) & (out[1:] != 32))] = ord("i")
+    return out.tobytes().decode("utf-32-le")
 
 
 @dataclass
@@ -191,27 +194,31 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 50) -> tu
     return tuple(float(v) for v in b)
 
 
-def _scorer(shared):
+def _scorer(shared, text_col: str | None):
+    """`text_col`: the text is a field of `row`."""
     def run(batches):
         lexicon = shared.value
         machine = lexicon.automaton()
-        for batch in blocks(batches):
-            hits, words = sums(batch.column("text").to_pylist(), machine)
-            z = features(hits, words) @ np.array(lexicon.curve)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in batch.schema.names if c != "text"], pa.array(hits), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))],
-                names=[*[c for c in batch.schema.names if c != "text"], "weight", "score"])
+        for whole in batches:
+            if text_col is not None:
+                whole = whole.append_column("text", whole.column("row").field(text_col))
+            for batch in blocks([whole]):
+                hits, words = sums([t or "" for t in batch.column("text").to_pylist()], machine)
+                z = features(hits, words) @ np.array(lexicon.curve)
+                names = [c for c in batch.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c) for c in names], pa.array(hits), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))],
+                    names=[*names, "weight", "score"])
     return run
 
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """(doc_id, weight, score) of every row; `carry` adds the whole row as a struct, `row`."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    cols = docs.select(F.col(id_col).alias("doc_id"), *[F.struct("*").alias("row") for _ in range(carry)],
-                       F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    cols = docs.select(F.col(id_col).alias("doc_id"), F.struct("*").alias("row") if carry else F.col(text_col).alias("text"))
     schema = T.StructType([f for f in cols.schema.fields if f.name != "text"] + [
         T.StructField("weight", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    return cols.mapInArrow(_scorer(shared), schema)
+    return cols.mapInArrow(_scorer(shared, text_col if carry else None), schema)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
