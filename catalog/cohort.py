@@ -62,11 +62,13 @@ def q_nonzero_flags(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, split_part(text, chr(10), 2) AS note FROM documents
-WHERE regexp_matches(split_part(text, chr(10), 2), '[^\\s]')""")
+SELECT doc_id, i::BIGINT AS line, note FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS note, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+WHERE regexp_matches(note, '[^\\s]')""")
 def q_nonblank_text(t: Tables) -> DataFrame:
-    notes = t.documents.select("doc_id", F.get(F.split("text", "\n"), F.lit(1)).alias("note"))
-    return notes.filter(non_blank(F.col("note")))
+    """Every line of every text that is not blank."""
+    notes = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "note"))
+    return notes.withColumn("line", F.col("line") + 1).filter(non_blank(F.col("note")))
 
 
 @query(f"WITH {AGES} SELECT event_id, round(value, 6) AS value FROM num WHERE value IS NOT NULL")

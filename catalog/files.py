@@ -25,24 +25,26 @@ def q_split_roundtrip(t: Tables) -> DataFrame:
     return id_lists.read_splits(t.spark, path)
 
 
-@query(f"WITH {SPLITS} SELECT DISTINCT split FROM splits")
+@query(f"""WITH {SPLITS}
+SELECT split, 'part' AS id, sum(length(id::VARCHAR) + 1)::BIGINT AS length FROM splits GROUP BY split""")
 def q_file_inventory(t: Tables) -> DataFrame:
-    """Which splits have files in a written collection."""
+    """Files of a written collection: the start of their ids, and their bytes, by split."""
     path = new_folder(t.spark, "splits")
     id_lists.write_splits(splits_of(t), path)
     files = volumes.file_inventory(t.spark, path, ".txt", recursive=True).filter("length > 0")
-    return files.select(F.regexp_extract("path", "/split=([^/]+)/", 1).alias("split")).distinct()
+    split = F.regexp_extract("path", "/split=([^/]+)/", 1).alias("split")
+    return files.groupBy(split, F.substring("id", 1, 4).alias("id")).agg(F.sum("length").alias("length"))
 
 
 @query(f"""WITH {SCANS}
-SELECT doc_id, lang, n_chars, quality::BIGINT AS quality, toxic::BIGINT AS toxic, doc_id AS id_num FROM scans""")
+SELECT doc_id, lang, n_chars, quality::BIGINT AS quality, toxic::BIGINT AS toxic, doc_id AS id_num, text FROM scans""")
 def q_csv_roundtrip(t: Tables) -> DataFrame:
-    """Missing labels are written as NA and come back as missing."""
+    """Missing labels are written as NA and come back as missing; texts with line breaks and quotes come back whole."""
     path = new_folder(t.spark, "csv")
-    t.scans("n_chars").withColumn("doc_id", F.concat(F.lit("DOC_"), "doc_id")) \
-        .write.option("header", True).option("nullValue", "NA").csv(path)
+    t.scans("n_chars", "text").withColumn("doc_id", F.concat(F.lit("DOC_"), "doc_id")) \
+        .write.options(header=True, nullValue="NA", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     types = {"n_chars": "bigint", "quality": "int", "toxic": "int"}
-    table = metadata.read_metadata(t.spark, path, types, id_col="doc_id", multi_line=False)
+    table = metadata.read_metadata(t.spark, path, types, id_col="doc_id", multi_line=True)
     return table.withColumn("doc_id", F.col("id_num"))
 
 
@@ -67,3 +69,22 @@ SELECT doc_id AS id, 'volumes/' || doc_id || '.nii.gz' AS path FROM documents
 WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def q_still_to_fetch(t: Tables) -> DataFrame:
     return volumes.still_to_fetch(t.documents, t.labels, "doc_id", "volumes")
+
+
+@query(f"""WITH {_SCORED}
+SELECT finding, vec_id::VARCHAR AS study_id, y_true::BIGINT AS y_true, round(y_score, 6) AS y_score FROM scored""")
+def q_results_entries(t: Tables) -> DataFrame:
+    """Results in many small entries; the layout is the same."""
+    path = new_folder(t.spark, "results")
+    results.write_results(stage(scored_of(t)), path, "vec_id", rows_per_entry=50)
+    return results.read_results(t.spark, path)
+
+
+@query(f"""WITH {_SCORED}
+SELECT finding, vec_id::VARCHAR AS study_id, y_true::BIGINT AS y_true, round(y_score, 6) AS y_score FROM scored""")
+def q_results_document(t: Tables) -> DataFrame:
+    """The single-document form, which raises beyond its bound."""
+    path = new_folder(t.spark, "results")
+    scored = stage(scored_of(t))
+    results.write_document(scored, path, "vec_id", max_rows=10_000_000)
+    return results.read_results(t.spark, path, one_document=True)

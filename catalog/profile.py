@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from catalog.registry import AGES, ORGANS, SCANS, Tables, query
 from cohortlab.constants import AGE_EDGES, AGE_LABELS
 from cohortlab.functions.predicates import positive_count
-from cohortlab.functions.resolve import resolve_columns
+from cohortlab.functions.resolve import ColumnIndex
 from cohortlab.operators import profile
 from cohortlab.operators.order_stats import exact_quantiles
 
@@ -30,11 +30,11 @@ def q_completeness(t: Tables) -> DataFrame:
     return profile.completeness(t.scans("source", "n_chars"), _SCAN_COLUMNS)
 
 
-@query(f"WITH {SCANS}, noted AS (SELECT *, split_part(text, chr(10), 2) AS note FROM scans), kept AS "
-       "(SELECT * FROM noted WHERE regexp_matches(note, '[^\\s]')) "
+@query(f"WITH {SCANS}, kept AS (SELECT * FROM scans WHERE toxic IS NOT NULL AND regexp_matches(text, '[^\\s]')) "
        + _each("SELECT '{c}' AS \"column\", count({c}) AS n, count(*) AS n_rows FROM kept", _SCAN_COLUMNS))
 def q_completeness_filtered(t: Tables) -> DataFrame:
-    noted = t.scans("source", "n_chars", F.get(F.split("text", "\n"), F.lit(1)).alias("note"))
+    """Whole texts, blank where there is no label."""
+    noted = t.scans("source", "n_chars", "text").withColumn("note", F.when(F.col("toxic").isNotNull(), F.col("text")).otherwise(" "))
     return profile.completeness_where_text(noted, "note", _SCAN_COLUMNS)
 
 
@@ -67,8 +67,8 @@ FROM orders GROUP BY o_orderpriority""")
 def q_resolved_value_counts(t: Tables) -> DataFrame:
     """Columns found by label and keyword where the exact name is not there."""
     orders = t.orders
-    found, _ = resolve_columns(orders.columns, {"Status": "o_orderstatus", "Priority": "order priority"}, "order")
-    return profile.value_percentages_of(orders, found)
+    resolution = ColumnIndex(orders.columns).resolve({"Status": "o_orderstatus", "Priority": "order priority"}, "order")
+    return profile.value_percentages_of(orders, resolution.found)
 
 
 @query(f"""WITH {SCANS}
@@ -192,3 +192,22 @@ def q_histogram(t: Tables) -> DataFrame:
 def q_label_coverage(t: Tables) -> DataFrame:
     states = t.scans().withColumn("quality", F.coalesce("quality", F.lit(-1)))
     return profile.label_coverage(states, ["quality", "toxic"])
+
+
+@query(_each("""
+SELECT l_returnflag, 'l_extendedprice' AS measure, {c}::DOUBLE AS p,
+       round(quantile_cont(l_extendedprice, {c}), 6) AS value FROM lineitem GROUP BY l_returnflag""", ["0.1", "0.5", "0.99"]))
+def q_quantiles_bucketed(t: Tables) -> DataFrame:
+    """The selection over many buckets of few rows."""
+    lines = t.lineitem.select("l_returnflag", "l_extendedprice")
+    return exact_quantiles(lines, ["l_extendedprice"], [0.1, 0.5, 0.99], by=["l_returnflag"], rows_per_bucket=2_000, builtin=False)
+
+
+@query(_each("""
+SELECT o_orderpriority, 'price' AS measure, {c}::DOUBLE AS p, round(quantile_cont(
+  CASE WHEN o_orderstatus = 'F' THEN 1e9 ELSE o_totalprice END, {c}), 6) AS value FROM orders GROUP BY o_orderpriority""", ["0.1", "0.25"]))
+def q_quantiles_nonfinite(t: Tables) -> DataFrame:
+    """Infinities lie beyond every number; quantiles below them are as if they were large."""
+    price = F.when(F.col("o_orderstatus") == "F", F.lit(float("inf"))).otherwise(F.col("o_totalprice"))
+    orders = t.orders.select("o_orderpriority", price.alias("price"))
+    return exact_quantiles(orders, ["price"], [0.1, 0.25], by=["o_orderpriority"], rows_per_bucket=500, builtin=False)

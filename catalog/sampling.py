@@ -15,11 +15,11 @@ SUBSAMPLES = [(60, 42), (20, 42), (20, 43), (20, 44), (20, 45), (20, 46)]
 
 
 def splits_of(t: Tables) -> DataFrame:
-    return matched_splits.build_splits(t.scans(), COLUMNS, t.ranges(), NEGATIVES)
+    return matched_splits.build_splits(t.scans(), COLUMNS, t.ranges(), NEGATIVES, strict=False)
 
 
 def subsamples_of(t: Tables) -> DataFrame:
-    return matched_splits.build_train_subsamples(t.documents, splits_of(t), COLUMNS, SUBSAMPLES)
+    return matched_splits.build_train_subsamples(t.documents, splits_of(t), COLUMNS, SUBSAMPLES, strict=False)
 
 
 _ALLOC = """want(split, size) AS (VALUES ('train', 100), ('test', 20)),
@@ -129,7 +129,7 @@ _ONE = _SUBSAMPLES.replace(_SPECS, "('train_sample_60', 60, 42)")
 
 @query(f"WITH {_ONE} SELECT split, id FROM subsamples")
 def q_ratio_subsample(t: Tables) -> DataFrame:
-    return matched_splits.build_train_subsamples(t.documents, splits_of(t), COLUMNS, [(60, 42)])
+    return matched_splits.build_train_subsamples(t.documents, splits_of(t), COLUMNS, [(60, 42)], strict=False)
 
 
 @query(f"WITH {_SUBSAMPLES} SELECT split, id FROM subsamples")
@@ -253,3 +253,29 @@ def q_overlapping_ids(t: Tables) -> DataFrame:
     good = t.labels.filter("quality = 1").select(F.lit("good").alias("split"), F.col("doc_id").alias("id"))
     toxic = t.labels.filter("toxic = 1").select(F.lit("toxic").alias("split"), F.col("doc_id").alias("id"))
     return checks.overlapping_ids(good.unionByName(toxic))
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT (SELECT (count(*) * 3 // 5)::BIGINT FROM documents)")
+def q_simple_sample_large(t: Tables) -> DataFrame:
+    """A sample of most rows: the same draw as a small one."""
+    return sampling.simple_sample(t.documents.select("doc_id"), t.documents.count() * 3 // 5, "doc_id")
+
+
+@query("""
+WITH ranked AS (
+  SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('42:' || o_orderkey), o_orderkey) AS rn,
+         count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
+SELECT o_orderkey, o_orderpriority FROM ranked WHERE rn <= n // 2""")
+def q_draw_refined(t: Tables) -> DataFrame:
+    """A draw whose prefixes are refined until few rows are ranked."""
+    orders = t.orders.select("o_orderkey", "o_orderpriority")
+    halves = sampling.stratum_counts(orders, "o_orderpriority").select("o_orderpriority", F.floor(F.col("n") / 2).alias("k"))
+    return sampling.draw(orders, halves, ["o_orderpriority"], "o_orderkey", rank_rows=50)
+
+
+@query(f"""WITH {SPLITS}, asked(split, wanted) AS (VALUES ('train_neg', 100), ('test_neg', 20))
+SELECT w.split, wanted::BIGINT AS wanted, count(s.id) AS drawn FROM asked w LEFT JOIN splits s ON s.split = w.split
+GROUP BY w.split, wanted HAVING count(s.id) < wanted""")
+def q_split_shortfalls(t: Tables) -> DataFrame:
+    """Splits with fewer negatives than asked for; on the smallest tables there is one."""
+    return matched_splits.split_shortfalls(splits_of(t), NEGATIVES)

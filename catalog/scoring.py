@@ -7,6 +7,8 @@ the next label; those two embeddings are "uncertain" for the finding.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from catalog.registry import Tables, query
@@ -108,24 +110,21 @@ def q_cosine(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {_EXEMPLARS}
-SELECT 'finding_' || a.label AS finding, round(p.embedding[1]::DOUBLE, 6) AS present_first,
-       round(q.embedding[1]::DOUBLE, 6) AS absent_first, len(p.embedding) AS width
-FROM first_of a JOIN embeddings p ON p.vec_id = a.vec_id
+SELECT 'finding_' || a.label AS finding, i::BIGINT AS i, round(p.embedding[i]::DOUBLE, 6) AS present, round(q.embedding[i]::DOUBLE, 6) AS absent
+FROM range(1, 65) r(i), first_of a JOIN embeddings p ON p.vec_id = a.vec_id
 JOIN first_of b ON b.label = (a.label + 1) % 10 JOIN embeddings q ON q.vec_id = b.vec_id""")
 def q_prompt_pairs(t: Tables) -> DataFrame:
     pairs = zeroshot.pair_prompts(prompt_rows_of(t, first_ids_of(t)))
-    return pairs.select(
-        "finding", F.get("present", F.lit(0)).alias("present_first"), F.get("absent", F.lit(0)).alias("absent_first"),
-        F.size("present").alias("width"),
-    )
+    both = pairs.select("finding", F.posexplode(F.arrays_zip("present", "absent")).alias("i", "x"))
+    return both.select("finding", (F.col("i") + 1).alias("i"), "x.present", "x.absent")
 
 
 @query("""
-SELECT e.label::BIGINT AS label, round(list_sum(e.embedding::DOUBLE[]), 6) AS total
-FROM embeddings e JOIN (SELECT label, max(vec_id) AS vec_id FROM embeddings GROUP BY label) m ON e.vec_id = m.vec_id""")
+SELECT e.label::BIGINT AS label, i::BIGINT AS i, round(e.embedding[i]::DOUBLE, 6) AS value
+FROM range(1, 65) r(i), embeddings e JOIN (SELECT label, max(vec_id) AS vec_id FROM embeddings GROUP BY label) m ON e.vec_id = m.vec_id""")
 def q_latest_embedding(t: Tables) -> DataFrame:
     latest = zeroshot.latest_embedding(t.embeddings, "label", "embedding", "vec_id")
-    return latest.select("label", F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x).alias("total"))
+    return latest.select("label", F.posexplode("embedding").alias("i", "value")).withColumn("i", F.col("i") + 1)
 
 
 @query(f"WITH {_SCORED} SELECT finding, vec_id, y_true::BIGINT AS y_true, round(y_score, 6) AS y_score FROM scored")
@@ -179,3 +178,84 @@ def q_auroc_tied_scores(t: Tables) -> DataFrame:
     longest = t.documents.agg(F.max("n_chars")).scalar()
     lengths = t.documents.select("doc_id", (F.col("n_chars") / longest).alias("y_score"))
     return metrics.auroc(stage(t.labels.join(lengths, "doc_id")), "quality", "toxic")
+
+
+@query(f"WITH {_REPORT} SELECT finding, round(auroc, 6) AS auroc FROM report")
+def q_auroc_bucketed(t: Tables) -> DataFrame:
+    """The ranking over many buckets of few scores."""
+    return metrics.auroc(stage(scored_of(t)), "finding", rows_per_bucket=100)
+
+
+@query(f"""WITH {_SCORED.replace("1 / (1 + exp(", "CASE WHEN s.vec_id % 3 = 0 THEN 2.0 ELSE 1 / (1 + exp(").replace("absent) - list_cosine_similarity(v, present)))", "absent) - list_cosine_similarity(v, present))) END")},
+ranks AS (
+  SELECT finding, y_true, rank() OVER (PARTITION BY finding ORDER BY y_score)
+         + (count(*) OVER (PARTITION BY finding, y_score) - 1) / 2 AS r FROM scored)
+SELECT finding, round((sum(r) FILTER (WHERE y_true = 1) - sum(y_true) * (sum(y_true) + 1) / 2)
+                      / nullif(sum(y_true) * (count(*) - sum(y_true)), 0), 6) AS auroc FROM ranks GROUP BY finding""")
+def q_auroc_nonfinite(t: Tables) -> DataFrame:
+    """Infinite scores rank above all others and tie with each other."""
+    score = F.when(F.col("vec_id") % 3 == 0, F.lit(float("inf"))).otherwise(F.col("y_score"))
+    return metrics.auroc(stage(scored_of(t).withColumn("y_score", score)), "finding", rows_per_bucket=100)
+
+
+@query("""
+SELECT v.vec_id, NULL::VARCHAR AS finding, 'no label row' AS reason FROM embeddings v
+WHERE v.vec_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL
+SELECT v.vec_id, 'toxic', 'no label' FROM embeddings v JOIN labels l ON l.doc_id = v.vec_id WHERE l.toxic IS NULL""")
+def q_scoring_gaps(t: Tables) -> DataFrame:
+    """Embeddings against the labels of the documents with their ids, which some lack."""
+    return zeroshot.scoring_gaps(t.embeddings, t.labels.withColumnRenamed("doc_id", "vec_id"), ["toxic"], "vec_id")
+
+
+@query(f"WITH {_SCORED} SELECT finding, vec_id, y_true::BIGINT AS y_true, round(y_score, 6) AS y_score FROM scored")
+def q_zero_shot_blocks(t: Tables) -> DataFrame:
+    """The same scores with prompts in blocks of three findings."""
+    first = first_ids_of(t)
+    prompts, labels = zeroshot.pair_prompts(prompt_rows_of(t, first)), labels_of(t, first)
+    parts = [zeroshot.zero_shot_scores(t.embeddings, labels, prompts, FINDINGS[i: i + 3], "vec_id") for i in range(0, CLASSES, 3)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_PARTIAL = """WITH p AS (
+  SELECT d.lang, CASE WHEN d.doc_id % 5 = 0 THEN NULL ELSE d.n_chars / 1000.0 END AS y_score, l.toxic AS y_true
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+def _partial(t: Tables) -> DataFrame:
+    score = F.when(F.col("doc_id") % 5 != 0, F.col("n_chars") / 1000.0)
+    return t.scans("n_chars").select("lang", score.alias("y_score"), F.col("toxic").alias("y_true"))
+
+
+@query(f"""{_PARTIAL}
+SELECT lang, count(*) AS n_rows, count(*) FILTER (WHERE y_true IS NULL) AS n_without_truth,
+       count(*) FILTER (WHERE y_score IS NULL) AS n_without_score FROM p GROUP BY lang""")
+def q_incomplete_scores(t: Tables) -> DataFrame:
+    return metrics.incomplete_counts(_partial(t), "lang")
+
+
+@query(f"""{_PARTIAL}
+SELECT lang, count(*) AS n, count(*) FILTER (WHERE y_true = 1) AS n_positive,
+       count(*) FILTER (WHERE y_true = 1 AND y_score >= 0.5) AS tp, count(*) FILTER (WHERE y_true = 0 AND y_score >= 0.5) AS fp
+FROM p WHERE y_true IS NOT NULL AND y_score IS NOT NULL GROUP BY lang""")
+def q_confusion_of_complete_rows(t: Tables) -> DataFrame:
+    """Rows without truth or score are left out by every metric alike."""
+    return metrics.confusion_metrics(_partial(t), "lang").select("lang", "n", "n_positive", "tp", "fp")
+
+
+@query("SELECT 'negatives only' AS part, NULL::DOUBLE AS auroc, count(*) AS n FROM labels WHERE toxic = 0")
+def q_auroc_of_one_class(t: Tables) -> DataFrame:
+    """A group with one class has no AUROC."""
+    rows = t.labels.filter("toxic = 0").join(t.documents.select("doc_id", F.col("n_chars").alias("y_score")), "doc_id")
+    report = metrics.evaluation_report(stage(rows.withColumn("part", F.lit("negatives only"))), "part", "toxic")
+    return report.select("part", "auroc", "n")
+
+
+@query("""
+SELECT DISTINCT o_orderpriority AS finding, x.polarity, x.phrase
+FROM orders, (VALUES ('present'), ('absent')) v(polarity),
+     LATERAL (SELECT v.polarity AS polarity, CASE WHEN v.polarity = 'present' THEN 'a case of ' ELSE 'no case of ' END || o_orderpriority AS phrase) x""")
+def q_flatten_prompts(t: Tables) -> DataFrame:
+    """Phrases for the findings that a table names."""
+    names = [r[0] for r in t.orders.select("o_orderpriority").distinct().collect()]
+    return zeroshot.flatten_prompts(t.spark, {n: (f"a case of {n}", f"no case of {n}") for n in names})

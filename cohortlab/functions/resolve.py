@@ -3,34 +3,48 @@
 from __future__ import annotations
 
 import warnings
+from dataclasses import dataclass, field
 
 
-def resolve_columns(
-    columns: list[str], wanted: dict[str, str], keyword: str
-) -> tuple[dict[str, str], list[str]]:
-    """Map each label to its column: the exact name if present, else the first
-    column whose lower-case name holds both the label and `keyword`.
-
-    Returns (label -> column, labels not found); each miss warns.
-    """
-    found: dict[str, str] = {}
-    missing: list[str] = []
-    for label, name in wanted.items():
-        candidates = [name] if name in columns else [
-            c for c in columns if label.lower() in c.lower() and keyword.lower() in c.lower()
-        ]
-        if candidates:
-            found[label] = candidates[0]
-        else:
-            missing.append(label)
-            warnings.warn(f"no {keyword} column for {label}", stacklevel=2)
-    return found, missing
+@dataclass(frozen=True)
+class Resolution:
+    """What a search for columns came to: one column each, none, or several to choose from."""
+
+    found: dict[str, str] = field(default_factory=dict)
+    missing: list[str] = field(default_factory=list)
+    ambiguous: dict[str, list[str]] = field(default_factory=dict)
+
+
+class ColumnIndex:
+    """Column names, folded once, searched by terms that must all occur."""
+
+    def __init__(self, columns: list[str]):
+        self._exact = frozenset(columns)
+        self._folded = [(c.casefold(), c) for c in columns]
+
+    def matches(self, *terms: str) -> list[str]:
+        """Columns whose name holds every term, in table order, case aside."""
+        folded = [t.casefold() for t in terms]
+        return [name for key, name in self._folded if all(t in key for t in folded)]
+
+    def resolve(self, exact: dict[str, str], *terms: str) -> Resolution:
+        """One column per label: the one named in `exact` where the table has it, else the only one that holds the label and `terms`.
+
+        Several candidates are reported as ambiguous rather than chosen from.
+        """
+        here = {label: name for label, name in exact.items() if name in self._exact}
+        options = {label: self.matches(label, *terms) for label in exact if label not in here}
+        return Resolution(
+            found=here | {label: names[0] for label, names in options.items() if len(names) == 1},
+            missing=[label for label, names in options.items() if not names],
+            ambiguous={label: names for label, names in options.items() if len(names) > 1},
+        )
 
 
 def present_columns(columns: list[str], wanted: list[str]) -> tuple[list[str], list[str]]:
-    """Split `wanted` into (present, missing); each missing one warns."""
-    present = [c for c in wanted if c in columns]
-    missing = [c for c in wanted if c not in columns]
-    for name in missing:
-        warnings.warn(f"column {name} not found", stacklevel=2)
-    return present, missing
+    """Split `wanted` into (present, missing); the missing ones are named in one warning."""
+    have = frozenset(columns)
+    missing = [c for c in wanted if c not in have]
+    if missing:
+        warnings.warn(f"columns not found: {', '.join(missing)}", stacklevel=2)
+    return [c for c in wanted if c in have], missing

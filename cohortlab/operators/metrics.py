@@ -9,9 +9,27 @@ from cohortlab.functions.predicates import col
 from cohortlab.operators.order_stats import ROWS_PER_BUCKET, value_edges, with_bucket
 
 
-def class_counts(scored: DataFrame, by: str, truth: str = "y_true") -> DataFrame:
+def complete(scored: DataFrame, truth: str = "y_true", score: str = "y_score") -> DataFrame:
+    """Rows that can be judged: with a truth and a score that is a number.
+
+    All metrics of this module are over these rows; `incomplete_counts` says
+    how many the others are.
+    """
+    return scored.filter(col(truth).isNotNull() & col(score).isNotNull() & ~F.isnan(col(score).cast("double")))
+
+
+def incomplete_counts(scored: DataFrame, by: str, truth: str = "y_true", score: str = "y_score") -> DataFrame:
+    """(by, n_rows, n_without_truth, n_without_score) of all rows per group."""
+    without = col(score).isNull() | F.isnan(col(score).cast("double"))
+    return scored.groupBy(col(by)).agg(
+        F.count("*").alias("n_rows"), F.count_if(col(truth).isNull()).alias("n_without_truth"),
+        F.count_if(without).alias("n_without_score"),
+    )
+
+
+def class_counts(scored: DataFrame, by: str, truth: str = "y_true", score: str = "y_score") -> DataFrame:
     """(by, n, n_positive) per group."""
-    return scored.groupBy(col(by)).agg(F.count("*").alias("n"), F.count_if(col(truth) == 1).alias("n_positive"))
+    return complete(scored, truth, score).groupBy(col(by)).agg(F.count("*").alias("n"), F.count_if(col(truth) == 1).alias("n_positive"))
 
 
 def _ratios(tp: Column, fp: Column, fn: Column) -> list[Column]:
@@ -30,7 +48,7 @@ def confusion_metrics(
     Predicted positive at score >= threshold.
     """
     is_pos, said_pos = col(truth) == 1, at_least(col(score), threshold) == 1
-    counts = scored.groupBy(col(by)).agg(
+    counts = complete(scored, truth, score).groupBy(col(by)).agg(
         F.count("*").alias("n"), F.count_if(is_pos).alias("n_positive"),
         F.count_if(is_pos & said_pos).alias("tp"), F.count_if(~is_pos & said_pos).alias("fp"),
         F.count_if(is_pos & ~said_pos).alias("fn"), F.count_if(~is_pos & ~said_pos).alias("tn"),
@@ -46,7 +64,7 @@ def _ranked(scored: DataFrame, by: str, truth: str, score: str, threshold: float
     ranked on its own, and the negatives in lower buckets are added from the
     bucket totals. No task sorts a whole group.
     """
-    rows = scored.select(col(by), col(score).cast("double").alias("_s"), (col(truth) == 1).cast("int").alias("_pos"))
+    rows = complete(scored, truth, score).select(col(by), col(score).cast("double").alias("_s"), (col(truth) == 1).cast("int").alias("_pos"))
     bucketed = with_bucket(rows, "_s", value_edges(rows, "_s", rows_per_bucket), "_bucket")
     ties = bucketed.groupBy(col(by), "_bucket", "_s").agg(
         F.sum("_pos").alias("_p"), F.sum(1 - F.col("_pos")).alias("_n")

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from math import isfinite
 from operator import and_
 
 from pyspark.ml.feature import Bucketizer
@@ -64,7 +65,8 @@ def value_edges(
         return []
     points = F.expr("array(" + ", ".join(f"{i / buckets!r}D" for i in range(1, buckets)) + ")")
     edges = df.agg(F.percentile_approx(col(value).cast("double"), points, max(10_000, 2 * buckets))).first()[0]
-    return sorted(set(edges))
+    # The outer buckets hold infinities; NaN has a bucket above them, as in Spark's own order.
+    return sorted({e for e in edges or [] if isfinite(e)})
 
 
 def with_bucket(df: DataFrame, value: str, edges: list[float], name: str = "bucket") -> DataFrame:
@@ -99,7 +101,9 @@ def exact_quantiles(
     if found is None and not builtin:
         found = probe(df, measures, by)
     if builtin or (builtin is None and found.few):
-        at_once = long.groupBy(*map(col, keys)).agg(F.percentile("value", F.array(*map(F.lit, probs))).alias("values"))
+        # Equal values are counted where they lie, so what meets in one task is the checked number of distinct values.
+        counted = long.groupBy(*map(col, keys), "value").agg(F.count("*").alias("_n"))
+        at_once = counted.groupBy(*map(col, keys)).agg(F.percentile("value", F.array(*map(F.lit, probs)), F.col("_n")).alias("values"))
         pairs = F.arrays_zip(F.array(*map(F.lit, probs)).alias("p"), F.col("values").alias("value"))
         return at_once.select(*map(col, keys), F.inline(pairs))
 

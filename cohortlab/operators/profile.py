@@ -97,16 +97,12 @@ def value_percentages_of(df: DataFrame, columns: dict[str, str], digits: int = 2
 def grouped_mean_median(df: DataFrame, group: str, measures: list[str]) -> DataFrame:
     """{measure}_mean and {measure}_median per group; a missing group is a group.
 
-    The built-in exact median keeps all distinct values of a group in one
-    task. It is used where a check shows those are few; else the medians come
-    from the distributed selection.
+    Medians come from `exact_quantiles`, which never brings raw rows of a group
+    into one task.
     """
     means = [F.avg(col(m)).alias(f"{m}_mean") for m in measures]
     ordered = [c for m in measures for c in (f"{m}_mean", f"{m}_median")]
     found = probe(df, measures, [group])
-    if found.few:
-        medians = [F.median(col(m)).alias(f"{m}_median") for m in measures]
-        return df.groupBy(col(group)).agg(*means, *medians).select(col(group), *map(col, ordered))
     averages = df.groupBy(col(group)).agg(*means)
     quantiles = exact_quantiles(df, measures, [0.5], by=[group], found=found)
     medians = quantiles.groupBy(col(group).alias("_group")).agg(*[
@@ -155,8 +151,6 @@ def numeric_summary(df: DataFrame, column: str) -> DataFrame:
     ]
     spread = F.stddev_samp("value").alias("std")
     found = probe(values, ["value"])
-    if found.few:
-        return values.agg(*basics, F.median("value").alias("median"), spread)
     median = exact_quantiles(values, ["value"], [0.5], found=found).select("value").scalar()
     return values.agg(*basics, spread).withColumn("median", median)
 
@@ -170,15 +164,10 @@ def describe(df: DataFrame, column: str) -> DataFrame:
     ]
     quartiles = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
     found = probe(values, ["value"])
-    if found.few:
-        at = F.array(*[F.lit(p) for p in quartiles.values()])
-        row = values.agg(*aggregates, F.percentile("value", at).alias("_q"))
-        row = row.select("*", *[F.get("_q", F.lit(i)).alias(q) for i, q in enumerate(quartiles)])
-    else:
-        exact = exact_quantiles(values, ["value"], list(quartiles.values()), found=found)
-        by_p = exact.agg(F.map_from_entries(F.collect_list(F.struct("p", "value")))).scalar()
-        row = values.agg(*aggregates).withColumn("_q", by_p)
-        row = row.select("*", *[F.try_element_at("_q", F.lit(p)).alias(q) for q, p in quartiles.items()])
+    exact = exact_quantiles(values, ["value"], list(quartiles.values()), found=found)
+    by_p = exact.agg(F.map_from_entries(F.collect_list(F.struct("p", "value")))).scalar()
+    row = values.agg(*aggregates).withColumn("_q", by_p)
+    row = row.select("*", *[F.try_element_at("_q", F.lit(p)).alias(q) for q, p in quartiles.items()])
     order = ["count", "mean", "std", "min", *quartiles, "max"]
     return _one_row_to_long(row, [{"statistic": F.lit(s), "value": col(s)} for s in order])
 

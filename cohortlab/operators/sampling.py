@@ -29,8 +29,6 @@ from cohortlab.staging import small_table
 
 # Most keys ranked by one task.
 RANK_ROWS = 1_000_000
-# Most rows a plain top-k is used for.
-TOP_ROWS = 10_000
 _DIGITS = 2
 _KEY = "_draw_key"
 _MD5_LENGTH = 32
@@ -323,12 +321,10 @@ def stratified_sample(
 def simple_sample(df: DataFrame, size: int, id_cols: str | list[str], seed: int = DEFAULT_SEED) -> DataFrame:
     """Exactly `size` rows (all, if there are fewer), in the same order as `draw`.
 
-    A small size is a top-k that keeps that many rows per task; a larger one,
-    the draw over a single stratum.
+    The draw over a single stratum, whatever the size: copies of an id are
+    taken together, and a sample that would have to end among them raises.
     """
     ids = _listed(id_cols)
-    if size <= TOP_ROWS:
-        return df.orderBy(draw_key(ids, seed), *map(col, ids)).limit(size)
     # One stratum for all rows. A plain constant would be folded out of the join
     # with the cut and leave a nested loop, so it is the length of the key.
     pool = df.withColumn("_all", F.length(draw_key(ids, seed)))

@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlab.constants import COSINE_EPS, UNCERTAIN
 from cohortlab.functions.predicates import certain, col
-from cohortlab.functions.vectors import cosine, norm, two_way_softmax
-from cohortlab.staging import small_table
 
-# Largest prompt table held as one matrix in every task.
+# Findings whose prompts are held as one matrix in every task, and scores computed at a time.
 MATRIX_FINDINGS = 2_000
+CELLS = 1_000_000
 
 
 def flatten_prompts(spark, phrases: Mapping[str, tuple[str, str]]) -> DataFrame:
@@ -37,35 +37,73 @@ def latest_embedding(df: DataFrame, key: str, embedding: str, order: str) -> Dat
 
 def zero_shot_scores(
     images: DataFrame, labels: DataFrame, prompts: DataFrame, findings: list[str], key: str,
-    embedding: str = "embedding", uncertain: int = UNCERTAIN,
+    embedding: str = "embedding", uncertain: int = UNCERTAIN, strict: bool = True,
 ) -> DataFrame:
     """(finding, key, y_true, y_score) for every image and finding with a certain label.
 
     `labels` is wide: `key` and one column per finding. `prompts` is (finding,
-    present, absent). Images meet their label row once; the findings are then
-    unfolded inside the row, so vectors are shuffled at most once.
-
-    Scores of a batch of images come from one matrix product with the prompt
-    matrix, which is several times faster than array expressions and grows far
-    slower with prompts and width. Its size is checked; a prompt table beyond
-    the check is joined instead.
+    present, absent). A finding named twice is scored once; one without
+    prompts raises. An image without a label row, without a vector or without
+    a label for a finding raises with `strict`; otherwise it is left out, and
+    `scoring_gaps` lists it.
+
+    Images meet their label row once, and vectors move at most once: prompts
+    come to them, in blocks of findings held as matrices in every task. Scores
+    of some images and a block are one matrix product.
     """
-    wanted = prompts.filter(col("finding").cast("string").isin(findings))
-    wanted = wanted.select(col("finding").cast("string").alias("finding"), "present", "absent")
-    prompt_rows, table = small_table(wanted, max_rows=MATRIX_FINDINGS)
-    rows = images.select(col(key), col(embedding).alias("_vector")).filter(col("_vector").isNotNull()) \
-        .join(labels.select(col(key), *[col(f) for f in findings]), key)
-    label_of = [F.struct(F.lit(f).alias("finding"), col(f).alias("y_true")) for f in findings]
-    if table is None:
-        return _scored_by_join(rows, prompt_rows, label_of, key, uncertain)
-
-    pairs = {r["finding"]: (r["present"], r["absent"]) for r in table.to_pylist()}
-    lacking = [f for f in findings if f not in pairs]
+    findings = list(dict.fromkeys(findings))
+    wanted = prompts.select(col("finding").cast("string").alias("finding"), "present", "absent")
+    names = {r.finding for r in wanted.select("finding").filter(col("finding").isin(findings)).distinct().collect()}
+    lacking = [f for f in findings if f not in names]
     if lacking:
         raise ValueError(f"findings without prompts: {lacking}")
+    rows = _with_labels(images, labels, findings, key, embedding)
+    if strict:
+        rows = rows.withColumn(key, _checked(rows, findings, key))
+    rows = rows.filter(col("_vector").isNotNull() & col("_known")).select(col(key), "_vector", *map(col, findings))
+    parts = [_scored(rows, wanted, findings[i: i + MATRIX_FINDINGS], key, uncertain)
+             for i in range(0, len(findings), MATRIX_FINDINGS)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _with_labels(images: DataFrame, labels: DataFrame, findings: list[str], key: str, embedding: str) -> DataFrame:
+    marked = labels.select(col(key), *map(col, findings), F.lit(True).alias("_known"))
+    rows = images.select(col(key), col(embedding).alias("_vector")).join(marked, key, "left")
+    return rows.withColumn("_known", F.coalesce("_known", F.lit(False)))
+
+
+def _gaps(findings: list[str]) -> list[tuple[Column, Column, Column]]:
+    """(condition, finding, reason) of what cannot be scored."""
+    nothing = F.lit(None).cast("string")
+    return [
+        (~F.col("_known"), nothing, F.lit("no label row")), (F.col("_vector").isNull(), nothing, F.lit("no vector")),
+        *[(F.col("_known") & col(f).isNull(), F.lit(f), F.lit("no label")) for f in findings],
+    ]
+
+
+def _checked(rows: DataFrame, findings: list[str], key: str) -> Column:
+    """The key, which raises for an image that `scoring_gaps` would list."""
+    reason = F.coalesce(*[F.when(bad, why) for bad, _, why in _gaps(findings)])
+    broken = F.raise_error(F.concat(reason, F.lit(" for "), col(key).cast("string")))
+    return F.when(reason.isNull(), col(key)).otherwise(broken.cast(rows.schema[key].dataType))
+
+
+def scoring_gaps(images: DataFrame, labels: DataFrame, findings: list[str], key: str, embedding: str = "embedding") -> DataFrame:
+    """(key, finding, reason) of images that cannot be scored; finding is NULL where that holds for all."""
+    findings = list(dict.fromkeys(findings))
+    rows = _with_labels(images, labels, findings, key, embedding)
+    found = F.array(*[F.when(bad, F.struct(f.alias("finding"), why.alias("reason"))) for bad, f, why in _gaps(findings)])
+    return rows.select(col(key), F.inline(F.filter(found, lambda x: x.isNotNull())))
+
+
+def _scored(rows: DataFrame, prompts: DataFrame, findings: list[str], key: str, uncertain: int) -> DataFrame:
+    """Scores of all images for one block of findings."""
+    table = prompts.filter(col("finding").isin(findings)).toArrow()
+    pairs = {r["finding"]: (r["present"], r["absent"]) for r in table.to_pylist()}
     scores = _batch_scorer(
         np.array([pairs[f][0] for f in findings], dtype="f8"), np.array([pairs[f][1] for f in findings], dtype="f8")
     )
+    label_of = [F.struct(F.lit(f).alias("finding"), col(f).alias("y_true")) for f in findings]
     cells = F.arrays_zip(F.array(*label_of).alias("label"), F.col("_scores").alias("y_score"))
     scored = rows.withColumn("_scores", scores(F.col("_vector"))).select(col(key), F.inline(cells))
     return scored.select("label.finding", col(key), "label.y_true", "y_score") \
@@ -80,25 +118,18 @@ def _batch_scorer(present: np.ndarray, absent: np.ndarray):
     def similarity(vectors, norms, matrix, matrix_norms):
         return vectors @ matrix.T / np.maximum(np.outer(norms, matrix_norms), eps)
 
-    @F.arrow_udf("array<double>")
-    def scores(column: pa.Array) -> pa.Array:
-        count, width = len(column), present.shape[1]
-        vectors = column.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(count, width)
+    def score(vectors: np.ndarray) -> np.ndarray:
         norms = np.linalg.norm(vectors, axis=1)
         gap = similarity(vectors, norms, absent, absent_norm) - similarity(vectors, norms, present, present_norm)
-        values = 1.0 / (1.0 + np.exp(gap))
-        findings = present.shape[0]
+        return 1.0 / (1.0 + np.exp(gap))
+
+    @F.arrow_udf("array<double>")
+    def scores(column: pa.Array) -> pa.Array:
+        count, (findings, width) = len(column), present.shape
+        vectors = column.flatten().to_numpy(zero_copy_only=False).reshape(count, width)
+        step = max(1, CELLS // findings)
+        values = np.concatenate([score(vectors[i: i + step].astype("f8")) for i in range(0, count, step)] or [np.zeros((0, findings))])
         offsets = np.arange(0, (count + 1) * findings, findings, dtype="i4")
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
 
     return scores
-
-
-def _scored_by_join(rows: DataFrame, prompts: DataFrame, label_of: list, key: str, uncertain: int) -> DataFrame:
-    """The same scores where the prompts are too many for one matrix."""
-    normed = prompts.withColumn("_np", norm(F.col("present"))).withColumn("_na", norm(F.col("absent")))
-    long = rows.withColumn("_norm", norm(F.col("_vector"))).select(col(key), "_vector", "_norm", F.inline(F.array(*label_of)))
-    joined = long.filter(certain("y_true", uncertain)).join(normed, "finding")
-    present = cosine(F.col("_vector"), F.col("present"), F.col("_norm"), F.col("_np"))
-    absent = cosine(F.col("_vector"), F.col("absent"), F.col("_norm"), F.col("_na"))
-    return joined.select("finding", col(key), "y_true", two_way_softmax(present, absent).alias("y_score"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from cohortlab.constants import DEFAULT_SEED, NEGATIVE_COUNTS, OFFICIAL_RANGES, SUBSAMPLES
 from cohortlab.functions.predicates import col
 from cohortlab.operators.checks import verify_splits
-from cohortlab.operators.cohort import official_split, with_class
+from cohortlab.operators.cohort import lookup, official_split, with_class
 from cohortlab.operators.profile import split_crosstab
 from cohortlab.operators.sampling import matched_negatives, ratio_subsamples
 from cohortlab.sources.id_lists import write_splits
@@ -43,13 +43,16 @@ def build_splits(
     ranges: Mapping[str, tuple[int, int]] = OFFICIAL_RANGES,
     negatives: Mapping[str, int] = NEGATIVE_COUNTS,
     seed: int = DEFAULT_SEED,
-    strict: bool = False,
+    strict: bool = True,
     staged: bool = True,
     output: str | None = None,
 ) -> DataFrame:
     """(split, id): `{split}_pos` with all positives and `{split}_neg` with
     negatives matched to them; never across splits.
 
+    A missing flag or a pool too small for its share raises; with `strict` off
+    they are left out and short, and `split_shortfalls` lists what is missing.
+
     The classified narrow table is read by several passes of the draw;
     `staged` writes it once instead of deriving it each time.
     """
@@ -62,18 +65,29 @@ def build_splits(
     return splits
 
 
+def split_shortfalls(splits: DataFrame, negatives: Mapping[str, int] = NEGATIVE_COUNTS) -> DataFrame:
+    """(split, wanted, drawn) of negative splits with fewer ids than asked for."""
+    wanted = splits.sparkSession.createDataFrame([(f"{s}_neg", n) for s, n in negatives.items()], "split string, wanted long")
+    drawn = splits.groupBy("split").agg(F.count("*").alias("drawn"))
+    report = F.broadcast(wanted).join(drawn, "split", "left").select("split", "wanted", F.coalesce("drawn", F.lit(0)).alias("drawn"))
+    return report.filter("drawn < wanted")
+
+
 def build_train_subsamples(
     df: DataFrame,
     splits: DataFrame,
     columns: ScanColumns = ScanColumns(),
     subsamples: list[tuple[int, int]] = SUBSAMPLES,
     train: str = "train",
-    strict: bool = False,
+    strict: bool = True,
     output: str | None = None,
 ) -> DataFrame:
     """(split, id): one subsample of the train pool per (size, seed), each with
     the pool's pos:neg ratio and each class's own mix of strata.
 
+    Ids that the metadata lack raise; with `strict` off they count towards the
+    ratio, as they are in the lists, and are never drawn.
+
     Names: `{train}_sample_{size}` for a size drawn once, with `_seed{seed}`
     added for a size drawn with several seeds.
     """
@@ -85,7 +99,8 @@ def build_train_subsamples(
     labels = {f"{train}_pos": "pos", f"{train}_neg": "neg"}
     label = F.coalesce(*[F.when(F.col("split") == name, F.lit(value)) for name, value in labels.items()])
     listed = splits.filter(F.col("split").isin(list(labels))).select(col("id").alias(columns.id), label.alias("label"))
-    pool = stage(listed.join(df.select(col(columns.id), col(columns.stratum)), columns.id))
+    known = lookup(listed, df.select(col(columns.id), col(columns.stratum)), columns.id, strict)
+    pool = stage(known.select(columns.id, "label", col(columns.stratum)))
     drawn = ratio_subsamples(pool, specs, "label", columns.stratum, columns.id, strict)
     if output:
         write_splits(drawn, output)

@@ -11,10 +11,11 @@ from cohortlab.staging import stage
 
 
 def score_to_results(
-    images: DataFrame, labels: DataFrame, prompts: DataFrame, findings: list[str], key: str, path: str
+    images: DataFrame, labels: DataFrame, prompts: DataFrame, findings: list[str], key: str, path: str,
+    strict: bool = True,
 ) -> None:
     """Score every image and finding and write the nested result files."""
-    scored = stage(zero_shot_scores(images, labels, prompts, findings, key))
+    scored = stage(zero_shot_scores(images, labels, prompts, findings, key, strict=strict))
     write_results(scored, path, key)
 
 
@@ -25,9 +26,10 @@ def report_results(spark: SparkSession, path: str, threshold: float = 0.5) -> tu
 
 
 def evaluate(
-    images: DataFrame, labels: DataFrame, prompts: DataFrame, findings: list[str], key: str, threshold: float = 0.5
+    images: DataFrame, labels: DataFrame, prompts: DataFrame, findings: list[str], key: str, threshold: float = 0.5,
+    strict: bool = True,
 ) -> DataFrame:
     """Per-finding report straight from embeddings. The scores are staged, as
     the ranking reads them twice."""
-    scored = stage(zero_shot_scores(images, labels, prompts, findings, key))
+    scored = stage(zero_shot_scores(images, labels, prompts, findings, key, strict=strict))
     return evaluation_report(scored, "finding", threshold=threshold)

@@ -14,28 +14,26 @@ from cohortlab.functions.text import id_number, strip
 
 def read_metadata(
     spark: SparkSession, path: str, types: Mapping[str, str] | None = None, id_col: str | None = None,
-    infer: bool = False, multi_line: bool = True,
+    infer: bool = False, multi_line: bool = False,
 ) -> DataFrame:
     """A CSV with a header row, missing values normalised.
 
     Columns are read as text and only those named in `types` are converted, so
     no extra pass over the data infers a schema; `infer` asks for one when
-    exploring. A value that does not fit its type becomes missing. With
-    `id_col`, `id_num` is the first run of digits of that column. Quoted notes
-    may hold line breaks; for files known to have none, `multi_line=False`
-    lets one file be read by many tasks.
+    exploring: a column is a whole number or a number if all its values that
+    are not missing are. A value that does not fit its type becomes missing.
+    With `id_col`, `id_num` is the first run of digits of that column. Files
+    are split over many tasks; where quoted notes hold line breaks ask for
+    `multi_line`, which reads a file in one task.
     """
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
-    raw = normalise_missing(reader.option("inferSchema", infer).csv(path))
-    types = types or {}
-    read_as = dict(raw.dtypes)
+    raw = normalise_missing(reader.csv(path))
+    types = {**(inferred_types(raw) if infer else {}), **(types or {})}
 
     def typed(name: str) -> Column:
-        wanted = types.get(name, read_as[name])
-        if wanted == read_as[name]:
+        wanted = types.get(name, "string")
+        if wanted == "string":
             return col(name)
-        if read_as[name] != "string":
-            return col(name).try_cast(wanted).alias(name)
         value = to_number(col(name)).try_cast(wanted)
         if wanted in ("int", "bigint"):  # long numbers do not survive a double
             value = F.coalesce(strip(col(name)).try_cast(wanted), value)
@@ -43,3 +41,16 @@ def read_metadata(
 
     table = raw.select([typed(c) for c in raw.columns])
     return table.withColumn("id_num", id_number(col(id_col))) if id_col else table
+
+
+def inferred_types(texts: DataFrame) -> dict[str, str]:
+    """`bigint` or `double` for columns of text whose values are all such numbers, in one aggregation."""
+    def counts(name: str) -> list[Column]:
+        number = to_number(col(name))
+        whole = strip(col(name)).try_cast("bigint")
+        return [F.count(col(name)), F.count(F.when(number.isNotNull(), whole)), F.count(number)]
+
+    row = texts.agg(*[F.array(*counts(c)) for c in texts.columns]).first()
+    kinds = {c: "bigint" if n and n == whole else "double" if n and n == number else None
+             for c, (n, whole, number) in zip(texts.columns, row)}
+    return {c: kind for c, kind in kinds.items() if kind}

@@ -1,8 +1,9 @@
 """Scored results as nested JSON.
 
-One entry per finding holds three parallel arrays: study ids, labels, scores.
-A finding with many rows is written as several entries of bounded size, so no
-task ever holds a whole finding.
+An entry of a finding holds three parallel arrays: study ids, labels, scores.
+Files for machines are lines of numbered entries of bounded size, so no task
+ever holds a whole finding. A single document with one entry per finding is
+written apart, for results known to be small.
 """
 
 from __future__ import annotations
@@ -12,22 +13,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cohortlab.functions.predicates import col
 
 ROWS_PER_ENTRY = 100_000
-_ARRAYS = "struct<study_id:array<string>,y_true:array<int>,y_score:array<double>>"
+_FIELDS = "study_id:array<string>,y_true:array<int>,y_score:array<double>"
 
 
 def write_results(
     scored: DataFrame, path: str, key: str = "study_id", finding: str = "finding", rows_per_entry: int = ROWS_PER_ENTRY
 ) -> None:
-    """Write (finding, key, y_true, y_score) as JSON lines `{finding: arrays}`.
+    """Write (finding, key, y_true, y_score) as JSON lines `{finding: {part, arrays}}`.
 
-    Rows of an entry are in key order. Entries split a finding by a hash of
-    the whole row, sized from the largest finding; one entry if it is small.
-    Copies of a row are counted before they meet and spread over entries.
+    Every entry has a part number, also where a finding has only one. Rows of
+    an entry are in key order. Entries split a finding by a hash of the whole
+    row, sized from the largest finding. Copies of a row are counted before
+    they meet and spread over entries.
     """
-    rows = scored.select(
-        col(finding).cast("string").alias("finding"), col(key).cast("string").alias("study_id"),
-        F.col("y_true").cast("int").alias("y_true"), F.col("y_score").cast("double").alias("y_score"),
-    )
+    rows = _rows(scored, key, finding)
     largest = rows.groupBy("finding").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     entries = max(1, -(-largest // rows_per_entry))
     fields = ["study_id", "y_true", "y_score"]
@@ -37,17 +36,48 @@ def write_results(
     part = F.pmod(F.xxhash64(*fields), F.lit(entries)).alias("part")
     cells = F.flatten(F.collect_list(F.array_repeat(F.struct(*fields), copies)))
     nested = pieces.groupBy("finding", part, "piece").agg(F.array_sort(cells).alias("cells"))
-    arrays = F.struct(*[F.col(f"cells.{c}").alias(c) for c in fields])
+    number = (F.col("part") + F.col("piece") * entries).alias("part")
+    arrays = F.struct(number, *[F.col(f"cells.{c}").alias(c) for c in fields])
     line = F.to_json(F.create_map("finding", arrays))
     nested.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
+def _rows(scored: DataFrame, key: str, finding: str) -> DataFrame:
+    return scored.select(
+        col(finding).cast("string").alias("finding"), col(key).cast("string").alias("study_id"),
+        F.col("y_true").cast("int").alias("y_true"), F.col("y_score").cast("double").alias("y_score"),
+    )
+
+
+def write_document(
+    scored: DataFrame, path: str, key: str = "study_id", finding: str = "finding", max_rows: int = ROWS_PER_ENTRY
+) -> None:
+    """Write one JSON document `{finding: arrays}` for all results, in key order.
+
+    Raises if there are more than `max_rows` rows in all: use `write_results`.
+    """
+    rows = _rows(scored, key, finding)
+    if len(rows.select(F.lit(1)).limit(max_rows + 1).collect()) > max_rows:
+        raise ValueError(f"more than {max_rows} rows do not go into one document")
+    fields = ["study_id", "y_true", "y_score"]
+    cells = rows.groupBy("finding").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("cells"))
+    entry = F.struct("finding", F.struct(*[F.col(f"cells.{c}").alias(c) for c in fields]).alias("arrays"))
+    whole = cells.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("value"))
+    whole.coalesce(1).write.mode("overwrite").text(path)
+
+
 def read_results(spark: SparkSession, path: str, one_document: bool = False) -> DataFrame:
     """(finding, study_id, y_true, y_score) from result files.
 
     Lines as written by `write_results`, or with `one_document` files that are
-    a single JSON document over many lines.
+    a single JSON document over many lines. Text that is not such JSON raises,
+    and so do arrays of unequal length.
     """
-    documents = spark.read.text(path, wholetext=one_document)
-    parsed = documents.select(F.explode(F.from_json("value", f"map<string,{_ARRAYS}>")).alias("finding", "d"))
-    return parsed.select("finding", F.inline(F.arrays_zip("d.study_id", "d.y_true", "d.y_score")))
+    documents = spark.read.text(path, wholetext=one_document).filter(F.trim("value") != "")
+    entries = F.from_json("value", f"map<string,struct<part:bigint,{_FIELDS}>>", {"mode": "FAILFAST"})
+    parsed = documents.select(F.explode(entries).alias("finding", "d"))
+    sizes = [F.size(F.col(f"d.{c}")) for c in ("study_id", "y_true", "y_score")]
+    equal = (sizes[0] == sizes[1]) & (sizes[0] == sizes[2]) & (sizes[0] >= 0)
+    broken = F.raise_error(F.concat(F.lit("arrays of unequal length in "), "finding"))
+    name = F.when(equal, F.col("finding")).otherwise(broken.cast("string")).alias("finding")
+    return parsed.select(name, F.inline(F.arrays_zip("d.study_id", "d.y_true", "d.y_score")))

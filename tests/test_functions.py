@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.functions import numeric, predicates, text, vectors
 from cohortlab.functions.missing import normalise_missing
-from cohortlab.functions.resolve import present_columns, resolve_columns
+from cohortlab.functions.resolve import ColumnIndex, present_columns
 
 
 def one(spark, column):
@@ -98,11 +98,12 @@ def test_resolve_columns():
     columns = ["id", "Largest LIVER lesion attenuation", "liver attenuation (old)", "kidney exact"]
     with warnings.catch_warnings(record=True) as caught:
         warnings.simplefilter("always")
-        found, missing = resolve_columns(
-            columns, {"Liver": "no such", "Kidney": "kidney exact", "Pancreas": "nope"}, "attenuation")
+        got = ColumnIndex(columns).resolve(
+            {"Liver": "no such", "Kidney": "kidney exact", "Pancreas": "nope", "largest": "-"}, "attenuation")
         present, absent = present_columns(columns, ["id", "gone"])
-    assert found == {"Liver": "Largest LIVER lesion attenuation", "Kidney": "kidney exact"}
-    assert missing == ["Pancreas"] and present == ["id"] and absent == ["gone"] and len(caught) == 2
+    assert got.found == {"Kidney": "kidney exact", "largest": "Largest LIVER lesion attenuation"}
+    assert got.ambiguous == {"Liver": ["Largest LIVER lesion attenuation", "liver attenuation (old)"]} and got.missing == ["Pancreas"]
+    assert present == ["id"] and absent == ["gone"] and len(caught) == 1
 
 
 def test_cosine(spark):

@@ -162,15 +162,15 @@ def test_impossible_splits_raise(spark, rows, size, message):
         sampling.two_way_split(df, size, "m", "id")
 
 
-def test_simple_sample(spark, monkeypatch):
+def test_simple_sample(spark):
     df = spark.range(500)
     want = sorted(range(500), key=lambda i: key(42, i))[:20]
-    assert [r.id for r in sampling.simple_sample(df, 20, "id").collect()] == want
-    monkeypatch.setattr(sampling, "TOP_ROWS", 10)
     assert sorted(r.id for r in sampling.simple_sample(df, 20, "id").collect()) == sorted(want)
     assert sampling.simple_sample(df, 1000, "id").count() == 500
     plan = sampling.simple_sample(df, 20, "id")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan
+    with pytest.raises(ValueError, match="copies"):
+        sampling.simple_sample(spark.createDataFrame([(1,)] * 50, "id int"), 20, "id").collect()
 
 
 def scan_rows():

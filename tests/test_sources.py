@@ -15,14 +15,22 @@ def test_read_metadata(spark, tmp_path):
         'SCAN_00000001,1,portal,45,"two\nlines, ""quoted"""\n'
         'SCAN_00000002,,NA,045Y,\n'
         'SCAN_00000003,0,None,NaN,n/a\n', encoding="utf-8")
-    df = metadata.read_metadata(spark, str(path), {"tumor?": "int", "age": "double"}, id_col="scan id")
+    df = metadata.read_metadata(spark, str(path), {"tumor?": "int", "age": "double"}, id_col="scan id", multi_line=True)
     assert [tuple(r) for r in df.orderBy("id_num").collect()] == [
         ("SCAN_00000001", 1, "portal", 45.0, 'two\nlines, "quoted"', 1),
         ("SCAN_00000002", None, None, None, None, 2),
         ("SCAN_00000003", 0, None, None, None, 3)]
     assert dict(df.dtypes)["id_num"] == "bigint"
-    inferred = metadata.read_metadata(spark, str(path), infer=True)
-    assert dict(inferred.dtypes)["tumor?"] == "int"
+    inferred = metadata.read_metadata(spark, str(path), infer=True, multi_line=True)
+    assert dict(inferred.dtypes)["tumor?"] == "bigint" and dict(inferred.dtypes)["ct phase"] == "string"
+
+
+def test_inference_looks_past_missing_tokens(spark, tmp_path):
+    path = tmp_path / "m.csv"
+    path.write_text("a,b,c\n1,NA,x\nNA,2.5,3\n")
+    df = metadata.read_metadata(spark, str(path), infer=True)
+    assert dict(df.dtypes) == {"a": "bigint", "b": "double", "c": "string"}
+    assert sorted(map(tuple, df.collect()), key=str) == [(1, None, "x"), (None, 2.5, "3")]
 
 
 def test_long_whole_numbers_keep_their_digits(spark, tmp_path):
@@ -67,10 +75,30 @@ def test_results_roundtrip(spark, tmp_path, rows_per_entry):
     path = str(tmp_path / "results")
     results.write_results(df, path, rows_per_entry=rows_per_entry)
     assert sorted(map(tuple, results.read_results(spark, path).collect())) == sorted(rows)
+    parts = [(f, v["part"]) for r in spark.read.text(path).collect() for f, v in json.loads(r.value).items()]
+    assert len(set(parts)) == len(parts)
     sizes = [len(v["y_true"]) for r in spark.read.text(path).collect() for v in json.loads(r.value).values()]
     assert len(sizes) == 3 if rows_per_entry > 100 else len(sizes) > 20 and max(sizes) <= 3 * rows_per_entry
 
 
+@pytest.mark.parametrize("line", ['{"cyst": {"part": 0, "study_id": ["a"', '{"cyst": {"study_id": ["a"], "y_true": [], "y_score": [0.5]}}'])
+def test_broken_results_raise(spark, tmp_path, line):
+    path = tmp_path / "broken.json"
+    path.write_text(line + "\n")
+    with pytest.raises(Exception, match="MALFORMED|unequal"):
+        results.read_results(spark, str(path)).collect()
+
+
+def test_document_is_written_whole_or_not_at_all(spark, tmp_path):
+    rows = [(f"f{i % 3}", f"s{i:03d}", i % 2, i / 7) for i in range(30)]
+    df = spark.createDataFrame(rows, "finding string, study_id string, y_true int, y_score double")
+    path = str(tmp_path / "document")
+    results.write_document(df, path)
+    assert sorted(map(tuple, results.read_results(spark, path, one_document=True).collect())) == sorted(rows)
+    with pytest.raises(ValueError, match="29 rows"):
+        results.write_document(df, path, max_rows=29)
+
+
 def test_one_document_results(spark, tmp_path):
     path = tmp_path / "results.json"
     path.write_text('{\n "cyst": {"study_id": ["a", "b"], "y_true": [1, 0],\n "y_score": [0.5, 0.25]},\n'

@@ -53,7 +53,7 @@ def by_hand(data):
 def test_scores_match_by_hand(data, frames, monkeypatch, matrix):
     if not matrix:
         monkeypatch.setattr(zeroshot, "MATRIX_FINDINGS", 1)
-    out = zeroshot.zero_shot_scores(*frames, FINDINGS, "study_id").collect()
+    out = zeroshot.zero_shot_scores(*frames, FINDINGS + FINDINGS[:1], "study_id", strict=False).collect()
     got = {(r.finding, r.study_id): (r.y_true, r.y_score) for r in out}
     want = by_hand(data)
     assert got.keys() == want.keys() and len(out) == len(got)
@@ -67,6 +67,17 @@ def test_finding_without_prompts_raises(frames):
         zeroshot.zero_shot_scores(frames[0], frames[1], frames[2].filter("finding <> 'cyst'"), FINDINGS, "study_id")
 
 
+def test_images_that_cannot_be_scored_raise_or_are_listed(spark):
+    images = spark.createDataFrame([("a", [1.0]), ("b", None), ("c", [2.0]), ("d", [3.0])], "study_id string, embedding array<float>")
+    labels = spark.createDataFrame([("a", 1), ("b", 0), ("d", None)], "study_id string, cyst int")
+    prompts = spark.createDataFrame([("cyst", [1.0], [2.0])], "finding string, present array<float>, absent array<float>")
+    gaps = zeroshot.scoring_gaps(images, labels, ["cyst"], "study_id").collect()
+    assert sorted(map(tuple, gaps)) == [("b", None, "no vector"), ("c", None, "no label row"), ("d", "cyst", "no label")]
+    assert [r.study_id for r in zeroshot.zero_shot_scores(images, labels, prompts, ["cyst"], "study_id", strict=False).collect()] == ["a"]
+    with pytest.raises(Exception, match="no label row for c|no vector for b|no label for d"):
+        zeroshot.zero_shot_scores(images, labels, prompts, ["cyst"], "study_id").collect()
+
+
 def test_prompt_tables(spark):
     flat = zeroshot.flatten_prompts(spark, {"cyst": ("a cyst is present", "no cyst"), "air": ("air", "no air")})
     assert sorted(map(tuple, flat.collect())) == [
@@ -85,8 +96,8 @@ def test_latest_embedding(spark):
 
 def test_results_file_and_report(spark, frames):
     path = new_folder(spark, "results")
-    plan.score_to_results(*frames, FINDINGS, "study_id", path)
+    plan.score_to_results(*frames, FINDINGS, "study_id", path, strict=False)
     report, macro = plan.report_results(spark, path)
-    direct = {r.finding: tuple(r)[1:] for r in plan.evaluate(*frames, FINDINGS, "study_id").collect()}
+    direct = {r.finding: tuple(r)[1:] for r in plan.evaluate(*frames, FINDINGS, "study_id", strict=False).collect()}
     assert {r.finding: pytest.approx(tuple(r)[1:]) for r in report.collect()} == direct
     assert macro.first().n_groups == 3
