@@ -18,6 +18,7 @@ import os
 import re
 import struct
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,9 @@ from cohortlab.llm.textscan import blocks
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 THREADS = 2
-# Bound of the cache of encoded words in a process; the cache starts anew beyond it.
-KNOWN_WORDS = 300_000
+# Bound of the cache of encoded words in a process, which starts anew beyond it, and text encoded at a time.
+KNOWN_WORDS = 120_000
+TEXT_BYTES = 500_000
 SPLIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 # Kinds of pieces in the format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -107,7 +109,7 @@ def tokenizer(model: Model, bare: bool = False):
         ids = {p: i for i, p in enumerate(names)}
         merges = sorted((rank[p], ids[p], p[:i], p[i:]) for p in rank for i in range(1, len(p)) if p[:i] in rank and p[i:] in rank)
         core = models.BPE(ids, [(a, b) for _, _, a, b in merges], unk_token=names[unknown] if unknown is not None else None,
-                          fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=200_000)
+                          fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=0 if bare else 10_000)
     else:
         raise ValueError(f"models of type {model.kind} are not built here")
     steps = []
@@ -150,8 +152,7 @@ class Codec:
         m = self.model
         self.by_word = m.escape and not m.charsmap and not m.trim and not any(MARK in p.lstrip(MARK) for p, _, _ in m.pieces)
         self.known: dict[str, int] = {}
-        if self.by_word:
-            self.words = tokenizer(m, bare=True)
+        self.tokens = tokenizer(m, bare=self.by_word)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text."""
@@ -170,7 +171,7 @@ class Codec:
         head = " " if self.model.add_prefix else ""
         words = [SPLIT.findall((head + t).replace(" ", MARK)) if t else [] for t in texts]
         new = list({w for x in words for w in x} - self.known.keys())
-        ids = [e.ids for e in self.words.encode_batch_fast(new, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokens.encode_batch_fast(new, add_special_tokens=False)]
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         self.lengths = [np.concatenate((*self.lengths, lengths))]
@@ -198,22 +199,35 @@ class Codec:
                 raise ValueError(f"{text[:80]!r}: {ids[:40]} is not {wanted[:40]}")
 
 
-def _encoder(shared, threads: int, decode: bool):
+@lru_cache(maxsize=1)
+def _codec(data: bytes, threads: int) -> Codec:
+    """One codec for a process, whatever number of tasks it runs."""
+    return Codec(data, threads)
+
+
+def _encoder(shared, threads: int, decode: bool, text_col: str | None):
+    """`text_col`: the text is a field of `row`."""
+    def encoded(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codec = _codec(shared.value, threads)
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        sizes, flat = codec.encode_flat(texts)
+        ends = np.cumsum(sizes)
+        names = [c for c in batch.schema.names if c != "text"]
+        arrays = [batch.column(c) for c in names]
+        arrays += [pa.array(sizes), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), flat)]
+        names += ["n_tokens", "ids"]
+        if decode:
+            arrays.append(pa.array([codec.decode(flat[e - n: e].tolist()) == _normal(codec.model, t)
+                                    for n, e, t in zip(sizes, ends, texts)], pa.bool_()))
+            names.append("round_trip")
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
     def run(batches):
-        codec = Codec(shared.value, threads)
-        for batch in blocks(batches):
-            texts = batch.column("text").to_pylist()
-            sizes, flat = codec.encode_flat(texts)
-            ends = np.cumsum(sizes)
-            arrays = [batch.column(c) for c in batch.schema.names if c != "text"]
-            names = [c for c in batch.schema.names if c != "text"]
-            arrays += [pa.array(sizes), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), flat)]
-            names += ["n_tokens", "ids"]
-            if decode:
-                arrays.append(pa.array([codec.decode(flat[e - n: e].tolist()) == _normal(codec.model, t)
-                                        for n, e, t in zip(sizes, ends, texts)], pa.bool_()))
-                names.append("round_trip")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+        for batch in batches:
+            if text_col is not None:
+                batch = batch.append_column("text", batch.column("row").field(text_col))
+            yield from map(encoded, blocks([batch], limit=TEXT_BYTES))
+
     return run
 
 
@@ -237,12 +251,12 @@ def encode(docs: DataFrame, path: str = MODEL, threads: int = THREADS, id_col: s
     spark = docs.sparkSession
     data = load(spark, path)
     Codec(data, threads).check(PARITY_TEXTS)
-    cols = docs.select(F.col(id_col).alias("doc_id"), *[F.struct("*").alias("row") for _ in range(carry)],
-                       F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.struct("*").alias("row") if carry else F.col(text_col).alias("text")
+    cols = docs.select(F.col(id_col).alias("doc_id"), text)
     schema = T.StructType([f for f in cols.schema.fields if f.name != "text"] + [
         T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))]
         + [T.StructField("round_trip", T.BooleanType()) for _ in range(decode)])
-    return cols.mapInArrow(_encoder(spark.sparkContext.broadcast(data), threads, decode), schema)
+    return cols.mapInArrow(_encoder(spark.sparkContext.broadcast(data), threads, decode, text_col if carry else None), schema)
 
 
 def decode(encoded: DataFrame, path: str = MODEL, ids_col: str = "ids") -> DataFrame:
