@@ -1,6 +1,7 @@
 """Toxicity by a weighted lexicon, matched by an Aho-Corasick automaton after folding.
 
-Folding undoes disguise: case, accents, homoglyphs of other scripts and digits or signs in place of letters. The lexicon is learned
+Folding undoes disguise: case, homoglyphs of other scripts and digits or signs in place of letters. Accents tell words apart in many
+languages, so texts are matched with and without them; what only matches without them counts as well. The lexicon is learned
 from labelled rows as words and word beginnings with significant log-odds, on top of a short list of common insults; exception phrases
 take back what a word inside them scored. Sums of weights, plain and per word, give the score by a logistic curve fitted on the
 same rows.
@@ -28,8 +29,10 @@ from cohortlab.staging import stage
 SAMPLE_ROWS = 20_000
 MAX_TERMS = 20_000
 # Twice the log-likelihood gain that a term needs, and the share of its documents that must be toxic.
-GAIN, PRECISION = 30.0, 0.6
-PREFIXES = (4, 5, 6)
+GAIN, PRECISION = 20.0, 0.6
+PREFIXES = (4, 5, 6, 7, 8)
+# Share of clean documents up to which a beginning stands for all its words.
+PURE = 0.05
 THRESHOLD = 0.7
 
 # Common insults, with the weight they have until labels say otherwise.
@@ -50,23 +53,24 @@ _SIZE = 0x20000
 
 
 @cache
-def folding() -> np.ndarray:
-    """Code point to folded code point: a letter, or a space for what is none."""
+def folding(accents: bool) -> np.ndarray:
+    """Code point to folded code point: a letter, with its accent or without, or a space for what is none."""
     out = np.full(_SIZE, 32, np.uint32)
     for cp in range(_SIZE):
         c = chr(cp)
         if c in LOOKALIKES or unicodedata.category(c)[0] == "L" and not 0x2E80 <= cp < 0xF900:
             base = unicodedata.normalize("NFKD", c).lower()[:1] or c
-            out[cp] = ord(LOOKALIKES.get(c) or LOOKALIKES.get(base) or base)
+            like = LOOKALIKES.get(c) or LOOKALIKES.get(base)
+            out[cp] = ord(like if like else c.lower()[:1] if accents and unicodedata.decomposition(c)[:1] not in ("", "<") else base)
         elif unicodedata.category(c)[0] in "LN":
             out[cp] = cp
     return out
 
 
-def fold(text: str) -> str:
+def fold(text: str, accents: bool = True) -> str:
     """Letters folded, all else a space. The length stays."""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    out = folding()[np.minimum(points, _SIZE - 1)]
+    out = folding(accents)[np.minimum(points, _SIZE - 1)]
     # An exclamation mark reads as a letter only before another.
     out[np.flatnonzero((points[:-1] == 33) & (out[1:] != 32))] = ord("i")
     return out.tobytes().decode("utf-32-le")
@@ -98,7 +102,8 @@ class Lexicon:
 def sums(texts: list[str], machine) -> tuple[np.ndarray, np.ndarray]:
     """Weighted hits and number of words of each text."""
     ends = np.cumsum([len(t) + 2 for t in texts])
-    flat = fold("  ".join([*texts, ""]))
+    whole = "  ".join([*texts, ""])
+    flat = fold(whole)
     hits, counts = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
     if not texts:
         return hits, counts
@@ -107,6 +112,11 @@ def sums(texts: list[str], machine) -> tuple[np.ndarray, np.ndarray]:
     counts += np.bincount(np.searchsorted(ends, begins, side="right"), minlength=len(texts))
     if machine is not None:
         found = list(machine.iter(" " + flat))
+        plain = fold(whole, accents=False)
+        if plain != flat:
+            # Past the accents only whole words count, and only where nothing matched with them.
+            known = {e for e, _ in found}
+            found += [(e, w) for e, w in machine.iter(" " + plain) if e not in known and plain[e - 1] == " "]
         if found:
             at = np.searchsorted(ends, np.fromiter((e - 2 for e, _ in found), np.int64, len(found)), side="right")
             hits += np.bincount(np.clip(at, 0, len(texts) - 1), np.fromiter((w for _, w in found), float, len(found)), len(texts))
@@ -170,7 +180,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     found = counts.orderBy(F.desc("gain"), "term").limit(MAX_TERMS).collect()
     weigh = {r.term: float(np.log((r.pos + 0.5) / (n[1] + 1)) - np.log((r.neg + 0.5) / (n[0] + 1))) for r in found}
     # A beginning stands for its words only if it is as pure as they are; words it covers are left to it.
-    pure = {r.term for r in found if r.term[-1] != " " and r.neg <= 0.02 * r.pos}
+    pure = {r.term for r in found if r.term[-1] != " " and r.neg <= PURE * r.pos}
     pure = {t for t in pure if not any(t[:k] in pure for k in range(2, len(t)))}
     words = {t: w for t, w in weigh.items() if t[-1] == " " and not any(t[:k] in pure for k in range(2, len(t)))}
     lexicon.weights = {t: w for t, w in lexicon.weights.items() if not any(t[:k] in pure for k in range(2, len(t)))}
