@@ -14,6 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from catalog import QUERIES  # noqa: E402
 from cohortlab.session import get_session  # noqa: E402
+from cohortlab.staging import clear_folders  # noqa: E402
 
 HEADLINE = [
     "q_compound_cohort", "q_semi_join", "q_membership_flag", "q_coerce_numeric",
@@ -49,6 +50,7 @@ def main() -> None:
         "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
     }))
+    clear_folders(spark)
     spark.stop()
 
 

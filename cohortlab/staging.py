@@ -13,9 +13,24 @@ SMALL_ROWS = 200_000
 SMALL_BYTES = 64_000_000
 
 
+_made: list[str] = []
+
+
 def new_folder(spark, label: str) -> str:
     """A fresh path in the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear_folders(spark) -> int:
+    """Remove the folders this process has made, once no result that reads them is needed; returns their number."""
+    conf, path_of = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    removed = 0
+    while _made:
+        path = path_of(_made.pop())
+        removed += path.getFileSystem(conf).delete(path, True)
+    return removed
 
 
 def stage(df: DataFrame) -> DataFrame:

@@ -131,3 +131,20 @@ def test_partition_column_of_text(spark, tmp_path):
     out = str(tmp_path / "s")
     id_lists.write_splits(spark.range(3).select(F.lit("350").alias("split"), F.col("id")), out)
     assert dict(id_lists.read_splits(spark, out).dtypes)["split"] == "string"
+
+
+def test_staged_folders_can_be_cleared(spark, monkeypatch):
+    from cohortlab import staging
+
+    monkeypatch.setattr(staging, "_made", [])
+    kept = staging.stage(spark.range(5))
+    assert kept.count() == 5 and staging.clear_folders(spark) == 1 and staging.clear_folders(spark) == 0
+
+
+def test_wide_values_are_not_broadcast(spark, monkeypatch):
+    from cohortlab import staging
+
+    monkeypatch.setattr(staging, "SMALL_BYTES", 10_000)
+    wide = spark.range(20).select("id", F.array_repeat(F.lit(1.5), 1_000).alias("v"))
+    assert staging.small_table(wide)[1] is None
+    assert staging.small_table(spark.range(20))[1].num_rows == 20
