@@ -4,65 +4,64 @@ from __future__ import annotations
 
 from cohortlab.llm import embeddings, lm_scores, mixing, near_duplicates, pieces, quality, secrets, substrings, suffixes, toxicity
 from cohortlab.llm.common import table
+from cohortlab.llm.oracles import SQL as ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {}
-ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    def register(run):
-        QUERIES[run.__name__] = run
-        if sql is not None:
-            ORACLES[run.__name__] = sql
-        return run
-    return register
+def query(run):
+    """Register a query under its function's name."""
+    QUERIES[run.__name__] = run
+    return run
 
 
-@query()
+@query
 def op1_mixing(spark, folder):
     return mixing.plan_mix(table(spark, folder, "documents"))
 
 
-@query()
+@query
 def op4_quality_rules(spark, folder):
     return quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-@query()
+@query
 def op5_toxicity(spark, folder):
     return toxicity.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-@query()
+@query
 def op7_secrets(spark, folder):
     return secrets.report(table(spark, folder, "documents"))
 
 
-@query()
+@query
 def op8_sentencepiece(spark, folder):
     return pieces.encode(table(spark, folder, "documents"))
 
 
-@query()
+@query
 def op3_substring_dedup(spark, folder):
     return substrings.report(table(spark, folder, "documents"))
 
 
-@query()
+@query
 def op2_minhash_near_dedup(spark, folder):
     return near_duplicates.report(table(spark, folder, "documents"), k=2)
 
 
-@query()
+@query
 def op6_embedding_near_dedup(spark, folder):
     return embeddings.links(table(spark, folder, "embeddings"))
 
 
-@query()
+@query
 def op9_lm_scores(spark, folder):
     return lm_scores.score(table(spark, folder, "documents"))
 
 
-@query()
+@query
 def op10_suffix_dedup(spark, folder):
     return suffixes.report(table(spark, folder, "documents"))
