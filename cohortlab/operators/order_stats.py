@@ -1,6 +1,6 @@
 """Order statistics that no single task has to sort.
 
-Values are cut into buckets at approximate quantiles of the whole column. A
+Values are cut into buckets of about equal counts over the whole column. A
 bucket is a pure function of the value, so equal values share one, and it
 holds a bounded share of the rows however the values are spread over groups.
 Counts per bucket then say in which bucket a wanted rank lies, and only that
@@ -25,6 +25,7 @@ ROWS_PER_BUCKET = 200_000
 MAX_BUCKETS = 100_000
 # Entries of value -> count maps that one task may hold: about 250 MB.
 MAP_ENTRIES = 4_000_000
+_LEAST_EXPONENT = 1_080
 # Groups whose maps an aggregation task holds at once before it sorts instead.
 OPEN_GROUPS = 128
 
@@ -50,23 +51,48 @@ def probe(df: DataFrame, columns: list[str], by: list[str] | None = None, limit:
     return Probe(values, entries <= limit)
 
 
+def _code(x, bits: int):
+    """A whole number that rises with a finite double: sign, exponent and leading `bits` of the fraction."""
+    size = F.abs(x)
+    exponent = F.floor(F.log2(size))
+    fraction = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * 2**bits)
+    return F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * ((exponent + _LEAST_EXPONENT) * 2**bits + fraction)).cast("bigint")
+
+
+def _start(code: int, bits: int) -> float:
+    """A value at which the numbers of a code begin."""
+    exponent, fraction = divmod(abs(code), 2**bits)
+    return 0.0 if code == 0 else (1 if code > 0 else -1) * 2.0 ** (exponent - _LEAST_EXPONENT) * (1 + fraction / 2**bits)
+
+
 def value_edges(
     df: DataFrame, value: str, rows_per_bucket: int = ROWS_PER_BUCKET, rows: int | None = None
 ) -> list[float]:
     """Inner bucket edges; none if all rows fit into one bucket.
 
-    Edges are distinct, so one very frequent value gets a bucket of its own at
-    most; grouping by value collapses it before any sort.
+    Rows are counted by the leading bits of their value, combined before they
+    meet; the bits are as many as the wanted buckets need, so the counts that
+    reach the driver are bounded. Edges are distinct, so one very frequent
+    value gets a bucket of its own at most; grouping by value collapses it
+    before any sort. The outer buckets hold infinities; NaN has a bucket above
+    them, as in Spark's own order.
     """
     if rows is None:
         rows = df.filter(col(value).isNotNull()).count()
     buckets = min(-(-rows // rows_per_bucket), MAX_BUCKETS)
     if buckets <= 1:
         return []
-    points = F.expr("array(" + ", ".join(f"{i / buckets!r}D" for i in range(1, buckets)) + ")")
-    edges = df.agg(F.percentile_approx(col(value).cast("double"), points, max(10_000, 2 * buckets))).first()[0]
-    # The outer buckets hold infinities; NaN has a bucket above them, as in Spark's own order.
-    return sorted({e for e in edges or [] if isfinite(e)})
+    bits = min(14, 4 + (buckets - 1).bit_length())
+    x = col(value).cast("double")
+    finite = df.select(x.alias("x")).filter(F.abs("x") < float("inf"))
+    counts = finite.groupBy(_code(F.col("x"), bits).alias("code")).agg(F.count("*").alias("n")).collect()
+    edges, held = [], 0
+    for code, n in sorted(map(tuple, counts)):
+        if held and held + n > rows_per_bucket:
+            edges.append(_start(code, bits))
+            held = 0
+        held += n
+    return sorted({e for e in edges if isfinite(e)})
 
 
 def with_bucket(df: DataFrame, value: str, edges: list[float], name: str = "bucket") -> DataFrame:

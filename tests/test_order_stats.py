@@ -75,3 +75,23 @@ def test_probe_bounds_the_maps(spark):
     assert not order_stats.probe(df, ["x"], ["g"], limit=900).few
     assert order_stats.probe(df, ["y"], ["g"], limit=60).few
     assert order_stats.probe(df.limit(0), ["x"]) == order_stats.Probe(0, True)
+
+
+@pytest.mark.parametrize("rows_per_bucket", [1_000_000, 40])
+def test_infinities_and_nan_have_one_answer(spark, rows_per_bucket):
+    values = [float("inf")] * 120 + [float("-inf")] * 60 + [float(i) for i in range(300)] + [float("nan")] * 50
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
+    for builtin in (True, False):
+        out = exact_quantiles(df, ["x"], [0.3, 0.5], None, rows_per_bucket, builtin).collect()
+        ranked = sorted(values[:480]) + values[480:]
+        want = {p: ranked[int(p * 529)] + (ranked[int(p * 529) + 1] - ranked[int(p * 529)]) * (p * 529 % 1) for p in (0.3, 0.5)}
+        assert {r.p: pytest.approx(r.value) for r in out} == want
+
+
+def test_edges_balance_rows_of_any_spread(spark):
+    rng = random.Random(8)
+    values = [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(3000)] + [rng.uniform(5, 5.5) for _ in range(3000)] + [0.0] * 500
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    edges = order_stats.value_edges(df, "x", 300)
+    sizes = np.histogram(values, [-np.inf, *edges, np.inf])[0]
+    assert len(edges) >= 15 and max(sizes) <= 700
