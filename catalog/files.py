@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from catalog.registry import SCANS, Tables, query
 from catalog.sampling import SPLITS, splits_of
 from catalog.scoring import _SCORED, scored_of
+from cohortlab.functions.resolve import present_columns
+from cohortlab.operators.profile import completeness
 from cohortlab.sources import id_lists, metadata, results, volumes
 from cohortlab.staging import new_folder, stage
 
@@ -88,3 +90,24 @@ def q_results_document(t: Tables) -> DataFrame:
     scored = stage(scored_of(t))
     results.write_document(scored, path, "vec_id", max_rows=10_000_000)
     return results.read_results(t.spark, path, one_document=True)
+
+
+@query("SELECT lang AS id, 'lang=' || lang || '.txt' AS name, row_number() OVER (ORDER BY lang) AS place FROM documents GROUP BY lang")
+def q_sorted_paths(t: Tables) -> DataFrame:
+    """One file per language, in path order."""
+    path = new_folder(t.spark, "paths")
+    t.documents.select("lang", "doc_id").repartition("lang").selectExpr("cast(doc_id AS string) AS value", "lang") \
+        .write.partitionBy("lang").text(path)
+    files = volumes.file_inventory(t.spark, path, ".txt", recursive=True)
+    lang = F.regexp_extract("path", "/lang=([^/]+)/", 1)
+    ordered = volumes.sorted_paths(files.select(lang.alias("id"), "path").dropDuplicates(["id"]))
+    numbered = ordered.withColumn("place", F.row_number().over(Window.orderBy("path")).cast("bigint"))
+    return numbered.select("id", F.concat(F.lit("lang="), "id", F.lit(".txt")).alias("name"), "place")
+
+
+@query(f"""WITH {SCANS} SELECT 'quality' AS "column", count(quality) AS n FROM scans UNION ALL SELECT 'toxic', count(toxic) FROM scans""")
+def q_present_columns(t: Tables) -> DataFrame:
+    """A report over those of the wanted columns that the table has."""
+    scans = t.scans()
+    present, _ = present_columns(scans.columns, ["quality", "mood", "toxic"])
+    return completeness(scans, present).select("column", "n")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from catalog.registry import PLACED, SCANS, Tables, query
 from cohortlab.operators import checks, sampling
-from cohortlab.operators.profile import label_counts
+from cohortlab.operators.profile import label_counts, stem_crosstab
 from cohortlab.plans import matched_splits, stratified_split
 
 COLUMNS = matched_splits.ScanColumns(id="doc_id", id_num="doc_id", flag="toxic", stratum="lang")
@@ -279,3 +279,11 @@ GROUP BY w.split, wanted HAVING count(s.id) < wanted""")
 def q_split_shortfalls(t: Tables) -> DataFrame:
     """Splits with fewer negatives than asked for; on the smallest tables there is one."""
     return matched_splits.split_shortfalls(splits_of(t), NEGATIVES)
+
+
+@query(f"""WITH {_SUBSAMPLES}
+SELECT lang, regexp_extract(split, '^(.*)_[^_]+$', 1) AS stem, regexp_extract(split, '([^_]+)$', 1) AS label, count(*) AS n
+FROM subsamples s JOIN documents d ON s.id = d.doc_id WHERE lang IS NOT NULL GROUP BY ALL""")
+def q_stem_crosstab(t: Tables) -> DataFrame:
+    """Strata of every subsample, by stem and label of its name."""
+    return stem_crosstab(t.documents, subsamples_of(t), "doc_id", "lang")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cohortlab.constants import AGE_EDGES, AGE_LABELS
 from cohortlab.functions.numeric import half_even, nan_to_null, percentage, to_number
 from cohortlab.functions.predicates import all_above_zero, any_at_least_one, col, positive_count
-from cohortlab.functions.text import non_blank, percent_bar
+from cohortlab.functions.text import non_blank, percent_bar, split_label, split_stem
 from cohortlab.operators.order_stats import exact_quantiles, probe, with_bucket
 
 
@@ -269,3 +269,11 @@ def split_crosstab(df: DataFrame, splits: DataFrame, id_col: str, stratum: str,
 def preview(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
     """The first n rows in the given order."""
     return df.orderBy(*map(col, order)).limit(n)
+
+
+def stem_crosstab(df: DataFrame, splits: DataFrame, id_col: str, stratum: str) -> DataFrame:
+    """(stratum, stem, label, n): the crosstab in long form, split names taken apart at their last underscore."""
+    listed = splits.select("split", F.col("id").alias(id_col)).distinct()
+    known = df.filter(col(stratum).isNotNull()).select(col(id_col), col(stratum))
+    stem, label = split_stem(F.col("split")).alias("stem"), split_label(F.col("split")).alias("label")
+    return listed.join(known, id_col).groupBy(col(stratum), stem, label).agg(F.count("*").alias("n"))
