@@ -11,6 +11,19 @@ GAP = r"[\x20\x09-\x0D]+"
 NO_ID = 2**63 - 1
 
 
+# Rows of whole texts that one Arrow batch may hold; Spark's default is made for narrow rows.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, with Arrow batches of the session bounded for rows that hold texts."""
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH)) > BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df
+
+
 def table(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
@@ -27,7 +40,7 @@ def crc_mod(id_col: Column, n: int) -> Column:
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, text, rk): id with NULL last, text with NULL as empty, and a key of the row that survives repeated ids."""
-    return docs.select(
+    return small_batches(docs).select(
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     ).withColumn("rk", F.xxhash64("doc", "text"))

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from cohortlab.llm.common import small_batches
 from cohortlab.llm.textscan import blocks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -252,7 +253,7 @@ def encode(docs: DataFrame, path: str = MODEL, threads: int = THREADS, id_col: s
     data = load(spark, path)
     Codec(data, threads).check(PARITY_TEXTS)
     text = F.struct("*").alias("row") if carry else F.col(text_col).alias("text")
-    cols = docs.select(F.col(id_col).alias("doc_id"), text)
+    cols = small_batches(docs).select(F.col(id_col).alias("doc_id"), text)
     schema = T.StructType([f for f in cols.schema.fields if f.name != "text"] + [
         T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))]
         + [T.StructField("round_trip", T.BooleanType()) for _ in range(decode)])
@@ -263,7 +264,7 @@ def decode(encoded: DataFrame, path: str = MODEL, ids_col: str = "ids") -> DataF
     """The rows of `encoded` with their ids decoded as `text`; NULL ids decode to the empty string."""
     spark = encoded.sparkSession
     shared = spark.sparkContext.broadcast(load(spark, path))
-    cols = encoded.select(F.struct("*").alias("row"), F.col(ids_col).alias("ids"))
+    cols = small_batches(encoded).select(F.struct("*").alias("row"), F.col(ids_col).alias("ids"))
     schema = T.StructType([cols.schema["row"], T.StructField("text", T.StringType())])
 
     def run(batches):

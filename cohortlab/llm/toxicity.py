@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cohortlab.llm.common import crc_mod
+from cohortlab.llm.common import crc_mod, small_batches
 from cohortlab.llm.textscan import blocks
 from cohortlab.staging import stage
 
@@ -161,7 +161,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     if ids.toxic.nunique() < 2:
         return lexicon
     chosen = F.broadcast(spark.createDataFrame(ids, "doc_id long, toxic int"))
-    sample = stage(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sample = stage(small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
                    .join(chosen, "doc_id").select("text", "toxic"))
     n = dict(sample.groupBy("toxic").count().collect())
     if len(n) < 2:
@@ -225,7 +225,7 @@ def _scorer(shared, text_col: str | None):
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """(doc_id, weight, score) of every row; `carry` adds the whole row as a struct, `row`."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    cols = docs.select(F.col(id_col).alias("doc_id"), F.struct("*").alias("row") if carry else F.col(text_col).alias("text"))
+    cols = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.struct("*").alias("row") if carry else F.col(text_col).alias("text"))
     schema = T.StructType([f for f in cols.schema.fields if f.name != "text"] + [
         T.StructField("weight", T.DoubleType()), T.StructField("score", T.DoubleType())])
     return cols.mapInArrow(_scorer(shared, text_col if carry else None), schema)
