@@ -6,6 +6,8 @@ in each block, front-coded (length of the prefix shared with the one before, and
 There the runs are merged by a loser tree that carries common prefix lengths, so known prefixes are never compared again. Stretches
 of the merged order with a common gram decide which strings start in a smaller document; each suffix brings the bytes to its left.
 
+Of documents with equal texts only the one with the smallest id takes part; the others are cut as a whole.
+
 Grams in so many blocks that a range would be flooded are listed (their number is bounded by the anchors of a block) and their
 strings are compared by hash in even buckets instead; the outcome is the same.
 
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortlab.llm.common import keyed, shown_id
 from cohortlab.llm.exchange import ASKS, answer, asks, bucket_count, found_items, gathered
+from cohortlab.llm.graph import among, bitmap, place
 from cohortlab.llm.textscan import BLOCK_BYTES, Block, blocks, mix
 from cohortlab.staging import stage
 
@@ -31,7 +34,7 @@ LENGTH, GRAM = 50, 20
 # Documents that splitters are taken from (least hashes); they only balance the ranges.
 SPLITTER_DOCS = 1_000
 # A gram is common if it is in this share of blocks, and in at least this many.
-COMMON_SHARE, COMMON_BLOCKS = 0.05, 16
+COMMON_SHARE, COMMON_BLOCKS = 0.2, 16
 # Fixed part of a suffix in a run: place of its document in the run's table, place in the text, bytes to the left and first offset.
 ITEM = np.dtype([("who", "<u4"), ("at", "<u4"), ("left", "u1"), ("first", "u1"), ("lcp", "u1"), ("size", "u1")])
 RUNS = "part int, tell boolean, docs binary, items binary, tails binary, lefts binary"
@@ -73,9 +76,13 @@ def _ordered(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.take(pa.array(np.argsort(batch.column("doc").to_numpy(), kind="stable")))
 
 
-def _anchor_asks(n_buckets: int, length: int, gram: int):
+def _anchor_asks(n_buckets: int, shared, length: int, gram: int):
+    """Anchors of documents that take part. The bitmap passes all of them and few others, which only add work."""
     def run(batches):
         for batch in map(_ordered, blocks(batches)):
+            batch = batch.filter(pa.array(among(shared.value, batch.column("place").to_numpy())))
+            if not batch.num_rows:
+                continue
             a = Anchors(Block(batch.column("text")), length, gram)
             yield asks(n_buckets, batch.column("doc").to_numpy(), batch.column("rk").to_numpy(), a.doc, a.hash, 6, smaller=False)
     return run
@@ -312,6 +319,11 @@ def _cut(length: int, texts: bool):
             block, rows = Block(batch.column("text")), batch.num_rows
             edge = np.zeros(len(block.bytes) + 1, np.int64)
             any_ = False
+            for d, copy in enumerate(batch.column("copy").to_pylist()):
+                if copy and block.sizes[d] >= length:
+                    any_ = True
+                    edge[block.begins[d]] += 1
+                    edge[block.ends[d]] -= 1
             for d, masks in enumerate(batch.column("masks").to_pylist()):
                 if masks:
                     m = np.frombuffer(b"".join(masks), MASK)
@@ -353,7 +365,12 @@ def _dedup(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str,
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = bucket_count(docs, text_col)
     often = max(COMMON_BLOCKS, int(COMMON_SHARE * size / BLOCK_BYTES))
-    replies = stage(answer(rows.mapInArrow(_anchor_asks(n, length, gram), ASKS), 6, smaller=False, often=often))
+    texts_of = stage(rows.select("doc", "rk", F.md5("text").alias("text")))
+    first = texts_of.groupBy("text").agg(F.min(F.struct("doc", "rk")).alias("first"))
+    copies = texts_of.join(first, "text").where("doc > first.doc").select("rk").distinct()
+    bits = spark.sparkContext.broadcast(bitmap(first.select("first.rk"), "rk"))
+    replies = stage(answer(rows.select("doc", "rk", "text", place("rk").alias("place")).mapInArrow(
+        _anchor_asks(n, bits, length, gram), ASKS), 6, smaller=False, often=often))
     common = b"".join(r.hashes for r in replies.where("common").select("hashes").collect())
     sample = rows.select("text", "rk").orderBy("rk").limit(SPLITTER_DOCS).select("text").mapInArrow(_gram_sample(length, gram), "gram binary")
     grams = np.sort(np.array([bytes(g) for g in sample.toArrow().column("gram").to_pylist()], f"S{gram}"))
@@ -363,10 +380,12 @@ def _dedup(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str,
     near = rows.join(gathered(replies.where("not common")), "rk").select("doc", "rk", "text", "found")
     masks = near.mapInArrow(_suffix_runs(shared, length, gram), RUNS).groupBy("part").applyInArrow(_merged(length, gram), MASKS)
     strings = answer(near.mapInArrow(_string_asks(n, shared, length, gram), ASKS), 8, smaller=True)
-    marks = masks.select("rk", "masks", F.lit(None).cast("binary").alias("hashes")).unionByName(
-        strings.select("rk", F.lit(None).cast("binary").alias("masks"), "hashes")).groupBy("rk").agg(
-        F.collect_list("masks").alias("masks"), F.collect_list("hashes").alias("found"))
-    whole = rows.join(marks, "rk", "left").select("doc", "text", "masks", "found")
+    none = F.lit(None).cast("binary")
+    marks = masks.select("rk", "masks", none.alias("hashes"), F.lit(False).alias("copy")).unionByName(
+        strings.select("rk", none.alias("masks"), "hashes", F.lit(False).alias("copy"))).unionByName(
+        copies.select("rk", none.alias("masks"), none.alias("hashes"), F.lit(True).alias("copy"))).groupBy("rk").agg(
+        F.collect_list("masks").alias("masks"), F.collect_list("hashes").alias("found"), F.max("copy").alias("copy"))
+    whole = rows.join(marks, "rk", "left").select("doc", "text", "masks", "found", "copy")
     kind = "binary" if texts else "string"
     return whole.mapInArrow(_cut(length, texts), f"doc long, n_bytes long, n_removed long, n_spans long, kept {kind}")
 
