@@ -24,12 +24,14 @@ from cohortlab.llm.common import NO_ID, shown_id
 from cohortlab.llm.graph import components
 from cohortlab.staging import stage
 
-THRESHOLD, MARGIN = 0.9, 0.6
+THRESHOLD, MARGIN = 0.9, 0.4
 # Bound of the sample that centroids are fitted on; every vector is indexed.
 SAMPLE_ROWS = 10_000
 SUBSPACES, CODES = 16, 256
 MAX_LISTS = 4_096
 BLOCK_ROWS, QUERY_ROWS = 2_048, 8_192
+# Queries looked up at a time.
+QUERY_STEP = 256
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -145,14 +147,14 @@ def _search(shared, threshold: float):
         if len(data) and len(query):
             cell = int(own[data[0]])
             codes = np.frombuffer(b"".join(table.column("code").filter(pa.array(~is_query)).to_pylist()), np.uint8).reshape(len(data), -1)
-            slack = threshold - 1e-6 - table.column("missed").to_numpy()[data]
-            step = max(1, 1_000_000 // len(data))
-            for a in range(0, len(query), step):
-                rows = query[a: a + step]
-                near = np.repeat((x[rows] @ index.coarse[cell])[:, None], len(data), 1)
+            # Single precision for the lookups, with room for its error; tables by code, so that a lookup is a row for all queries.
+            slack = (threshold - 1e-4 - table.column("missed").to_numpy()[data]).astype(np.float32)[:, None]
+            for a in range(0, len(query), QUERY_STEP):
+                rows = query[a: a + QUERY_STEP]
+                near = np.repeat((x[rows] @ index.coarse[cell]).astype(np.float32)[None], len(data), 0)
                 for m, (part, book) in enumerate(zip(index.parts, index.books)):
-                    near += (x[rows][:, part] @ book.T)[:, codes[:, m]]
-                i, j = np.nonzero(near >= slack[None])
+                    near += (book @ x[rows][:, part].T).astype(np.float32)[codes[:, m]]
+                j, i = np.nonzero(near >= slack)
                 i, j = rows[i], data[j]
                 fresh = (own[i] != cell) | (cls[i] < cls[j])
                 i, j = i[fresh], j[fresh]
@@ -174,24 +176,26 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, margin: float = MARG
           id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     spark = vectors.sparkSession
+    # Single-precision vectors travel as such; all arithmetic is in double precision.
+    kind = "float" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
     vec = F.col("vec")
     fine = vec.isNotNull() & (F.size(vec) > 0) & ~F.exists(
         vec, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(vec, lambda v: v != 0)
-    rows = vectors.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    rows = vectors.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.col(vec_col).cast(f"array<{kind}>").alias("vec"))
     rows = rows.select("id", "vec", F.coalesce(fine, F.lit(False)).alias("fine"))
     common = rows.where("fine").groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if common is None:
         return rows.select(shown_id(F.col("id")).alias("vec_id"), F.lit(0).cast("bigint").alias("n_links"),
                            shown_id(F.col("id")).alias("component_id"), F.lit(True).alias("kept"))
     # Adding zero makes -0.0 equal to 0.0.
-    rows = stage(rows.select("id", F.transform("vec", lambda v: v + F.lit(0.0)).alias("vec"), (F.col("fine") & (F.size("vec") == common.d)).alias("fine"))
+    rows = stage(rows.select("id", F.transform("vec", lambda v: v + F.lit(0).cast(kind)).alias("vec"), (F.col("fine") & (F.size("vec") == common.d)).alias("fine"))
                  .withColumn("cls", F.xxhash64("vec")))
     classes = stage(rows.where("fine").groupBy("cls").agg(F.count("*").alias("w"), F.min("id").alias("first"), F.any_value("vec").alias("vec")))
     size = classes.count()
     sample = classes.orderBy(F.xxhash64("cls"), "cls").limit(sample_rows).select("vec").toArrow()
     shared = spark.sparkContext.broadcast(Index(_unit(_vectors(sample.column("vec").combine_chunks())), size))
     placed = stage(classes.select("cls", "w", "vec").mapInArrow(
-        _placed(shared), "cls long, w long, vec array<double>, cell int, code binary, missed double"))
+        _placed(shared), f"cls long, w long, vec array<{kind}>, cell int, code binary, missed double"))
     reach = margin * float(np.sqrt(2 - 2 * threshold))
     asked = stage(placed.select("cls", F.col("cell").alias("own"), "vec").mapInArrow(_queries(shared, reach), "cls long, own int, cell int"))
     # Blocks of each list and of its queries; at most one row per list.
