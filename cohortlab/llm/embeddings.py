@@ -5,8 +5,8 @@ what the codes miss. A query looks up partial products in a table per subspace;
 candidates below the bound cannot reach the threshold, and the rest are ranked by exact cosine in double precision.
 
 Which lists to probe follows from the geometry: if y lies in list c and within distance d of x, then x (a - c) <= d |a - c| for x's own
-centroid a. `margin` scales d: 1 is a proof, less is enough for neighbours in no special direction (recall is measured in tests).
-Each pair of lists is probed from one side. Lists and their queries are split into blocks of bounded size, and blocks return counts
+centroid a. `margin` scales d: 1, the default, is a proof, so no link is lost; less skips lists and loses links whose difference lies
+along the line between centroids. Each pair of lists is probed from one side. Lists and their queries are split into blocks of bounded size, and blocks return counts
 and spanning links, not pairs.
 
 Defined cases: vectors that are NULL, zero, of another length than most, or hold NULL or non-finite components link with nothing and
@@ -24,7 +24,7 @@ from cohortlab.llm.common import NO_ID, shown_id
 from cohortlab.llm.graph import components
 from cohortlab.staging import stage
 
-THRESHOLD, MARGIN = 0.9, 0.4
+THRESHOLD, MARGIN = 0.9, 1.0
 # Bound of the sample that centroids are fitted on; every vector is indexed.
 SAMPLE_ROWS = 10_000
 SUBSPACES, CODES = 16, 256
@@ -196,7 +196,8 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, margin: float = MARG
     shared = spark.sparkContext.broadcast(Index(_unit(_vectors(sample.column("vec").combine_chunks())), size))
     placed = stage(classes.select("cls", "w", "vec").mapInArrow(
         _placed(shared), f"cls long, w long, vec array<{kind}>, cell int, code binary, missed double"))
-    reach = margin * float(np.sqrt(2 - 2 * threshold))
+    # A little more than the bound, for rounding.
+    reach = margin * float(np.sqrt(2 - 2 * threshold)) + 1e-9
     asked = stage(placed.select("cls", F.col("cell").alias("own"), "vec").mapInArrow(_queries(shared, reach), "cls long, own int, cell int"))
     # Blocks of each list and of its queries; at most one row per list.
     blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("kd")).join(

@@ -168,6 +168,21 @@ def test_embeddings_against_all_pairs(spark):
     assert found >= 0.9 * sum(n for _, n, _ in want)
 
 
+@pytest.mark.parametrize("width", [2, 3])
+def test_embeddings_across_list_borders(spark, width):
+    """Different vectors of low intrinsic dimension, where links cross borders of lists along the line between centroids."""
+    rng = np.random.default_rng(11)
+    x = np.zeros((700, 16))
+    x[:, :width] = rng.normal(size=(700, width))
+    x = x @ np.linalg.qr(rng.normal(size=(16, 16)))[0]
+    frame = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = unit @ unit.T
+    assert ((cosine >= 0.9) & (cosine < 0.93)).sum() > 5_000
+    got = {r.vec_id: r.n_links for r in embeddings.links(frame).collect()}
+    assert [got[i] for i in range(len(x))] == ((cosine >= 0.9).sum(1) - 1).tolist()
+
+
 def test_embeddings_blocks_of_any_size(spark, monkeypatch):
     rng = np.random.default_rng(6)
     x = np.repeat(rng.normal(size=(1, 8)), 120, 0) + rng.normal(size=(120, 8)) * 0.05
