@@ -1,15 +1,14 @@
 """LM scoring with a log-frequency Bloom filter.
 
-Counts of words and word pairs are summed over all training documents by hash buckets. Each bucket writes its counts into its own
-stretch of one filter: a count's logarithm says under how many levels the n-gram is entered. Scoring broadcasts the filter and probes
-level after level until one is absent; the last present level gives the quantised count. Pair and word counts are smoothed into one
-probability by a Dirichlet prior.
+Texts are dealt into blocks by a hash of the row. A block asks hash buckets about its different words and word pairs, with their counts
+in its training texts. A bucket sums the counts, enters each n-gram into its own stretch of the filter, under as many levels as the
+count's logarithm says, and probes the stretch for all that was asked: level after level until one is absent; the last present level
+gives the quantised count. Blocks meet their answers again and smooth pair and word counts into one probability by a Dirichlet prior.
 
-The filter's size follows the corpus up to `filter_bytes`, a bound on memory, not on what is entered: beyond it every n-gram is still
-entered, and false positives become more likely.
+A stretch has a fixed number of bits for each level entered, so the filter grows with the n-grams counted, false positives stay as rare
+at any size of corpus, and no filter is ever broadcast or gathered for scoring.
 
-The base score needs exact counts of every word. Words with a fixed share of all tokens are few by arithmetic and travel by broadcast;
-all others are asked for by document in hash buckets, which answer with sums of logarithms.
+The base score needs exact counts of every word; buckets send those along, with their totals.
 
 Defined cases: NULL, empty and wordless texts are one end token; a missing id is trained on and shown as NULL; repeated rows count as
 often as they occur and score alike; with nothing to train on every count is zero; an empty table gives an empty result; other
@@ -28,10 +27,8 @@ from cohortlab.llm.common import crc_mod, keyed, shown_id
 from cohortlab.llm.exchange import bucket_count, bucket_of, pack, unpack
 from cohortlab.llm.textscan import Block, blocks, mix
 
-FILTER_BYTES = 64_000_000
+# Bits for each n-gram and level entered.
 BITS_PER_NGRAM, HASHES, MAX_LEVEL = 8, 2, 40
-# Words with at least this share of a bucket's or the corpus's tokens are common; there are at most 1 / share of them.
-COMMON_SHARE = 1 / 20_000
 PRIOR = 100.0
 # Hashes that stand for the start and end of a text.
 START, END = mix(np.array([11, 13], np.uint64))
@@ -56,44 +53,58 @@ def pair(before: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(0x9E3779B97F4A7C15) + token) & np.uint64(2**64 - 256 ** (8 - PAIR_BYTES))
 
 
-def positions(h: np.ndarray, level: int, n_buckets: int, bits: int):
-    """Places of an n-gram's level in the filter, one array per hash function."""
-    base = bucket_of(h, n_buckets) * np.uint64(bits)
+def positions(h: np.ndarray, level: int, bits: int):
+    """Places of an n-gram's level in a stretch of the filter, one array per hash function."""
     for salt in _LEVELS[level]:
-        yield (base + (((mix(h ^ salt) >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32))).astype(np.int64)
+        yield (((mix(h ^ salt) >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)).astype(np.int64)
 
 
-@dataclass
-class Model:
-    bits: np.ndarray
-    n_buckets: int
-    stretch: int
-    n_tokens: int
-    n_types: int
-    n_texts: int
-    common: np.ndarray
-    common_n: np.ndarray
+class Stretch:
+    """One bucket's part of the filter, sized by what is entered."""
 
-    def count(self, h: np.ndarray) -> np.ndarray:
-        """Quantised counts by probing levels until one is absent: the middle of the last level present."""
-        level = np.zeros(len(h), np.int64)
+    def __init__(self, h: np.ndarray, n: np.ndarray):
+        level = np.floor(np.log2(np.maximum(n, 1))).astype(np.int64) + 1
+        self.bits = np.zeros(max(64, BITS_PER_NGRAM * int(level.sum())), bool)
+        for j in range(min(MAX_LEVEL, int(level.max(initial=0)))):
+            for p in positions(h[level > j], j, len(self.bits)):
+                self.bits[p] = True
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """Levels present, by probing until one is absent."""
+        level = np.zeros(len(h), np.uint8)
         active = np.arange(len(h))
         for j in range(MAX_LEVEL):
             there = np.ones(len(active), bool)
-            for p in positions(h[active], j, self.n_buckets, self.stretch):
-                there &= (self.bits[p >> 3] >> (p & 7)) & 1 == 1
+            for p in positions(h[active], j, len(self.bits)):
+                there &= self.bits[p]
             active = active[there]
             if not len(active):
                 break
             level[active] += 1
-        return np.where(level > 0, (2.0 ** (level - 1) + 2.0 ** level - 1) / 2, 0.0)
+        return level
+
+
+def quantised(level: np.ndarray) -> np.ndarray:
+    """The middle of the counts of a level."""
+    level = level.astype(np.float64)
+    return np.where(level > 0, (2.0 ** (level - 1) + 2.0 ** level - 1) / 2, 0.0)
+
+
+@dataclass
+class Model:
+    """The stretches of a corpus's filter by bucket, for looking into it; scoring never gathers them."""
 
-    def known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which tokens are common, and their exact counts."""
-        if not len(self.common):
-            return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.common, h), len(self.common) - 1)
-        return self.common[at] == h, self.common_n[at]
+    stretches: dict[int, Stretch]
+    n_buckets: int
+
+    def count(self, h: np.ndarray) -> np.ndarray:
+        """Quantised counts."""
+        bucket = bucket_of(h, self.n_buckets).astype(np.int64)
+        level = np.zeros(len(h), np.uint8)
+        for b in np.unique(bucket).tolist():
+            if b in self.stretches:
+                level[bucket == b] = self.stretches[b].levels(h[bucket == b])
+        return quantised(level)
 
 
 def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,167 +114,121 @@ def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[start], np.add.reduceat(n, start) if len(start) else n
 
 
-def _split(h: np.ndarray, n_buckets: int):
-    """(bucket, slice) of sorted hashes."""
-    bucket = bucket_of(h, n_buckets).astype(np.int64)
-    edges = np.flatnonzero(np.diff(bucket)) + 1
-    for a, b in zip([0, *edges], [*edges, len(h)]) if len(h) else ():
-        yield int(bucket[a]), slice(a, b)
-
-
-def _block_counts(n_buckets: int):
-    def run(batches):
-        for batch in blocks(batches):
-            batch = batch.filter(batch.column("train"))
-            if not batch.num_rows:
-                continue
-            token, before, _ = tokens(batch)
-            rows = []
-            for is_pair, h, width in ((False, token, 8), (True, pair(before, token), PAIR_BYTES)):
-                h, n = _summed(h, np.ones(len(h), np.uint32))
-                rows += [(b, is_pair, pack(h[s], width), n[s].astype("<u4").tobytes()) for b, s in _split(h, n_buckets)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary(), pa.binary()))],
-                                             names=["bucket", "pair", "hashes", "counts"])
-    return run
+ASKS = "bucket int, block int, words binary, word_n binary, pairs binary, pair_n binary"
+REPLIES = "block int, bucket int, types long, total long, word_n binary, word_levels binary, pair_levels binary"
 
 
-def _bucket_model(n_buckets: int, stretch: int):
-    """Totals, common words and the stretch of the filter of one bucket."""
-    def run(table: pa.Table) -> pa.Table:
-        bits = np.zeros((stretch + 7) // 8 * 8, bool)
-        is_pair = table.column("pair").to_numpy(zero_copy_only=False)
-        hashes, counts = table.column("hashes").to_pylist(), table.column("counts").to_pylist()
-        first = table.column("bucket")[0].as_py()
-        for kind, width in ((False, 8), (True, PAIR_BYTES)):
-            rows = np.flatnonzero(is_pair == kind)
-            h, n = _summed(unpack(b"".join(hashes[i] for i in rows), width),
-                           np.frombuffer(b"".join(counts[i] for i in rows), "<u4").astype(np.int64))
-            if not kind:
-                types, total = len(h), int(n.sum())
-                often = n >= COMMON_SHARE * total
-                common, common_n = h[often], n[often]
-            level = np.floor(np.log2(np.maximum(n, 1))).astype(np.int64) + 1
-            for j in range(min(MAX_LEVEL, int(level.max(initial=0)))):
-                for p in positions(h[level > j], j, n_buckets, stretch):
-                    bits[p - first * stretch] = True
-        return pa.table({
-            "bucket": pa.array([first], pa.int32()), "types": [types], "total": [total], "common": [common.astype("<u8").tobytes()],
-            "common_n": [common_n.astype("<i8").tobytes()], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-    return run
-
+def _block_tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`tokens` of a block, in pieces of bounded size."""
+    out, rows = [], 0
+    for batch in blocks(table.to_batches()):
+        token, before, doc = tokens(batch)
+        out.append((token, before, doc + rows))
+        rows += batch.num_rows
+    return tuple(np.concatenate(x) for x in zip(*out))
 
-def learn(rows: DataFrame, n_buckets: int, filter_bytes: int = FILTER_BYTES) -> Model:
-    """A model of the rows with `train`. The driver receives the filter and the common words, both bounded."""
-    spark = rows.sparkSession
-    size = rows.agg(F.sum(F.octet_length("text")), F.count_if("train")).first()
-    # At least five bytes a word, one word and one pair each: an upper estimate of n-grams.
-    stretch = int(max(64, min(filter_bytes * 8, BITS_PER_NGRAM * ((size[0] or 0) // 5 + 1000)) // n_buckets)) // 8 * 8
-    counted = rows.mapInArrow(_block_counts(n_buckets), "bucket int, pair boolean, hashes binary, counts binary").groupBy("bucket").applyInArrow(
-        _bucket_model(n_buckets, stretch), "bucket int, types long, total long, common binary, common_n binary, bits binary")
-    got = counted.toArrow().to_pydict()
-    bits = np.zeros(n_buckets * stretch // 8, np.uint8)
-    for b, x in zip(got["bucket"], got["bits"]):
-        bits[b * stretch // 8: (b + 1) * stretch // 8] = np.frombuffer(x, np.uint8)[: stretch // 8]
-    common = np.frombuffer(b"".join(got["common"]), "<u8")
-    common_n = np.frombuffer(b"".join(got["common_n"]), "<i8")
-    n_tokens = sum(got["total"])
-    often = common_n >= COMMON_SHARE * n_tokens
-    order = np.argsort(common[often])
-    return Model(bits, n_buckets, stretch, n_tokens, sum(got["types"]), size[1], common[often][order], common_n[often][order])
-
-
-def _base_asks(shared):
-    """Each document's uncommon words and how often it has them, by bucket."""
-    def run(batches):
-        model = shared.value
-        for batch in blocks(batches):
-            token, _, doc = tokens(batch)
-            rare = ~model.known(token)[0]
-            token, doc = token[rare], doc[rare]
-            order = np.argsort(token)
-            order = order[np.argsort(doc[order].astype(np.uint16) if batch.num_rows < 65536 else doc[order], kind="stable")]
-            token, doc = token[order], doc[order]
-            start = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])))) if len(token) else doc
-            n = np.diff(np.concatenate((start, [len(token)]))).astype("<u4")
-            token, doc = token[start], doc[start]
-            bucket = bucket_of(token, model.n_buckets).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            token, doc, n, bucket = token[order], doc[order], n[order], bucket[order]
-            rks, train = batch.column("rk").to_numpy(), batch.column("train").to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero(np.diff(bucket)) + 1
-            rows = []
-            for a, b in zip([0, *edges], [*edges, len(token)]) if len(token) else ():
-                who = doc[a:b]
-                first = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
-                one = who[first]
-                rows.append((int(bucket[a]), rks[one].tobytes(), train[one].tobytes(),
-                             np.diff(np.concatenate((first, [b - a]))).astype("<u4").tobytes(), token[a:b].tobytes(), n[a:b].tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 5))],
-                    names=["bucket", "rks", "train", "sizes", "hashes", "counts"])
-    return run
 
-
-def _base_sums(n_tokens: int, n_types: int):
+def _block_asks(n_buckets: int):
+    """A row for each bucket: the block's different n-grams in ascending order, and their counts in its training texts."""
     def run(table: pa.Table) -> pa.Table:
-        col = {k: b"".join(table.column(k).to_pylist()) for k in ("rks", "train", "sizes", "hashes", "counts")}
-        sizes = np.frombuffer(col["sizes"], "<u4").astype(np.int64)
-        rks = np.frombuffer(col["rks"], np.int64)
-        which = np.repeat(np.arange(len(sizes)), sizes)
-        train = np.frombuffer(col["train"], bool)[which]
-        h, n = np.frombuffer(col["hashes"], np.uint64), np.frombuffer(col["counts"], "<u4").astype(np.int64)
-        names, at = np.unique(h, return_inverse=True)
-        c = np.bincount(at, n * train, len(names))[at]
-        return pa.table({"rk": rks, "base": np.bincount(which, n * np.log10((c + 1) / (n_tokens + n_types + 1)), len(rks)),
-                         "known": np.bincount(which, n * (c > 0), len(rks)).astype(np.int64)})
+        token, before, doc = _block_tokens(table)
+        train = table.column("train").to_numpy()[doc].astype(np.int64)
+        cols = {"bucket": pa.array(np.arange(n_buckets, dtype=np.int32)),
+                "block": pa.array(np.full(n_buckets, table.column("block")[0].as_py(), np.int32))}
+        for name, h, width in (("word", token, 8), ("pair", pair(before, token), PAIR_BYTES)):
+            h, n = _summed(h, train)
+            edges = np.searchsorted(bucket_of(h, n_buckets).astype(np.int64), np.arange(n_buckets + 1))
+            cols[f"{name}s"] = pa.array([pack(h[a:b], width) for a, b in zip(edges, edges[1:])], pa.binary())
+            cols[f"{name}_n"] = pa.array([n[a:b].astype("<u4").tobytes() for a, b in zip(edges, edges[1:])], pa.binary())
+        return pa.table(cols)
     return run
 
 
-def _scores(shared, prior: float):
-    def run(batches):
-        model = shared.value
-        for batch in blocks(batches):
-            token, before, doc = tokens(batch)
-            rows = batch.num_rows
-            common, n = model.known(token)
-            base = np.where(common, np.log10((n + 1) / (model.n_tokens + model.n_types + 1)), 0.0)
-            types, at = np.unique(token, return_inverse=True)
-            count = model.count(types)
-            word = ((count + 1) / (model.n_tokens + model.n_types + 1))[at]
-            past = np.concatenate(([0.0], count[at][:-1]))
-            past[before == START] = model.n_texts
-            both = np.minimum(model.count(pair(before, token)), past)
-            p = (both + prior * word) / (past + prior)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("rk"), batch.column("held_out"), pa.array(np.bincount(doc, minlength=rows)),
-                 pa.array(np.bincount(doc, common, rows).astype(np.int64)), pa.array(np.bincount(doc, base, rows)),
-                 pa.array(np.bincount(doc, np.log10(p), rows))],
-                names=["doc", "rk", "held_out", "n_tokens", "common", "base", "score"])
+def _counted(table: pa.Table, name: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Different n-grams of a bucket, their training counts, the place of each one asked for, and where each row's end."""
+    asked = table.column(f"{name}s").to_pylist()
+    names, at = np.unique(unpack(b"".join(asked), width), return_inverse=True)
+    n = np.bincount(at, np.frombuffer(b"".join(table.column(f"{name}_n").to_pylist()), "<u4"), len(names)).astype(np.int64)
+    return names, n, at, np.cumsum([len(x) // width for x in asked])[:-1].tolist()
+
+
+def _bucket(table: pa.Table):
+    word, pairs = _counted(table, "word", 8), _counted(table, "pair", PAIR_BYTES)
+    seen = [(h[n > 0], n[n > 0]) for h, n, *_ in (word, pairs)]
+    return word, pairs, Stretch(*(np.concatenate(x) for x in zip(*seen)))
+
+
+def _bucket_replies(table: pa.Table) -> pa.Table:
+    """To each block, in the order asked: exact counts of words, levels of words and pairs, and the bucket's totals."""
+    (words, n, at, ends), (pairs, _, pair_at, pair_ends), stretch = _bucket(table)
+    rows = table.num_rows
+
+    def cut(x: np.ndarray, ends: list[int]) -> pa.Array:
+        return pa.array([part.tobytes() for part in np.split(x, ends)], pa.binary())
+
+    return pa.table({
+        "block": table.column("block"), "bucket": table.column("bucket"), "types": np.full(rows, (n > 0).sum()), "total": np.full(rows, n.sum()),
+        "word_n": cut(n.astype("<i8")[at], ends), "word_levels": cut(stretch.levels(words)[at], ends),
+        "pair_levels": cut(stretch.levels(pairs)[pair_at], pair_ends)})
+
+
+def _bucket_bits(table: pa.Table) -> pa.Table:
+    bits = _bucket(table)[2].bits
+    return pa.table({"bucket": table.column("bucket")[:1], "size": [len(bits)], "bits": [np.packbits(bits).tobytes()]})
+
+
+def _asked(rows: DataFrame, n_buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Texts with their blocks, and what the blocks ask."""
+    dealt = rows.select("doc", "text", "train", F.pmod(F.xxhash64("rk"), F.lit(n_buckets)).cast("int").alias("block"))
+    return dealt, dealt.groupBy("block").applyInArrow(_block_asks(n_buckets), ASKS)
+
+
+def learn(rows: DataFrame, n_buckets: int) -> Model:
+    """The filter of the rows with `train`, gathered."""
+    got = _asked(rows, n_buckets)[1].groupBy("bucket").applyInArrow(_bucket_bits, "bucket int, size long, bits binary").toArrow().to_pylist()
+    stretches = {}
+    for r in got:
+        stretches[r["bucket"]] = stretch = Stretch(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        stretch.bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["size"]).astype(bool)
+    return Model(stretches, n_buckets)
+
+
+def _block_scores(n_texts: int, prior: float):
+    def run(table: pa.Table, replies: pa.Table) -> pa.Table:
+        token, before, doc = _block_tokens(table)
+        rows = table.num_rows
+        replies = replies.sort_by("bucket")
+        # Buckets ascend with hashes, so their answers in order are those of the ascending different n-grams.
+        exact, level, pair_level = (np.frombuffer(b"".join(replies.column(k).to_pylist()), t)
+                                    for k, t in (("word_n", "<i8"), ("word_levels", np.uint8), ("pair_levels", np.uint8)))
+        n_tokens = sum(replies.column("total").to_pylist())
+        all_ = n_tokens + sum(replies.column("types").to_pylist()) + 1
+        at = np.unique(token, return_inverse=True)[1]
+        count, exact = quantised(level)[at], exact[at]
+        # A quantised count may exceed the count, but a probability is at most 1.
+        word = np.minimum((count + 1) / all_, 1.0)
+        past = np.concatenate(([0.0], count[:-1]))
+        past[before == START] = n_texts
+        both = np.minimum(quantised(pair_level)[np.unique(pair(before, token), return_inverse=True)[1]], past)
+        p = (both + prior * word) / (past + prior)
+        return pa.table({
+            "doc": table.column("doc"), "train": table.column("train"), "n_tokens": np.bincount(doc, minlength=rows),
+            "n_known": np.bincount(doc, exact > 0, rows).astype(np.int64), "train_tokens": np.full(rows, n_tokens),
+            "base_score": np.bincount(doc, np.log10((exact + 1) / all_), rows), "score": np.bincount(doc, np.log10(p), rows)})
     return run
 
 
-def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, prior: float = PRIOR, id_col: str = "doc_id", text_col: str = "text",
-          folds: int = 7, held_out: int = 2) -> DataFrame:
+def score(docs: DataFrame, prior: float = PRIOR, id_col: str = "doc_id", text_col: str = "text", folds: int = 7,
+          held_out: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     Trained on documents whose crc32 of the id, modulo `folds`, is not `held_out`.
     """
-    rows = keyed(docs, id_col, text_col).withColumn("held_out", crc_mod(shown_id(F.col("doc")), folds) == held_out).withColumn(
-        "train", ~F.col("held_out"))
-    n = bucket_count(docs, text_col)
-    model = learn(rows, n, filter_bytes)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rare = rows.mapInArrow(_base_asks(shared), "bucket int, rks binary, train binary, sizes binary, hashes binary, counts binary").groupBy(
-        "bucket").applyInArrow(_base_sums(model.n_tokens, model.n_types), "rk long, base double, known long").groupBy("rk").agg(
-        F.sum("base").alias("rare_base"), F.sum("known").alias("rare_known"))
-    scored = rows.mapInArrow(_scores(shared, prior), "doc long, rk long, held_out boolean, n_tokens long, common long, base double, score double")
-    # Rows equal in id and text asked together; each has its share of the answer.
-    again = scored.groupBy("rk").agg(F.count("*").alias("times"), F.any_value(F.struct("doc", "held_out", "n_tokens", "common", "base", "score")).alias("x"))
-    out = again.join(rare, "rk", "left").select("times", "x.*", "rare_base", "rare_known").withColumn(
-        "_", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return out.select(
-        shown_id(F.col("doc")).alias("doc_id"), "held_out", "n_tokens",
-        (F.col("common") + F.coalesce(F.col("rare_known") / F.col("times"), F.lit(0))).cast("bigint").alias("n_known"),
-        F.lit(model.n_tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce(F.col("rare_base") / F.col("times"), F.lit(0.0))).alias("base_score"), "score")
+    rows = keyed(docs, id_col, text_col).withColumn("train", crc_mod(shown_id(F.col("doc")), folds) != held_out)
+    dealt, asked = _asked(rows, bucket_count(docs, text_col))
+    replies = asked.groupBy("bucket").applyInArrow(_bucket_replies, REPLIES)
+    scored = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
+        _block_scores(rows.where("train").count(), prior),
+        "doc long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored.select(shown_id(F.col("doc")).alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")

@@ -126,6 +126,24 @@ def test_filter_counts_are_quantised_and_rarely_wrong(docs, texts):
     assert (model.count(strange) > 0).mean() < 0.1
 
 
+def test_filter_grows_with_the_ngrams_counted(spark):
+    """Different pairs by the hundred thousand, one in three bytes: unseen pairs stay as rare as in a small corpus."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from cohortlab.llm.common import keyed
+
+    rng = np.random.default_rng(4)
+    signs = [a + b for a in "abcdefghijklmnopqrstuvwxyz0123456789" for b in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    rates = []
+    for n in (20, 400):
+        frame = spark.createDataFrame([(i, " ".join(signs[j] for j in rng.integers(0, len(signs), 1_000))) for i in range(n)], "doc_id long, text string")
+        model = lm_scores.learn(keyed(frame, "doc_id", "text").withColumn("train", F.lit(True)), 64)
+        strange = lm_scores.mix(rng.integers(0, 2**63, 20_000).astype(np.uint64))
+        rates.append((model.count(strange) > 0).mean())
+    assert max(rates) < 0.06
+
+
 def test_pipeline_stages(spark, tmp_path):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
