@@ -1,7 +1,8 @@
 """Which items of a document also occur in another: hashes exchanged in compact rows.
 
 A block of documents asks once per different hash and bucket; a bucket answers with the hashes that were found elsewhere. However
-common an item is, a block names it once, so a bucket receives at most one entry for it from each block.
+common an item is, a block names it once, so a bucket receives at most one entry for it from each block. Where smaller ids count, so
+does each different row of the block that shares the smallest id (as rows without an id do).
 """
 
 from __future__ import annotations
@@ -69,6 +70,12 @@ def asks(n_buckets: int, docs: np.ndarray, rks: np.ndarray, item_doc: np.ndarray
     n = len(rk)
     rows = {"bucket": (rk % n_buckets).tolist(), "tell": [True] * n, "rks": [r.tobytes() for r in rk], "docs": [b""] * n,
             "counts": [b""] * n, "hashes": hashes.to_pylist()}
+    if smaller and (~told).sum() > lead.sum():
+        # Rows with the lead's own id are not told, so each different one asks.
+        h, item_doc = h[~told], item_doc[~told]
+        order = np.lexsort((rks[item_doc], h))
+        h, item_doc = h[order], item_doc[order]
+        lead = np.concatenate(([True], (h[1:] != h[:-1]) | (rks[item_doc[1:]] != rks[item_doc[:-1]])))
     h, item_doc = h[lead], item_doc[lead]
     bucket = bucket_of(h, n_buckets).astype(np.int64)
     order = np.lexsort((item_doc, bucket))

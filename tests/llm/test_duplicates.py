@@ -134,6 +134,16 @@ def test_asks_and_answers_agree_with_counts():
     assert exchange.unpack(exchange.pack(h, 6), 6).tolist() == h.tolist()
 
 
+def test_rows_of_one_id_in_a_block_all_ask(spark):
+    """Two texts without an id in one block, a third copy of one of them, and the smaller document in another block."""
+    h = np.full(3, 5, np.uint64) << np.uint64(40)
+    blocks = [exchange.asks(4, np.array([LAST] * 3), np.array([10, 20, 20]), np.arange(3), h, 8, smaller=True),
+              exchange.asks(4, np.array([5]), np.array([30]), np.arange(1), h[:1], 8, smaller=True)]
+    rows = spark.createDataFrame([tuple(r.values()) for b in blocks for r in b.to_pylist()], exchange.ASKS)
+    got = {r.rk: r.hashes for r in exchange.answer(rows, 8, smaller=True).collect()}
+    assert {k: np.frombuffer(v, "<u8").tolist() for k, v in got.items()} == {10: [5 << 40], 20: [5 << 40]}
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (250, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2000 + i) for i in range(1, 50)]
