@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortlab.llm import embeddings, lm_scores, mixing, near_duplicates, pieces, quality, secrets, substrings, suffixes, toxicity
+from cohortlab.llm import embeddings, lm_scores, mixing, near_duplicates, phrases, pieces, quality, secrets, substrings, suffixes, toxicity
 from cohortlab.llm.common import table
 from cohortlab.llm.oracles import SQL as ORACLES
 
@@ -65,3 +65,8 @@ def op9_lm_scores(spark, folder):
 @query
 def op10_suffix_dedup(spark, folder):
     return suffixes.report(table(spark, folder, "documents"))
+
+
+@query
+def op13_collocations(spark, folder):
+    return phrases.mine(table(spark, folder, "documents"))

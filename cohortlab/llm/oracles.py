@@ -45,4 +45,25 @@ nodes AS (SELECT id FROM v),
 {_LEAST}
 SELECT v.id AS vec_id, (SELECT count(*) FROM links l WHERE l.a = v.id)::BIGINT AS n_links, p.root AS component_id, p.root = v.id AS kept
 FROM v JOIN parts p ON p.node = v.id""",
+    "op13_collocations": r"""WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS t FROM d),
+w AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+      FROM w, range(1, 5) r(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND f >= 30),
+cuts AS (SELECT lang, k, phrase, a, w, j, array_to_string(w[1:j], ' ') AS p, array_to_string(w[j + 1:], ' ') AS q
+         FROM c, range(1, 4) t(j) WHERE j < k),
+s AS (SELECT t.lang, t.phrase, t.a, t.j, x.f AS l, y.f AS r, (2000000::HUGEINT * t.a // (x.f + y.f))::BIGINT AS score
+      FROM cuts t JOIN f x ON x.lang = t.lang AND x.phrase = t.p JOIN f y ON y.lang = t.lang AND y.phrase = t.q),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (SELECT lang, array_to_string(w[i:i + z - 1], ' ') AS phrase, max(a) AS longer
+           FROM c, range(2, 4) u(z), range(1, 4) v(i) WHERE z < k AND i + z - 1 <= k GROUP BY ALL),
+left_ AS (SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase
+          WHERE i.longer IS NULL OR 100::HUGEINT * i.longer < 80::HUGEINT * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_)
+SELECT k.lang, k.rank, k.phrase, k.a, k.l, k.r, n.n, k.score FROM ranked k JOIN n ON n.lang = k.lang WHERE k.rank <= 2000""",
 }
