@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from cohortlab.llm import embeddings, lm_scores, mixing, near_duplicates, phrases, pieces, quality, secrets, substrings, suffixes, toxicity
+from cohortlab.llm import (
+    embeddings, lm_scores, mixing, near_duplicates, phrases, pieces, quality, secrets, substrings, suffixes, token_shards, toxicity,
+)
 from cohortlab.llm.common import table
 from cohortlab.llm.oracles import SQL as ORACLES
 
@@ -70,3 +72,8 @@ def op10_suffix_dedup(spark, folder):
 @query
 def op13_collocations(spark, folder):
     return phrases.mine(table(spark, folder, "documents"))
+
+
+@query
+def op12_token_shards(spark, folder):
+    return token_shards.checksums(token_shards.write_shards(table(spark, folder, "documents")))
