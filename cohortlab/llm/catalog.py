@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from cohortlab.llm import (
-    embeddings, lm_scores, mixing, near_duplicates, phrases, pieces, quality, secrets, substrings, suffixes, token_shards, toxicity,
+    embeddings, lm_scores, mixing, near_duplicates, phrases, pieces, prefix_tries, quality, secrets, substrings, suffixes, token_shards,
+    toxicity,
 )
 from cohortlab.llm.common import table
 from cohortlab.llm.oracles import SQL as ORACLES
@@ -77,3 +78,8 @@ def op13_collocations(spark, folder):
 @query
 def op12_token_shards(spark, folder):
     return token_shards.checksums(token_shards.write_shards(table(spark, folder, "documents")))
+
+
+@query
+def op11_prefix_trie(spark, folder):
+    return prefix_tries.report(table(spark, folder, "conversations"))
