@@ -27,6 +27,14 @@ def q_split_roundtrip(t: Tables) -> DataFrame:
     return id_lists.read_splits(t.spark, path)
 
 
+@query(f"WITH {SPLITS} SELECT split, id::VARCHAR AS id FROM splits")
+def q_split_files_roundtrip(t: Tables) -> DataFrame:
+    """One file of its own name per split."""
+    path = new_folder(t.spark, "splits")
+    id_lists.write_split_files(splits_of(t), path)
+    return id_lists.read_split_files(t.spark, path)
+
+
 @query(f"""WITH {SPLITS}
 SELECT split, 'part' AS id, sum(length(id::VARCHAR) + 1)::BIGINT AS length FROM splits GROUP BY split""")
 def q_file_inventory(t: Tables) -> DataFrame:
@@ -85,10 +93,9 @@ def q_results_entries(t: Tables) -> DataFrame:
 @query(f"""WITH {_SCORED}
 SELECT finding, vec_id::VARCHAR AS study_id, y_true::BIGINT AS y_true, round(y_score, 6) AS y_score FROM scored""")
 def q_results_document(t: Tables) -> DataFrame:
-    """The single-document form, which raises beyond its bound."""
-    path = new_folder(t.spark, "results")
-    scored = stage(scored_of(t))
-    results.write_document(scored, path, "vec_id", max_rows=10_000_000)
+    """One JSON document, written and read by many tasks."""
+    path = new_folder(t.spark, "results") + "/results.json"
+    results.write_document(scored_of(t), path, "vec_id")
     return results.read_results(t.spark, path, one_document=True)
 
 

@@ -13,7 +13,7 @@ from cohortlab.operators.checks import verify_splits
 from cohortlab.operators.cohort import lookup, official_split, with_class
 from cohortlab.operators.profile import split_crosstab
 from cohortlab.operators.sampling import matched_negatives, ratio_subsamples
-from cohortlab.sources.id_lists import write_splits
+from cohortlab.sources.id_lists import write_split_files, write_splits
 from cohortlab.staging import stage
 
 
@@ -46,6 +46,7 @@ def build_splits(
     strict: bool = True,
     staged: bool = True,
     output: str | None = None,
+    flat: bool = False,
 ) -> DataFrame:
     """(split, id): `{split}_pos` with all positives and `{split}_neg` with
     negatives matched to them; never across splits.
@@ -54,13 +55,16 @@ def build_splits(
     they are left out and short, and `split_shortfalls` lists what is missing.
 
     The classified narrow table is read by several passes of the draw;
-    `staged` writes it once instead of deriving it each time.
+    `staged` writes it once instead of deriving it each time. `output` gets a
+    folder per split, or with `flat` one file `{split}.txt` per split.
     """
     classified = classify(df, columns, ranges, strict)
     if staged:
         classified = stage(classified)
     splits = matched_negatives(classified, negatives, "split", "label", columns.stratum, columns.id, seed, strict)
-    if output:
+    if output and flat:
+        write_split_files(splits, output, [f"{s}_{label}" for s in negatives for label in ("pos", "neg")])
+    elif output:
         write_splits(splits, output)
     return splits
 
@@ -81,6 +85,7 @@ def build_train_subsamples(
     train: str = "train",
     strict: bool = True,
     output: str | None = None,
+    flat: bool = False,
 ) -> DataFrame:
     """(split, id): one subsample of the train pool per (size, seed), each with
     the pool's pos:neg ratio and each class's own mix of strata.
@@ -89,7 +94,8 @@ def build_train_subsamples(
     ratio, as they are in the lists, and are never drawn.
 
     Names: `{train}_sample_{size}` for a size drawn once, with `_seed{seed}`
-    added for a size drawn with several seeds.
+    added for a size drawn with several seeds. `output` and `flat` are those
+    of `build_splits`.
     """
     sizes = [size for size, _ in subsamples]
     specs = [
@@ -102,7 +108,9 @@ def build_train_subsamples(
     known = lookup(listed, df.select(col(columns.id), col(columns.stratum)), columns.id, strict)
     pool = stage(known.select(columns.id, "label", col(columns.stratum)))
     drawn = ratio_subsamples(pool, specs, "label", columns.stratum, columns.id, strict)
-    if output:
+    if output and flat:
+        write_split_files(drawn, output, [f"{name}_{label}" for name, _, _ in specs for label in ("pos", "neg")])
+    elif output:
         write_splits(drawn, output)
     return drawn
 
