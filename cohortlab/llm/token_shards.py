@@ -9,8 +9,10 @@ shard. Ids, ends of documents and the table of tokens lie in the same file.
 Tasks write files under names of their own and hand over a row for each; rows are staged, so what a lost or repeated task leaves
 behind is never read. Where a shard starts among all tokens follows from sums per range, not from one ordered pass.
 
-White space is dropped by the tokenizer at hand, so words between ASCII white space are encoded once and cached; whether that holds is
-tried on odd texts before, and each task compares its first text. Tokenizers for which it does not hold get whole texts.
+The tokenizer at hand drops white space and case and never joins letters to stops and commas, so words between ASCII white space, cut
+there and in lower case, are encoded once and cached, those of ASCII letters by the model alone, as the steps before it leave them as
+they are. Whether that holds is tried on odd texts before, and each task compares its first text. Tokenizers for which it does not hold
+get whole texts.
 
 Defined cases: NULL and empty texts have the end id alone; a missing id comes last and stays missing; rows of equal ids follow by a
 hash of their text; an empty table has no shard; other columns are ignored.
@@ -25,13 +27,14 @@ import uuid
 import zlib
 from collections import OrderedDict
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortlab.llm.common import NO_ID, keyed
-from cohortlab.llm.textscan import IS_WORD, Block, blocks
+from cohortlab.llm.textscan import Block, blocks
 from cohortlab.staging import new_folder, stage
 
 MODEL = "/opt/tokenizers/word_bpe_49k.json"
@@ -41,12 +44,19 @@ SHARD_TOKENS = 2_000_000
 RANGE_BYTES = 32_000_000
 LEAST_RANGES = 8
 BLOCK_BITS = 2**16
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 600_000
 # Parts of a number of ranges that one window adds up.
 RANGES_TOGETHER = 1_000
 MAGIC = b"WVM1"
-ODD_TEXTS = ["", " \t\n", "Plain words, twice  over.", "it's we've I'LL'd", "Éá ́x 가 ﬁ İ", "a b c\x85d\x1ce\x00f",
+ODD_TEXTS = ["", " \t\n", "Plain words, twice  over. a.b,c;D:e!f?G...h 1.5,x", "end.'s ,'t x.\u0301 a\u0301.B \u212a.K", "it's we've I'LL'd", "Éá ́x 가 ﬁ İ", "a b c\x85d\x1ce\x00f",
              "日本語 12345 ½ <|endoftext|> <|endoftext|>x", "\U0001F600‍\U0001F600 ΑΣ ΑΣ. ς"]
+# Kinds of bytes: white space, what parts of words may be cut between (letters, digits; stops and commas), and others.
+_KIND = np.ones(256, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 2
+_KIND[list(b".,;:!?")] = 3
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long"
 
 
@@ -55,12 +65,13 @@ def build(ids: np.ndarray, ends: np.ndarray, docs: np.ndarray, block_bits: int =
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=3).compress
-    tokens, code = np.unique(ids, return_inverse=True) if len(ids) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-    order = np.argsort(-np.bincount(code, minlength=len(tokens)), kind="stable")
-    rank = np.empty(len(order), np.uint32)
-    rank[order] = np.arange(len(order))
+    often = np.bincount(ids)
+    tokens = np.flatnonzero(often)
+    tokens = tokens[np.argsort(-often[tokens], kind="stable")]
     levels = max(1, int(len(tokens) - 1).bit_length()) if len(tokens) else 0
-    now = rank[code].astype(np.uint16 if levels <= 16 else np.uint32)
+    rank = np.zeros(len(often), np.uint16 if levels <= 16 else np.uint32)
+    rank[tokens] = np.arange(len(tokens))
+    now = rank[ids]
     body, head = [], {"n_tokens": len(ids), "n_docs": len(docs), "block_bits": block_bits, "planes": []}
     at = 0
 
@@ -79,7 +90,7 @@ def build(ids: np.ndarray, ends: np.ndarray, docs: np.ndarray, block_bits: int =
         spots = [put(bits[s // 8: (s + block_bits) // 8].tobytes()) for s in starts]
         head["planes"].append({"zeros": int(len(one) - ones[-1]), "ones": [0, *ones.tolist()], "blocks": spots})
         now = np.concatenate((now[~one], now[one]))
-    head["tokens"] = put(tokens[order].astype("<u4").tobytes())
+    head["tokens"] = put(tokens.astype("<u4").tobytes())
     head["ends"] = put(ends.astype("<i8").tobytes())
     head["docs"] = put(docs.astype("<i8").tobytes())
     top = pack(json.dumps(head).encode())
@@ -217,20 +228,33 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.core = Tokenizer.from_buffer(data)
-        self.end = end_id
+        self.model, self.end = self.core.model, end_id
         self.by_word = True
         self._forget()
         self.by_word = self.agrees(ODD_TEXTS)
 
     def _forget(self):
-        self.known: dict[str, int] = {}
-        self.starts = self.lengths = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
-
-    def _flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.core.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        return lengths, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
+        """Only the end is known, as a word of its own."""
+        self.known: dict[str, int] = {"": 0}
+        self.starts, self.lengths = np.zeros(1, np.int32), np.ones(1, np.int32)
+        self.pool = np.array([self.end], np.uint32)
+
+    def _flat(self, texts: list[str], words: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text, and all ids; of `words`, those of small ASCII letters go to the model."""
+        ids: list = [None] * len(texts)
+        other = range(len(texts))
+        if words:
+            tokenize = self.model.tokenize
+            other = []
+            for i, w in enumerate(texts):
+                if w.isalpha() and w.isascii() and w.islower():
+                    ids[i] = [t.id for t in tokenize(w)]
+                else:
+                    other.append(i)
+        for i, e in zip(other, self.core.encode_batch_fast([texts[i] for i in other], add_special_tokens=False)):
+            ids[i] = e.ids
+        lengths = np.fromiter(map(len, ids), np.int32, len(ids))
+        return lengths, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
 
     def agrees(self, texts: list[str]) -> bool:
         """Do words one by one give the ids of the whole texts?"""
@@ -241,23 +265,32 @@ class Encoder:
         """Number of ids of each text, and all ids in a row."""
         if not self.by_word:
             counts, flat = self._flat([t or "" for t in texts.to_pylist()])
-        else:
-            block = Block(texts)
-            inside = IS_WORD[block.bytes]
-            edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
-            start, stop = edge[::2], edge[1::2]
-            offsets = np.concatenate(([0], np.cumsum(stop - start))).astype(np.int32)
-            words = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(block.bytes[inside])]).dictionary_encode()
-            at = self._numbers(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)]
-            n = self.lengths[at]
-            stops = np.cumsum(n)
-            flat = self.pool[np.repeat(self.starts[at] - (stops - n), n) + np.arange(stops[-1] if len(stops) else 0)]
-            reach = np.concatenate(([0], stops))[np.searchsorted(start, np.concatenate((block.begins, [len(block.bytes)])))]
-            counts = np.diff(reach)
+            return (counts + 1, np.insert(flat, np.cumsum(counts), np.uint32(self.end))) if end else (counts, flat)
+        block = Block(texts)
+        # Names of special tokens are matched as they are written.
+        low = block.bytes if b"<|" in block.raw else _LOWER[block.bytes]
+        kind = _KIND[low]
+        before = np.concatenate((np.zeros(1, np.uint8), kind[:-1]))
+        cut = (kind != before) & ((kind == 0) | (before == 0) | (kind + before == 5))
+        edge = np.flatnonzero(cut)
+        start = edge[kind[edge] > 0]
+        ends = np.append(edge, len(low))
+        stop = ends[np.flatnonzero(kind[edge] > 0) + 1]
+        offsets = np.concatenate(([0], np.cumsum(stop - start))).astype(np.int32)
+        words = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(low[kind > 0])]).dictionary_encode()
+        at = self._numbers(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)]
+        held = np.searchsorted(start, np.append(block.begins, len(low)))
         if end:
-            flat = np.insert(flat, np.cumsum(counts), np.uint32(self.end))
-            counts = counts + 1
-        return counts, flat
+            with_end = np.zeros(len(at) + len(texts), np.int32)  # zeros stand for the end
+            inside = np.ones(len(with_end), bool)
+            inside[held[1:] + np.arange(len(texts))] = False
+            with_end[inside] = at
+            at, held = with_end, held + np.arange(len(held))
+        n = self.lengths[at]
+        stops = np.cumsum(n)
+        place = np.repeat((self.starts[at] - (stops - n)).astype(np.int32), n)
+        place += np.arange(len(place), dtype=np.int32)
+        return np.diff(np.concatenate(([0], stops))[held]), self.pool[place]
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         """Where the words' ids are in the pool; unknown words are encoded in one batch."""
@@ -266,12 +299,12 @@ class Encoder:
         known = self.known
         new = [w for w in words if w not in known]
         if new:
-            lengths, flat = self._flat(new)
+            lengths, flat = self._flat(new, words=True)
             known.update(zip(new, range(len(known), len(known) + len(new))))
-            self.starts = np.concatenate((self.starts, len(self.pool) + np.cumsum(lengths) - lengths))
+            self.starts = np.concatenate((self.starts, (len(self.pool) + np.cumsum(lengths) - lengths).astype(np.int32)))
             self.lengths = np.concatenate((self.lengths, lengths))
             self.pool = np.concatenate((self.pool, flat))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
 
 
 @lru_cache(maxsize=1)
