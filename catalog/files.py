@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from catalog.registry import SCANS, Tables, query
 from catalog.sampling import SPLITS, splits_of
@@ -36,14 +36,15 @@ def q_split_files_roundtrip(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {SPLITS}
-SELECT split, 'part' AS id, sum(length(id::VARCHAR) + 1)::BIGINT AS length FROM splits GROUP BY split""")
+SELECT split, split AS id, sum(length(id::VARCHAR) + 1)::BIGINT AS length FROM splits GROUP BY split""")
 def q_file_inventory(t: Tables) -> DataFrame:
-    """Files of a written collection: the start of their ids, and their bytes, by split."""
+    """Files of a collection written with one folder for each kind of split: ids and bytes."""
     path = new_folder(t.spark, "splits")
-    id_lists.write_splits(splits_of(t), path)
-    files = volumes.file_inventory(t.spark, path, ".txt", recursive=True).filter("length > 0")
-    split = F.regexp_extract("path", "/split=([^/]+)/", 1).alias("split")
-    return files.groupBy(split, F.substring("id", 1, 4).alias("id")).agg(F.sum("length").alias("length"))
+    splits = stage(splits_of(t))
+    for kind in ("train", "test"):
+        id_lists.write_split_files(splits.where(F.startswith("split", F.lit(kind))), f"{path}/{kind}")
+    files = volumes.file_inventory(t.spark, path, ".txt", recursive=True)
+    return files.select(F.regexp_extract("path", r"/([^/]+)\.txt$", 1).alias("split"), "id", "length")
 
 
 @query(f"""WITH {SCANS}
@@ -99,17 +100,18 @@ def q_results_document(t: Tables) -> DataFrame:
     return results.read_results(t.spark, path, one_document=True)
 
 
-@query("SELECT lang AS id, 'lang=' || lang || '.txt' AS name, row_number() OVER (ORDER BY lang) AS place FROM documents GROUP BY lang")
+@query("""
+SELECT id, row_number() OVER (ORDER BY id) AS place FROM (SELECT DISTINCT 'lang=' || lang || '/shelf=' || doc_id % 25 AS id FROM documents)""")
 def q_sorted_paths(t: Tables) -> DataFrame:
-    """One file per language, in path order."""
+    """Many folders in path order, each counted once."""
     path = new_folder(t.spark, "paths")
-    t.documents.select("lang", "doc_id").repartition("lang").selectExpr("cast(doc_id AS string) AS value", "lang") \
-        .write.partitionBy("lang").text(path)
+    shelf = (F.col("doc_id") % 25).alias("shelf")
+    t.documents.select("lang", shelf, F.col("doc_id").cast("string").alias("value")).repartition("lang", "shelf") \
+        .write.partitionBy("lang", "shelf").text(path)
     files = volumes.file_inventory(t.spark, path, ".txt", recursive=True)
-    lang = F.regexp_extract("path", "/lang=([^/]+)/", 1)
-    ordered = volumes.sorted_paths(files.select(lang.alias("id"), "path").dropDuplicates(["id"]))
-    numbered = ordered.withColumn("place", F.row_number().over(Window.orderBy("path")).cast("bigint"))
-    return numbered.select("id", F.concat(F.lit("lang="), "id", F.lit(".txt")).alias("name"), "place")
+    folder = F.regexp_extract("path", r"(lang=[^/]+/shelf=[^/]+)/[^/]+$", 1)
+    folders = volumes.numbered_paths(files.select(folder.alias("path")).distinct())
+    return folders.select(F.col("path").alias("id"), "place")
 
 
 @query(f"""WITH {SCANS} SELECT 'quality' AS "column", count(quality) AS n FROM scans UNION ALL SELECT 'toxic', count(toxic) FROM scans""")

@@ -10,6 +10,7 @@ from cohortlab.functions.missing import normalise_missing
 from cohortlab.functions.numeric import to_number
 from cohortlab.functions.predicates import col
 from cohortlab.functions.text import id_number, strip
+from cohortlab.sources.quoted_csv import read_quoted
 
 
 def read_metadata(
@@ -23,11 +24,14 @@ def read_metadata(
     exploring: a column is a whole number or a number if all its values that
     are not missing are. A value that does not fit its type becomes missing.
     With `id_col`, `id_num` is the first run of digits of that column. Files
-    are split over many tasks; where quoted notes hold line breaks ask for
-    `multi_line`, which reads a file in one task.
+    are split over many tasks, also with `multi_line`, for quoted notes that
+    hold line breaks (a quote in a quoted field is doubled).
     """
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
-    raw = normalise_missing(reader.csv(path))
+    table = reader.csv(path)
+    if multi_line and table.columns:
+        table = read_quoted(spark, path, table.columns, {"escape": '"'})
+    raw = normalise_missing(table)
     types = {**(inferred_types(raw) if infer else {}), **(types or {})}
 
     def typed(name: str) -> Column:

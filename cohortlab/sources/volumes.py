@@ -2,19 +2,67 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlab.functions.predicates import col
+from cohortlab.operators.running import numbered
+from cohortlab.sources.placed import store_of
+from cohortlab.staging import stage
 
 SUFFIX = ".nii.gz"
 
 
+# Folders that one task lists.
+FOLDERS_TOGETHER = 50
+
+
 def file_inventory(spark: SparkSession, folder: str, suffix: str = SUFFIX, recursive: bool = False) -> DataFrame:
-    """(id, path, length) of the files in a folder, without reading them."""
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}")
-    files = reader.option("recursiveFileLookup", recursive).load(folder)
+    """(id, path, length) of the files in a folder, without reading them.
+
+    Folders are listed by tasks, level by level, so no list of files is made on the driver. Hidden files and folders are left out. Stores
+    that only Spark can open are listed by Spark, on the driver. A missing folder is an error.
+    """
+    from pyarrow import fs
+
+    try:
+        store, root = store_of(folder)
+        there = store.get_file_info(root).type
+    except (pa.ArrowException, OSError, ValueError, NotImplementedError):
+        reader = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}")
+        found = reader.option("recursiveFileLookup", recursive).load(folder).select("path", "length")
+    else:
+        if there != fs.FileType.Directory:
+            raise FileNotFoundError(f"no such folder: {folder}")
+        found = _listed(spark, folder, suffix, recursive)
     name = F.substring_index("path", "/", -1)
-    return files.select(name.substr(F.lit(1), F.length(name) - len(suffix)).alias("id"), "path", "length")
+    return found.select(name.substr(F.lit(1), F.length(name) - len(suffix)).alias("id"), "path", "length")
+
+
+def _listed(spark: SparkSession, folder: str, suffix: str, recursive: bool) -> DataFrame:
+    """(path, length) of the files below a folder, one staged table per level."""
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                store, name = store_of(path)
+                rows = [(x.base_name, x.size, x.type == fs.FileType.Directory) for x in store.get_file_info(fs.FileSelector(name))
+                        if x.base_name[0] not in "._" and (x.type == fs.FileType.Directory or x.base_name.endswith(suffix))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f"{path}/{n}" for n, _, _ in rows], pa.string()), pa.array([0 if d else size for _, size, d in rows], pa.int64()),
+                     pa.array([d for _, _, d in rows], pa.bool_())], names=["path", "length", "folder"])
+
+    level, count, files = spark.createDataFrame([(folder.rstrip("/"),)], "path string"), 1, []
+    while count:
+        tasks = -(-count // FOLDERS_TOGETHER)
+        listed = stage(level.repartition(tasks, "path").mapInArrow(run, "path string, length long, folder boolean"))
+        files.append(listed.where("NOT folder").select("path", "length"))
+        level = listed.where("folder").select("path")
+        count = level.count() if recursive else 0
+    return reduce(DataFrame.unionAll, files)
 
 
 def sorted_paths(inventory: DataFrame) -> DataFrame:
@@ -22,6 +70,11 @@ def sorted_paths(inventory: DataFrame) -> DataFrame:
     return inventory.orderBy("path")
 
 
+def numbered_paths(inventory: DataFrame) -> DataFrame:
+    """The inventory with the `place` of each path in path order, from 1, counted by ranges of paths."""
+    return numbered(inventory, ["path"], "place")
+
+
 def fetch_manifest(requested: DataFrame, existing: DataFrame, id_col: str, folder: str, suffix: str = SUFFIX) -> DataFrame:
     """(id, path, status): every requested id with its target path, `present`
     if it is already there and `fetch` if not. One row per request."""

@@ -148,3 +148,32 @@ def test_wide_values_are_not_broadcast(spark, monkeypatch):
     wide = spark.range(20).select("id", F.array_repeat(F.lit(1.5), 1_000).alias("v"))
     assert staging.small_table(wide)[1] is None
     assert staging.small_table(spark.range(20))[1].num_rows == 20
+
+
+def test_inventory_of_many_folders(spark, tmp_path, monkeypatch):
+    """Folders are listed level by level; hidden ones, other suffixes and empty folders do not appear."""
+    monkeypatch.setattr(volumes, "FOLDERS_TOGETHER", 2)
+    want = []
+    for folder in ("", "a", "a/b c", "a/b c/é", "z", "z/deep/er", "_hidden", "a/.hidden"):
+        os.makedirs(tmp_path / folder, exist_ok=True)
+        for name in ("one.nii.gz", "t%o.nii.gz", "no.txt", "_x.nii.gz", ".y.nii.gz"):
+            (tmp_path / folder / name).write_bytes(b"x" * (len(folder) + len(name)))
+            if "hidden" not in folder and name[0] not in "_.n":
+                want.append((name[:3], str(tmp_path / folder / name), len(folder) + len(name)))
+    os.makedirs(tmp_path / "empty")
+    got = volumes.file_inventory(spark, str(tmp_path), recursive=True)
+    assert sorted((r.id, r.path, r.length) for r in got.collect()) == sorted(want)
+    assert {r.path: r.place for r in volumes.numbered_paths(got).collect()} == {p: i for i, p in enumerate(sorted(p for _, p, _ in want), 1)}
+    assert volumes.file_inventory(spark, f"file://{tmp_path}").count() == 2
+    assert volumes.file_inventory(spark, str(tmp_path / "empty"), recursive=True).collect() == []
+    with pytest.raises(FileNotFoundError):
+        volumes.file_inventory(spark, str(tmp_path / "missing"))
+
+
+def test_manifest_against_a_folder(spark, tmp_path):
+    """What is there comes from the inventory of the folder itself."""
+    for name in ("b", "c"):
+        (tmp_path / f"{name}.nii.gz").write_bytes(b"1")
+    asked = spark.createDataFrame([("a",), ("b",)], "id string")
+    there = volumes.file_inventory(spark, str(tmp_path))
+    assert sorted((r.id, r.status) for r in volumes.fetch_manifest(asked, there, "id", str(tmp_path)).collect()) == [("a", "fetch"), ("b", "present")]
