@@ -59,6 +59,15 @@ def q_csv_roundtrip(t: Tables) -> DataFrame:
     return table.withColumn("doc_id", F.col("id_num"))
 
 
+@query(f"""WITH {SCANS}
+SELECT doc_id, lang, source, n_chars, quality::BIGINT AS quality, toxic::BIGINT AS toxic, n_chars / 4.0 AS size FROM scans""")
+def q_csv_inferred(t: Tables) -> DataFrame:
+    """A file of plain lines, read with inferred types; missing labels are written as NA."""
+    path = new_folder(t.spark, "csv")
+    t.scans("source", "n_chars").withColumn("size", F.col("n_chars") / 4).write.options(header=True, nullValue="NA").csv(path)
+    return metadata.read_metadata(t.spark, path, infer=True)
+
+
 @query(f"""WITH {_SCORED}
 SELECT finding, vec_id::VARCHAR AS study_id, y_true::BIGINT AS y_true, round(y_score, 6) AS y_score FROM scored""")
 def q_results_json_roundtrip(t: Tables) -> DataFrame:

@@ -58,6 +58,16 @@ def q_value_counts_pct(t: Tables) -> DataFrame:
     return profile.value_percentages(t.scans(), "quality")
 
 
+@query("""
+SELECT 'order' AS name, o_orderstatus AS value, count(*) AS n,
+       round_even(count(*) / (SELECT count(*) FROM orders) * 100, 2) AS pct FROM orders GROUP BY o_orderstatus""")
+def q_first_of_several_columns(t: Tables) -> DataFrame:
+    """Of several columns that fit a search, the first in table order."""
+    orders = t.orders.select("o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
+    resolution = ColumnIndex(orders.columns).resolve({"order": "order attenuation"}, "t", first=True)
+    return profile.value_percentages_of(orders, resolution.found)
+
+
 @query("""
 SELECT 'Status' AS name, o_orderstatus AS value, count(*) AS n,
        round_even(count(*) / (SELECT count(*) FROM orders) * 100, 2) AS pct FROM orders GROUP BY o_orderstatus

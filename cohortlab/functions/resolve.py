@@ -27,13 +27,17 @@ class ColumnIndex:
         folded = [t.casefold() for t in terms]
         return [name for key, name in self._folded if all(t in key for t in folded)]
 
-    def resolve(self, exact: dict[str, str], *terms: str) -> Resolution:
+    def resolve(self, exact: dict[str, str], *terms: str, first: bool = False) -> Resolution:
         """One column per label: the one named in `exact` where the table has it, else the only one that holds the label and `terms`.
 
-        Several candidates are reported as ambiguous rather than chosen from.
+        Several candidates are reported as ambiguous rather than chosen from; with `first` the first in table order is taken, and one
+        warning names the choices.
         """
         here = {label: name for label, name in exact.items() if name in self._exact}
         options = {label: self.matches(label, *terms) for label in exact if label not in here}
+        if first and (chosen := {label: names for label, names in options.items() if len(names) > 1}):
+            warnings.warn("; ".join(f"{label}: took {names[0]} of {', '.join(names)}" for label, names in chosen.items()), stacklevel=2)
+            options = {label: names[:1] for label, names in options.items()}
         return Resolution(
             found=here | {label: names[0] for label, names in options.items() if len(names) == 1},
             missing=[label for label, names in options.items() if not names],

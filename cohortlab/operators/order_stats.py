@@ -10,9 +10,8 @@ are exact for any edges.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
-from math import isfinite
 from operator import and_
 
 from pyspark.ml.feature import Bucketizer
@@ -25,7 +24,8 @@ ROWS_PER_BUCKET = 200_000
 MAX_BUCKETS = 100_000
 # Entries of value -> count maps that one task may hold: about 250 MB.
 MAP_ENTRIES = 4_000_000
-_LEAST_EXPONENT = 1_080
+# Size of a quantile sketch, and sketches that one task merges.
+SKETCH_LEAST, SKETCH_MOST, SKETCH_BRANCHES = 200, 65_535, 256
 # Groups whose maps an aggregation task holds at once before it sorts instead.
 OPEN_GROUPS = 128
 
@@ -37,6 +37,8 @@ class Probe:
 
     values: int
     few: bool
+    # Whether it pays to count equal values before they travel.
+    repeats: bool = field(default=True, compare=False)
 
 
 def probe(df: DataFrame, columns: list[str], by: list[str] | None = None, limit: int = MAP_ENTRIES) -> Probe:
@@ -48,21 +50,7 @@ def probe(df: DataFrame, columns: list[str], by: list[str] | None = None, limit:
     ).first()
     values = sum(row["values"])
     entries = min(values, sum(row["distinct"]) * min(row["groups"], OPEN_GROUPS))
-    return Probe(values, entries <= limit)
-
-
-def _code(x, bits: int):
-    """A whole number that rises with a finite double: sign, exponent and leading `bits` of the fraction."""
-    size = F.abs(x)
-    exponent = F.floor(F.log2(size))
-    fraction = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * 2**bits)
-    return F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * ((exponent + _LEAST_EXPONENT) * 2**bits + fraction)).cast("bigint")
-
-
-def _start(code: int, bits: int) -> float:
-    """A value at which the numbers of a code begin."""
-    exponent, fraction = divmod(abs(code), 2**bits)
-    return 0.0 if code == 0 else (1 if code > 0 else -1) * 2.0 ** (exponent - _LEAST_EXPONENT) * (1 + fraction / 2**bits)
+    return Probe(values, entries <= limit, 2 * sum(row["distinct"]) * row["groups"] < values)
 
 
 def value_edges(
@@ -70,29 +58,26 @@ def value_edges(
 ) -> list[float]:
     """Inner bucket edges; none if all rows fit into one bucket.
 
-    Rows are counted by the leading bits of their value, combined before they
-    meet; the bits are as many as the wanted buckets need, so the counts that
-    reach the driver are bounded. Edges are distinct, so one very frequent
-    value gets a bucket of its own at most; grouping by value collapses it
-    before any sort. The outer buckets hold infinities; NaN has a bucket above
-    them, as in Spark's own order.
+    Edges are quantiles of a sketch that is built where the rows lie and merged in a tree, so what meets in a task or reaches the driver
+    is a sketch and two edges per bucket, however the values are spread. The sketch's rank error is a fraction of a bucket up to about a
+    thousand buckets, and at most about 1 in 10,000 of the rows beyond. Edges are distinct, so one very frequent value gets a bucket
+    of its own at most; grouping by value collapses it before any sort. The outer buckets hold infinities; NaN has a bucket above them,
+    as in Spark's own order.
     """
     if rows is None:
         rows = df.filter(col(value).isNotNull()).count()
     buckets = min(-(-rows // rows_per_bucket), MAX_BUCKETS)
     if buckets <= 1:
         return []
-    bits = min(14, 4 + (buckets - 1).bit_length())
-    x = col(value).cast("double")
-    finite = df.select(x.alias("x")).filter(F.abs("x") < float("inf"))
-    counts = finite.groupBy(_code(F.col("x"), bits).alias("code")).agg(F.count("*").alias("n")).collect()
-    edges, held = [], 0
-    for code, n in sorted(map(tuple, counts)):
-        if held and held + n > rows_per_bucket:
-            edges.append(_start(code, bits))
-            held = 0
-        held += n
-    return sorted({e for e in edges if isfinite(e)})
+    finite = df.select(col(value).cast("double").alias("x")).filter(F.abs("x") < float("inf"))
+    k = min(SKETCH_MOST, max(SKETCH_LEAST, 16 * buckets))
+    branches = finite.groupBy((F.spark_partition_id() % SKETCH_BRANCHES).alias("b")).agg(F.kll_sketch_agg_double("x", k).alias("s"))
+    cuts = 2 * buckets
+    # One literal for all ranks: they must be known when the query is built.
+    ranks = F.split(F.lit(",".join(str(i / cuts) for i in range(1, cuts))), ",").cast("array<double>")
+    row = branches.agg(F.kll_merge_agg_double("s", k).alias("s")).where(F.kll_sketch_get_n_double("s") > 0) \
+        .select(F.kll_sketch_get_quantile_double("s", ranks).alias("edges")).first()
+    return sorted(set(row.edges)) if row else []
 
 
 def with_bucket(df: DataFrame, value: str, edges: list[float], name: str = "bucket") -> DataFrame:
@@ -127,8 +112,11 @@ def exact_quantiles(
     if found is None and not builtin:
         found = probe(df, measures, by)
     if builtin or (builtin is None and found.few):
-        # Equal values are counted where they lie, so what meets in one task is the checked number of distinct values.
-        counted = long.groupBy(*map(col, keys), "value").agg(F.count("*").alias("_n"))
+        # Values that repeat are counted where they lie, so what meets in one task is the checked number of distinct values.
+        if found is None or found.repeats:
+            counted = long.groupBy(*map(col, keys), "value").agg(F.count("*").alias("_n"))
+        else:
+            counted = long.withColumn("_n", F.lit(1))
         at_once = counted.groupBy(*map(col, keys)).agg(F.percentile("value", F.array(*map(F.lit, probs)), F.col("_n")).alias("values"))
         pairs = F.arrays_zip(F.array(*map(F.lit, probs)).alias("p"), F.col("values").alias("value"))
         return at_once.select(*map(col, keys), F.inline(pairs))

@@ -106,6 +106,16 @@ def test_resolve_columns():
     assert present == ["id"] and absent == ["gone"] and len(caught) == 1
 
 
+def test_first_of_several_columns_with_one_warning():
+    columns = ["id", "Largest LIVER lesion attenuation", "liver attenuation (old)", "kidney attenuation", "kidney attenuation 2"]
+    with warnings.catch_warnings(record=True) as caught:
+        warnings.simplefilter("always")
+        got = ColumnIndex(columns).resolve({"Liver": "no such", "Kidney": "-", "Pancreas": "nope"}, "attenuation", first=True)
+    assert got.found == {"Liver": "Largest LIVER lesion attenuation", "Kidney": "kidney attenuation"}
+    assert got.missing == ["Pancreas"] and not got.ambiguous
+    assert len(caught) == 1 and "Liver: took Largest LIVER lesion attenuation of" in str(caught[0].message)
+
+
 def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 2.0])], "a array<float>, b array<float>")
     values = [r[0] for r in df.select(vectors.cosine(F.col("a"), F.col("b"))).collect()]
