@@ -106,6 +106,23 @@ def q_stratified_sample(t: Tables) -> DataFrame:
     return sampling.draw(documents, allocation, ["lang"], "doc_id", seed=7)
 
 
+@query("""
+WITH cnt AS (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang),
+exact AS (SELECT lang, n / sum(n) OVER () * 150 AS e FROM cnt),
+alloc AS (
+  SELECT lang, floor(e) + CASE WHEN row_number() OVER (ORDER BY e - floor(e) DESC, lang)
+                                    <= 150 - sum(floor(e)) OVER () THEN 1 ELSE 0 END AS k FROM exact),
+ranked AS (
+  SELECT doc_id, lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || doc_id), doc_id) AS rn
+  FROM documents)
+SELECT doc_id, r.lang, n_chars FROM ranked r JOIN alloc a ON r.lang = a.lang WHERE rn <= k""")
+def q_stratified_sample_at_once(t: Tables) -> DataFrame:
+    """The same sample from one scan of the pool."""
+    documents = t.documents.select("doc_id", "lang", "n_chars")
+    allocation = sampling.largest_remainder_allocation(sampling.stratum_counts(documents, "lang"), 150, "lang")
+    return sampling.draw_at_once(documents, allocation, ["lang"], "doc_id", seed=7)
+
+
 @query("SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 20")
 def q_simple_sample(t: Tables) -> DataFrame:
     return sampling.simple_sample(t.documents.select("doc_id"), 20, "doc_id")

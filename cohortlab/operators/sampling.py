@@ -25,10 +25,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cohortlab.constants import DEFAULT_SEED
 from cohortlab.functions.numeric import half_even
 from cohortlab.functions.predicates import col, definite
-from cohortlab.staging import small_table
+from cohortlab.operators.least_rows import COUNT, ORDER, RANK, least_rows
+from cohortlab.staging import small_table, stage
 
 # Most keys ranked by one task.
 RANK_ROWS = 1_000_000
+# Rows of all samples together up to which composed draws keep the least rows in one scan.
+AT_ONCE_ROWS = 20_000
 _DIGITS = 2
 _KEY = "_draw_key"
 _MD5_LENGTH = 32
@@ -276,6 +279,39 @@ def _drawn(
     return flagged.filter("_taken").select(*map(col, pool.columns))
 
 
+def draw_at_once(
+    pool: DataFrame, allocation: DataFrame, strata: list[str], id_cols: str | list[str], seed: int = DEFAULT_SEED,
+    salt: str | None = None, strict: bool = False, at_once_rows: int = AT_ONCE_ROWS,
+) -> DataFrame:
+    """The rows of `draw`, from one scan of the pool, if all k together are at most `at_once_rows`; beyond that, `draw` itself.
+
+    Each task keeps the least rows per stratum, so `at_once_rows` is what a task must be able to hold. Drawn rows are staged.
+    """
+    allocation, rows = small_table(allocation)
+    ids = _listed(id_cols)
+    wanted = None if rows is None else [k for k in rows["k"].to_pylist() if k and k > 0]
+    if wanted is None or sum(wanted) > at_once_rows:
+        return _drawn(pool, allocation, strata, id_cols, seed, salt, strict, RANK_ROWS, None)
+    _check_names([*strata, *ids])
+    inside = pool.join(F.broadcast(allocation.filter("k > 0").select(*map(col, strata))), strata, "left_semi")
+    candidates, counts = least_rows(inside, strata, ids, [draw_key(ids, seed, salt)], [max(wanted, default=0) + 1])
+    taken = _settle(candidates, counts, allocation.withColumn(ORDER, F.lit(0)), strata, ids, strict)
+    return taken.select(*map(col, pool.columns))
+
+
+def _settle(candidates: DataFrame, counts: DataFrame, allocation: DataFrame, strata: list[str], ids: list[str], strict: bool) -> DataFrame:
+    """The first k candidates of each order and stratum; raises as `draw` does."""
+    needs = small_table(allocation.filter(F.col("k") > 0).select(ORDER, *map(col, strata), "k"))[0]
+    placed = stage(candidates.join(needs, [ORDER, *strata]).filter(F.col(RANK) <= F.col("k") + 1))
+    ends = placed.filter(F.col(RANK) >= F.col("k")).groupBy(ORDER, *map(col, strata)).agg(
+        F.count("*").alias("_ends"), F.count_distinct(F.struct(*map(col, ids))).alias("_ids"))
+    _complain(ends, None, "_ends > _ids", "a draw ends among copies of one id; name columns that make rows unique", strata)
+    if strict:
+        sizes = needs.join(counts, strata, "left").withColumn("_short", F.col("k") - F.coalesce(COUNT, F.lit(0)))
+        _complain(sizes, None, "_short > 0", "strata too small for the draw", [*strata, "_short"])
+    return placed.filter(F.col(RANK) <= F.col("k"))
+
+
 def two_way_split(
     df: DataFrame,
     size: int,
@@ -359,28 +395,61 @@ def matched_negatives(
 
 
 def ratio_subsamples(
-    df: DataFrame, specs: list[tuple[str, int, int]], label: str, stratum: str, id_col: str, strict: bool = False
+    df: DataFrame, specs: list[tuple[str, int, int]], label: str, stratum: str, id_col: str, strict: bool = False,
+    at_once_rows: int = AT_ONCE_ROWS,
 ) -> DataFrame:
     """(split, id): one subsample per (name, size, seed) in `specs`, all in one job.
 
     Each keeps the pool's pos:neg ratio (half-even) and, within each class, the
     class's own mix of strata. Output splits are named `{name}_{label}`.
+
+    If the samples have at most `at_once_rows` rows together, the pool is read
+    once: counts and the least rows of every sample come from the same scan.
     """
     spec = F.array(*[
         F.struct(F.lit(name).alias("_name"), F.lit(size).alias("_size"), F.lit(seed).alias("_seed"))
         for name, size, seed in specs
     ])
+    if 0 < sum(size for _, size, _ in specs) <= at_once_rows:
+        return _subsamples_at_once(df, specs, spec, label, stratum, id_col, strict)
     pool = df.select(col(id_col), col(label), col(stratum), F.inline(spec))
     strata = ["_name", label, stratum]
     counts = count_keys(pool, strata, id_col, F.col("_seed"))
     named = df.sparkSession.range(1).select(F.inline(spec)).drop("_seed")
     sizes = counts.by(*strata).join(F.broadcast(named), "_name")
+    allocation = _ratio_allocation(sizes, label, stratum)
+    drawn = _drawn(pool, allocation, strata, id_col, F.col("_seed"), None, strict, RANK_ROWS, counts)
+    return drawn.select(F.concat("_name", F.lit("_"), col(label)).alias("split"), col(id_col).alias("id"))
+
+
+def _ratio_allocation(sizes: DataFrame, label: str, stratum: str) -> DataFrame:
+    """(_name, label, stratum, k) from (_name, _size, label, stratum, n)."""
     classes = Window.partitionBy("_name")
     is_pos = col(label) == "pos"
     positive, everything = F.sum(F.when(is_pos, F.col("n"))).over(classes), F.sum("n").over(classes)
     # The negative side is what the positive side leaves.
     part = half_even(F.col("_size") * F.coalesce(positive, F.lit(0)) / everything).cast("bigint")
     sizes = sizes.withColumn("_part", F.when(is_pos, part).otherwise(F.col("_size") - part))
-    allocation = rounded_allocation(sizes.filter(col(stratum).isNotNull()), F.col("_part"), stratum, ["_name", label])
-    drawn = _drawn(pool, allocation, strata, id_col, F.col("_seed"), None, strict, RANK_ROWS, counts)
-    return drawn.select(F.concat("_name", F.lit("_"), col(label)).alias("split"), col(id_col).alias("id"))
+    return rounded_allocation(sizes.filter(col(stratum).isNotNull()), F.col("_part"), stratum, ["_name", label])
+
+
+def _subsamples_at_once(
+    df: DataFrame, specs: list[tuple[str, int, int]], spec: Column, label: str, stratum: str, id_col: str, strict: bool
+) -> DataFrame:
+    """One scan for the counts and the candidates of all samples.
+
+    A share never has more rows than its sample, but for the rounding drift, which is less than the number of strata; a drift that large
+    would need more candidates than were kept, and goes by `draw`.
+    """
+    pool = df.select(col(id_col), col(label), col(stratum))
+    room = [size + 100 for _, size, _ in specs]
+    candidates, counts = least_rows(pool, [label, stratum], [id_col], [draw_key([id_col], seed) for _, _, seed in specs], room)
+    counts, _ = small_table(counts)
+    named = F.broadcast(df.sparkSession.range(1).select(F.posexplode(spec).alias(ORDER, "x")).select(ORDER, "x._name", "x._size"))
+    every = counts.select(col(label), col(stratum), F.col(COUNT).alias("n"), F.explode(F.array(*[F.lit(i) for i in range(len(specs))])).alias(ORDER))
+    allocation = _ratio_allocation(every.join(named, ORDER), label, stratum).join(named.select(ORDER, "_name"), "_name")
+    allocation = small_table(allocation)[0]
+    if allocation.agg(F.max("k")).first()[0] is not None and not allocation.join(named.select(ORDER, "_size"), ORDER).filter("k >= _size + 100").isEmpty():
+        return ratio_subsamples(df, specs, label, stratum, id_col, strict, 0)
+    taken = _settle(candidates, counts, allocation, [label, stratum], [id_col], strict)
+    return taken.join(named, ORDER).select(F.concat("_name", F.lit("_"), col(label)).alias("split"), col(id_col).alias("id"))
