@@ -304,3 +304,14 @@ FROM subsamples s JOIN documents d ON s.id = d.doc_id WHERE lang IS NOT NULL GRO
 def q_stem_crosstab(t: Tables) -> DataFrame:
     """Strata of every subsample, by stem and label of its name."""
     return stem_crosstab(t.documents, subsamples_of(t), "doc_id", "lang")
+
+
+@query(f"""WITH {SPLITS},
+short AS (SELECT w.split || '_neg' AS split, w.size - (SELECT count(*) FROM splits s WHERE s.split = w.split || '_neg') AS n, w.size FROM want w)
+SELECT split, 'missing_flag' AS rule, count(*) AS n_bad, split || ': ' || count(*) || ' rows without toxic' AS message
+FROM placed WHERE split IS NOT NULL AND toxic IS NULL GROUP BY split
+UNION ALL
+SELECT split, 'shortfall', n, split || ': ' || (size - n) || ' of ' || size || ' rows' FROM short WHERE n > 0""")
+def q_split_build_report(t: Tables) -> DataFrame:
+    """What is wrong with splits, counted while they are built."""
+    return matched_splits.build_checked_splits(t.scans(), COLUMNS, t.ranges(), NEGATIVES)[1]

@@ -373,12 +373,12 @@ def simple_sample(df: DataFrame, size: int, id_cols: str | list[str], seed: int
 
 def matched_negatives(
     df: DataFrame, sizes: Mapping[str, int], split: str, label: str, stratum: str, id_col: str,
-    seed: int = DEFAULT_SEED, strict: bool = False,
+    seed: int = DEFAULT_SEED, strict: bool = False, keep: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """(split, id): all positives, and per split `sizes[split]` negatives drawn
     inside that split to match its own positives' mix of strata.
 
-    `label` holds `pos` / `neg`. Output splits are named `{split}_{label}`.
+    `keep` maps names of further columns to those of `df`. `label` holds `pos` / `neg`. Output splits are named `{split}_{label}`.
     """
     inside = df.filter(col(split).isin(list(sizes)))
     counts = count_keys(inside, [split, label, stratum], id_col, seed)
@@ -389,7 +389,8 @@ def matched_negatives(
     negative = _drawn(pool, allocation, [split, label, stratum], id_col, seed, None, strict, RANK_ROWS, counts)
 
     def named(rows: DataFrame) -> DataFrame:
-        return rows.select(F.concat(col(split), F.lit("_"), col(label)).alias("split"), col(id_col).alias("id"))
+        more = [col(c).alias(name) for name, c in (keep or {}).items()]
+        return rows.select(F.concat(col(split), F.lit("_"), col(label)).alias("split"), col(id_col).alias("id"), *more)
 
     return named(inside.filter(col(label) == "pos")).unionByName(named(negative))
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from cohortlab.constants import DEFAULT_SEED, NEGATIVE_COUNTS, OFFICIAL_RANGES, SUBSAMPLES
 from cohortlab.functions.predicates import col
-from cohortlab.operators.checks import verify_splits
+from cohortlab.operators.checks import WatchedSplits, verify_splits
 from cohortlab.operators.cohort import lookup, official_split, with_class
 from cohortlab.operators.profile import split_crosstab
 from cohortlab.operators.sampling import matched_negatives, ratio_subsamples
@@ -31,10 +31,13 @@ def classify(
     df: DataFrame, columns: ScanColumns, ranges: Mapping[str, tuple[int, int]], strict: bool = False
 ) -> DataFrame:
     """(id, id_num, flag, stratum, split, label) of scans inside a range, in one pass."""
+    return with_class(_placed(df, columns, ranges), columns.flag, strict=strict)
+
+
+def _placed(df: DataFrame, columns: ScanColumns, ranges: Mapping[str, tuple[int, int]]) -> DataFrame:
     read = dict.fromkeys([columns.id, columns.id_num, columns.flag, columns.stratum])
     narrow = df.select([col(c) for c in read])
-    placed = official_split(narrow, columns.id_num, dict(ranges)).filter(F.col("split").isNotNull())
-    return with_class(placed, columns.flag, strict=strict)
+    return official_split(narrow, columns.id_num, dict(ranges)).filter(F.col("split").isNotNull())
 
 
 def build_splits(
@@ -69,6 +72,40 @@ def build_splits(
     return splits
 
 
+def build_checked_splits(
+    df: DataFrame,
+    columns: ScanColumns = ScanColumns(),
+    ranges: Mapping[str, tuple[int, int]] = OFFICIAL_RANGES,
+    negatives: Mapping[str, int] = NEGATIVE_COUNTS,
+    seed: int = DEFAULT_SEED,
+    output: str | None = None,
+    flat: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """(splits, report): the splits of `build_splits`, staged, and what is wrong with them, without another pass.
+
+    The report is (split, rule, n_bad, message). Missing flags are counted while the classified scans are staged (`missing_flag`, by
+    range), broken rules and negatives that are short (`shortfall`) while the splits are. Nothing raises; empty means clean.
+    """
+    names = [f"{s}_{label}" for s in negatives for label in ("pos", "neg")]
+    read = Observation()
+    lacking = [F.count_if((F.col("split") == s) & col(columns.flag).isNull()).alias(str(i)) for i, s in enumerate(negatives)]
+    classified = stage(with_class(_placed(df, columns, ranges).observe(read, *lacking), columns.flag))
+    drawn = matched_negatives(classified, negatives, "split", "label", columns.stratum, columns.id, seed,
+                              keep={"_flag": columns.flag, "_num": columns.id_num})
+    watched = WatchedSplits(names, columns.flag, dict(ranges))
+    splits = stage(watched.watch(drawn.withColumn("_flag", F.col("_flag").cast("int")))).select("split", "id")
+    rows = watched.rows()
+    report = watched.broken() + [(s, "missing_flag", n, f"{s}: {n} rows without {columns.flag}") for i, s in enumerate(negatives)
+                                 if (n := read.get[str(i)])]
+    report += [(f"{s}_neg", "shortfall", wanted - rows[f"{s}_neg"], f"{s}_neg: {rows[f'{s}_neg']} of {wanted} rows")
+               for s, wanted in negatives.items() if rows[f"{s}_neg"] < wanted]
+    if output and flat:
+        write_split_files(splits, output, names)
+    elif output:
+        write_splits(splits, output)
+    return splits, df.sparkSession.createDataFrame(report, "split string, rule string, n_bad long, message string")
+
+
 def split_shortfalls(splits: DataFrame, negatives: Mapping[str, int] = NEGATIVE_COUNTS) -> DataFrame:
     """(split, wanted, drawn) of negative splits with fewer ids than asked for."""
     wanted = splits.sparkSession.createDataFrame([(f"{s}_neg", n) for s, n in negatives.items()], "split string, wanted long")

@@ -51,6 +51,34 @@ def test_verify_reports_every_rule(spark, scans):
     }
 
 
+def test_build_reports_while_it_writes(spark, scans, tmp_path):
+    """Missing flags, short negatives, and nothing else; the splits are those of the plain build."""
+    holes = scans.withColumn("tumor?", F.when(F.col("num") % 10 != 3, F.col("tumor?")))
+    want = matched_splits.build_splits(holes, COLUMNS, RANGES, {"train": 40, "test": 500}, strict=False)
+    splits, report = matched_splits.build_checked_splits(holes, COLUMNS, RANGES, {"train": 40, "test": 500}, output=str(tmp_path), flat=True)
+    assert sorted(map(tuple, splits.collect())) == sorted(map(tuple, want.collect()))
+    drawn = want.filter("split = 'test_neg'").count()
+    assert sorted((r.split, r.rule, r.n_bad) for r in report.collect()) == [
+        ("test", "missing_flag", 9), ("test_neg", "shortfall", 500 - drawn), ("train", "missing_flag", 30)]
+    assert len(list(tmp_path.iterdir())) == 4
+    clean = matched_splits.build_checked_splits(scans, COLUMNS, RANGES, {"train": 40, "test": 11})[1]
+    assert clean.collect() == [] and clean.columns == ["split", "rule", "n_bad", "message"]
+
+
+def test_watched_rules_equal_the_check(spark, scans):
+    """Counts taken while rows are written are those of the check that reads them again."""
+    from cohortlab.staging import stage
+
+    rows = spark.createDataFrame([("train_pos", 1), ("train_pos", 4), ("train_neg", 4), ("test_pos", 4), ("test_neg", 301), ("train_neg", 395)],
+                                 "split string, num int")
+    joined = rows.join(scans, "num").select("split", F.col("scan id").alias("id"), F.col("tumor?").alias("_flag"), F.col("num").alias("_num"))
+    watched = checks.WatchedSplits(["train_pos", "train_neg", "test_pos", "test_neg", "none_pos"], "tumor?", RANGES)
+    written = stage(watched.watch(joined))
+    want = matched_splits.check_splits(scans, written.select("split", "id"), COLUMNS, RANGES).collect()
+    assert sorted(watched.broken()) == sorted(map(tuple, want)) and len(want) == 4
+    assert watched.rows() == {"train_pos": 2, "train_neg": 2, "test_pos": 1, "test_neg": 1, "none_pos": 0}
+
+
 def test_verify_unknown_id(spark, scans):
     splits = spark.createDataFrame([("train_pos", "S_99999")], "split string, id string")
     loose = matched_splits.check_splits(scans, splits, COLUMNS, RANGES, strict=False).collect()
