@@ -95,11 +95,8 @@ def asks(n_buckets: int, docs: np.ndarray, rks: np.ndarray, item_doc: np.ndarray
         names=["bucket", "tell", "rks", "docs", "counts", "hashes"])
 
 
-def answer(rows: DataFrame, width: int, smaller: bool, often: int | None = None) -> DataFrame:
-    """(rk, hashes) of found items, from rows of `asks`.
-
-    With `often` there is a third column, `common`: its rows list, without a key, the items that so many blocks or more asked for.
-    """
+def replier(width: int, smaller: bool, often: int | None = None):
+    """What a bucket does: see `answer`."""
     def reply(table: pa.Table) -> pa.Table:
         tell = table.column("tell").to_numpy(zero_copy_only=False)
         cols = {k: table.column(k).to_pylist() for k in ("rks", "docs", "counts", "hashes")}
@@ -132,7 +129,15 @@ def answer(rows: DataFrame, width: int, smaller: bool, often: int | None = None)
         return pa.table({"rk": pa.array([*keys.tolist(), *[None] * len(listed)], pa.int64()), "hashes": pa.concat_arrays([*hashes, listed]),
                          "common": pa.array([False] * len(keys) + [True] * len(listed), pa.bool_())})
 
-    return rows.groupBy("bucket").applyInArrow(reply, REPLIES + ("" if often is None else ", common boolean"))
+    return reply
+
+
+def answer(rows: DataFrame, width: int, smaller: bool, often: int | None = None) -> DataFrame:
+    """(rk, hashes) of found items, from rows of `asks`.
+
+    With `often` there is a third column, `common`: its rows list, without a key, the items that so many blocks or more asked for.
+    """
+    return rows.groupBy("bucket").applyInArrow(replier(width, smaller, often), REPLIES + ("" if often is None else ", common boolean"))
 
 
 def gathered(replies: DataFrame) -> DataFrame:

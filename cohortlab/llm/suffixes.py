@@ -25,20 +25,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlab.llm.common import keyed, shown_id
-from cohortlab.llm.exchange import ASKS, answer, asks, bucket_count, found_items, gathered
+from cohortlab.llm.exchange import ASKS, answer, asks, bucket_count, found_items, gathered, replier
 from cohortlab.llm.graph import among, bitmap, place
-from cohortlab.llm.textscan import BLOCK_BYTES, Block, blocks, mix
+from cohortlab.llm.textscan import Block, blocks, mix
 from cohortlab.staging import stage
 
 LENGTH, GRAM = 50, 20
-# Documents that splitters are taken from (least hashes); they only balance the ranges.
+# Text of a block: several arrays of eight bytes for each of its bytes live at once.
+BLOCK_BYTES = 1_000_000
+# Documents that splitters are taken from (least hashes), more where there are very many ranges; they only balance the ranges.
 SPLITTER_DOCS = 1_000
 # A gram is common if it is in this share of blocks, and in at least this many.
 COMMON_SHARE, COMMON_BLOCKS = 0.2, 16
 # Fixed part of a suffix in a run: place of its document in the run's table, place in the text, bytes to the left and first offset.
 ITEM = np.dtype([("who", "<u4"), ("at", "<u4"), ("left", "u1"), ("first", "u1"), ("lcp", "u1"), ("size", "u1")])
+# Rows to ranges of suffixes (part >= 0) and to buckets of hashes (-1 and below) travel together; so do their results.
 RUNS = "part int, tell boolean, docs binary, items binary, tails binary, lefts binary"
-MASKS = "rk long, masks binary"
+MASKS = "rk long, masks binary, hashes binary"
 MASK = np.dtype([("at", "<u4"), ("bits", "<u4")])
 
 
@@ -79,7 +82,7 @@ def _ordered(batch: pa.RecordBatch) -> pa.RecordBatch:
 def _anchor_asks(n_buckets: int, shared, length: int, gram: int):
     """Anchors of documents that take part. The bitmap passes all of them and few others, which only add work."""
     def run(batches):
-        for batch in map(_ordered, blocks(batches)):
+        for batch in map(_ordered, blocks(batches, limit=BLOCK_BYTES)):
             batch = batch.filter(pa.array(among(shared.value, batch.column("place").to_numpy())))
             if not batch.num_rows:
                 continue
@@ -90,71 +93,101 @@ def _anchor_asks(n_buckets: int, shared, length: int, gram: int):
 
 def _gram_sample(length: int, gram: int):
     def run(batches):
-        for batch in blocks(batches):
+        for batch in blocks(batches, limit=BLOCK_BYTES):
             block = Block(batch.column("text"))
             at = Anchors(block, length, gram).at[::4]
             yield pa.RecordBatch.from_arrays([pa.array([block.raw[p: p + gram] for p in at], pa.binary())], names=["gram"])
     return run
 
 
+def _among(h: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which hashes are wanted: those that pass a bitmap are looked up. Bits 20 to 39 are filled at every width of hashes."""
+    out = np.zeros(len(h), bool)
+    if not len(wanted) or not len(h):
+        return out
+    wanted = np.unique(wanted)
+    bits = np.zeros(2**20, bool)
+    bits[(wanted >> np.uint64(20)) & np.uint64(2**20 - 1)] = True
+    near = np.flatnonzero(bits[(h >> np.uint64(20)) & np.uint64(2**20 - 1)])
+    out[near] = wanted[np.minimum(np.searchsorted(wanted, h[near]), len(wanted) - 1)] == h[near]
+    return out
+
+
 def _shared_anchors(batch: pa.RecordBatch, block: Block, length: int, gram: int, common: np.ndarray) -> tuple[Anchors, np.ndarray, np.ndarray]:
     """Anchors, those shared with another document, and those of common grams."""
     a = Anchors(block, length, gram)
-    shared = np.isin(a.hash, found_items(batch.column("found"))[1])
-    often = np.isin(a.hash, common)
+    shared, often = _among(a.hash, found_items(batch.column("found"))[1]), _among(a.hash, common)
     return a, np.flatnonzero(shared & ~often), np.flatnonzero(shared & often)
 
 
-def _suffix_runs(shared, length: int, gram: int):
-    """Sorted front-coded suffixes of each block by range; of equal strings in a block only those of the smallest id go."""
+def _runs_and_asks(n_buckets: int, shared, length: int, gram: int):
+    """Of each block, the sorted front-coded suffixes by range, and the strings at common grams by hash."""
     def run(batches):
         splitters, common = shared.value
-        for batch in map(_ordered, blocks(batches)):
+        for batch in map(_ordered, blocks(batches, limit=BLOCK_BYTES)):
             block = Block(batch.column("text"))
-            a, some, _ = _shared_anchors(batch, block, length, gram, common)
-            if not len(some):
-                continue
+            a, some, often = _shared_anchors(batch, block, length, gram, common)
             docs, rks = batch.column("doc").to_numpy(), batch.column("rk").to_numpy()
-            at, low, high, who = a.at[some], a.low[some], a.high[some], a.doc[some]
-            right = [block.raw[p: e] for p, e in zip(at.tolist(), (high + length).tolist())]
-            left = [block.raw[s: p] for s, p in zip(low.tolist(), at.tolist())]
-            order = sorted(range(len(some)), key=lambda i: (right[i], left[i], who[i]))
-            runs: dict[int, list] = {}
-            told: dict[int, list] = {}
-            part_of = np.searchsorted(splitters, np.array([r[:gram] for r in right], f"S{gram}"), side="right") if len(splitters) else np.zeros(len(some), int)
-            last = None
-            for i in order:
-                if last is not None and right[i] == right[last] and left[i] == left[last]:
-                    if docs[who[i]] > docs[who[last]]:
-                        told.setdefault(int(who[i]), []).append((at[i] - block.begins[who[i]], _span(at[i], low[i], high[i])))
-                        continue
-                else:
-                    last = i
-                runs.setdefault(int(part_of[i]), []).append(i)
-            rows = []
-            for part, items in runs.items():
-                index = np.array(items)
-                people, place = np.unique(who[index], return_inverse=True)
-                fixed = np.zeros(len(items), ITEM)
-                fixed["who"], fixed["at"] = place, at[index] - block.begins[who[index]]
-                fixed["left"], fixed["first"] = at[index] - low[index], at[index] - high[index]
-                tails, before = [], b""
-                for k, i in enumerate(items):
-                    r = right[i]
-                    n = common_prefix(before, r, 0)
-                    fixed["lcp"][k], fixed["size"][k] = n, len(r)
-                    tails.append(r[n:])
-                    before = r
-                table = np.stack((docs[people], rks[people]), 1)
-                rows.append((part, False, table.tobytes(), fixed.tobytes(), b"".join(tails), b"".join([left[i] for i in items])))
-            for d, masks in told.items():
-                rows.append((int(rks[d] % (len(splitters) + 1)), True, rks[[d]].tobytes(), np.array(masks, MASK).tobytes(), b"", b""))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.bool_(), *[pa.binary()] * 4))],
-                names=["part", "tell", "docs", "items", "tails", "lefts"])
+            if len(some):
+                yield _suffix_runs(block, a, some, docs, rks, splitters, length, gram)
+            if len(often):
+                rows = _string_asks(n_buckets, block, a, often, docs, rks, length)
+                part = pa.array(-1 - rows.column("bucket").to_numpy(), pa.int32())
+                yield pa.RecordBatch.from_arrays([part, *[rows.column(c) for c in ("tell", "rks", "docs", "counts", "hashes")]],
+                                                 names=["part", "tell", "docs", "items", "tails", "lefts"])
     return run
 
 
+def _suffix_runs(block: Block, a: Anchors, some: np.ndarray, docs: np.ndarray, rks: np.ndarray, splitters: np.ndarray, length: int,
+                 gram: int) -> pa.RecordBatch:
+    """Sorted front-coded suffixes by range; of equal strings in a block only those of the smallest id go."""
+    at, low, high, who = a.at[some], a.low[some], a.high[some], a.doc[some]
+    right = [block.raw[p: e] for p, e in zip(at.tolist(), (high + length).tolist())]
+    left = [block.raw[s: p] for s, p in zip(low.tolist(), at.tolist())]
+    order = sorted(range(len(some)), key=lambda i: (right[i], left[i], who[i]))
+    runs: dict[int, list] = {}
+    told: dict[int, list] = {}
+    part_of = np.searchsorted(splitters, np.array([r[:gram] for r in right], f"S{gram}"), side="right") if len(splitters) else np.zeros(len(some), int)
+    last = None
+    for i in order:
+        if last is not None and right[i] == right[last] and left[i] == left[last]:
+            if docs[who[i]] > docs[who[last]]:
+                told.setdefault(int(who[i]), []).append((at[i] - block.begins[who[i]], _span(at[i], low[i], high[i])))
+                continue
+        else:
+            last = i
+        runs.setdefault(int(part_of[i]), []).append(i)
+    rows = []
+    for part, items in runs.items():
+        index = np.array(items)
+        people, place = np.unique(who[index], return_inverse=True)
+        fixed = np.zeros(len(items), ITEM)
+        fixed["who"], fixed["at"] = place, at[index] - block.begins[who[index]]
+        fixed["left"], fixed["first"] = at[index] - low[index], at[index] - high[index]
+        tails, shared, before = [], [], b""
+        for i in items:
+            r = right[i]
+            n = common_prefix(before, r, 0)
+            shared.append(n)
+            tails.append(r[n:])
+            before = r
+        fixed["lcp"], fixed["size"] = shared, [len(right[i]) for i in items]
+        table = np.stack((docs[people], rks[people]), 1)
+        rows.append((part, False, table.tobytes(), fixed.tobytes(), b"".join(tails), b"".join([left[i] for i in items])))
+    for d, masks in told.items():
+        rows.append((int(rks[d] % (len(splitters) + 1)), True, rks[[d]].tobytes(), np.array(masks, MASK).tobytes(), b"", b""))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.bool_(), *[pa.binary()] * 4))],
+        names=["part", "tell", "docs", "items", "tails", "lefts"])
+
+
+def _string_asks(n_buckets: int, block: Block, a: Anchors, some: np.ndarray, docs: np.ndarray, rks: np.ndarray, length: int) -> pa.RecordBatch:
+    """Strings at common grams, by hash."""
+    n = (a.high - a.low + 1)[some]
+    start = np.repeat(a.low[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return asks(n_buckets, docs, rks, np.repeat(a.doc[some], n), block.grams(length)[start], 8, smaller=True)
+
+
 def _span(at: int, low: int, high: int) -> int:
     """Bits at - high to at - low."""
     return (1 << int(at - low + 1)) - (1 << int(at - high))
@@ -245,40 +278,52 @@ def _merged(length: int, gram: int):
                 at += size - n
                 strings.append((before, n))
             runs.append(strings)
-            fixed.append(items)
+            fixed.append(list(zip(*(items[c].tolist() for c in ("who", "at", "left", "first")))))
             ends = np.cumsum(items["left"].astype(np.int64))
             lefts.append([row["lefts"][e - n: e] for e, n in zip(ends.tolist(), items["left"].tolist())])
-            people.append(np.frombuffer(row["docs"], np.int64).reshape(-1, 2))
+            people.append(np.frombuffer(row["docs"], np.int64).reshape(-1, 2).tolist())
         found: list[tuple[int, int, int]] = []
-        group: list[tuple[int, int]] = []
+        group: list[tuple[int, int, int]] = []
 
         def settle() -> None:
-            """Strings at the suffixes of one gram: equal stretches go to their smallest document, others string by string."""
+            """Strings at the suffixes of one gram: equal stretches go to their smallest document, others string by string.
+
+            What a suffix shares with any other is at most what it shares with its neighbours in the order, so strings that reach
+            further to the right are its own and need no look.
+            """
             if len(group) < 2:
                 return
             owner: dict[tuple[bytes, bytes], int] = {}
             members = []
-            for r, i in group:
-                key = (lefts[r][i], runs[r][i][0])
+            for place, (r, i, n) in enumerate(group):
+                right = runs[r][i][0]
+                key = (lefts[r][i], right)
                 item = fixed[r][i]
-                doc, rk = people[r][item["who"]]
-                members.append((key, int(doc), int(rk), int(item["at"]), int(item["left"]), int(item["first"])))
-                owner[key] = min(owner.get(key, doc), int(doc))
+                doc, rk = people[r][item[0]]
+                near = max(n if place else 0, group[place + 1][2] if place + 1 < len(group) else 0)
+                far = item[2]
+                last = min(far + len(right) - length, far - length + near)
+                members.append((key, doc, rk, item[1], far, item[3], last))
+                owner[key] = min(owner.get(key, doc), doc)
             least: dict[tuple[int, bytes], int] = {}
             if len(owner) > 1:
-                for (left, right), doc in owner.items():
-                    whole = left + right
-                    for s in range(len(whole) - length + 1):
-                        key = (len(left) - s, whole[s: s + length])
-                        if least.get(key, doc) >= doc:
-                            least[key] = doc
-            for (left, right), doc, rk, at, far, first in members:
-                if doc > owner[left, right]:
+                done = set()
+                for key, _, _, _, far, _, last in members:
+                    if last < 0 or key in done:
+                        continue
+                    done.add(key)
+                    doc, whole = owner[key], key[0] + key[1]
+                    for s in range(last + 1):
+                        window = (far - s, whole[s: s + length])
+                        if least.get(window, doc) >= doc:
+                            least[window] = doc
+            for key, doc, rk, at, far, first, last in members:
+                if doc > owner[key]:
                     found.append((rk, at, _span(far, 0, far - first)))
-                elif least:
-                    whole, bits = left + right, 0
-                    for s in range(len(whole) - length + 1):
-                        if least[len(left) - s, whole[s: s + length]] < doc:
+                elif least and last >= 0:
+                    whole, bits = key[0] + key[1], 0
+                    for s in range(last + 1):
+                        if least[far - s, whole[s: s + length]] < doc:
                             bits |= 1 << (far - s)
                     if bits:
                         found.append((rk, at, bits))
@@ -288,69 +333,69 @@ def _merged(length: int, gram: int):
                 if n < gram:
                     settle()
                     group.clear()
-                group.append((r, i))
+                group.append((r, i, n))
             settle()
         masks: dict[int, list] = {}
         for rk, at, bits in found:
             masks.setdefault(rk, []).append((at, bits))
         out_rk += list(masks)
         out_mask += [np.array(m, MASK).tobytes() for m in masks.values()]
-        return pa.table({"rk": pa.array([int(x) for x in out_rk], pa.int64()), "masks": pa.array(out_mask, pa.binary())})
+        return pa.table({"rk": pa.array([int(x) for x in out_rk], pa.int64()), "masks": pa.array(out_mask, pa.binary()),
+                         "hashes": pa.array([None] * len(out_rk), pa.binary())})
     return run
 
 
-def _string_asks(n_buckets: int, shared, length: int, gram: int):
-    """Strings at common grams, by hash."""
-    def run(batches):
-        _, common = shared.value
-        for batch in map(_ordered, blocks(batches)):
-            block = Block(batch.column("text"))
-            a, _, some = _shared_anchors(batch, block, length, gram, common)
-            n = (a.high - a.low + 1)[some]
-            start = np.repeat(a.low[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            h = block.grams(length)[start] if len(start) else np.zeros(0, np.uint64)
-            yield asks(n_buckets, batch.column("doc").to_numpy(), batch.column("rk").to_numpy(), np.repeat(a.doc[some], n), h, 8, smaller=True)
+def _settled(length: int, gram: int):
+    """A range of suffixes is merged; a bucket of hashes answers its asks."""
+    merged, reply = _merged(length, gram), replier(8, True)
+
+    def run(table: pa.Table) -> pa.Table:
+        if table.column("part")[0].as_py() >= 0:
+            return merged(table)
+        out = reply(table.rename_columns(["part", "tell", "rks", "docs", "counts", "hashes"]))
+        return pa.table({"rk": out.column("rk"), "masks": pa.array([None] * out.num_rows, pa.binary()), "hashes": out.column("hashes")})
     return run
 
 
 def _cut(length: int, texts: bool):
     def run(batches):
-        for batch in blocks(batches):
+        for batch in blocks(batches, limit=BLOCK_BYTES):
             block, rows = Block(batch.column("text")), batch.num_rows
-            edge = np.zeros(len(block.bytes) + 1, np.int64)
-            any_ = False
-            for d, copy in enumerate(batch.column("copy").to_pylist()):
-                if copy and block.sizes[d] >= length:
-                    any_ = True
-                    edge[block.begins[d]] += 1
-                    edge[block.ends[d]] -= 1
-            for d, masks in enumerate(batch.column("masks").to_pylist()):
-                if masks:
-                    m = np.frombuffer(b"".join(masks), MASK)
-                    any_ = True
-                    for bit in range(32):
-                        hit = m["at"][(m["bits"] >> np.uint32(bit)) & 1 == 1].astype(np.int64) - bit + block.begins[d]
-                        np.add.at(edge, hit, 1)
-                        np.add.at(edge, hit + length, -1)
+            copy = batch.column("copy").fill_null(False).to_numpy(zero_copy_only=False) & (block.sizes >= length)
+            starts = [block.begins[copy]]
+            stops = [block.ends[copy]]
+            held = [b"".join(m) if m else b"" for m in batch.column("masks").to_pylist()]
+            masks = np.frombuffer(b"".join(held), MASK)
+            if len(masks):
+                doc = np.repeat(np.arange(rows), [len(m) // MASK.itemsize for m in held])
+                bits = np.unpackbits(np.ascontiguousarray(masks["bits"]).view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+                item, bit = np.nonzero(bits)
+                starts.append(masks["at"][item].astype(np.int64) - bit + block.begins[doc[item]])
+                stops.append(starts[-1] + length)
             which, strings = found_items(batch.column("found"))
             if len(strings):
-                any_ = True
-                h = block.grams(length)
-                doc = np.repeat(np.arange(rows), block.sizes + 1)[: len(h)]
+                # Only texts with such strings are looked at.
+                some = np.unique(which)
+                n = np.maximum(0, block.sizes[some] - length + 1)
+                doc = np.repeat(some, n)
+                spot = np.repeat(block.begins[some] - (np.cumsum(n) - n), n) + np.arange(len(doc))
                 salt = mix(np.arange(1, rows + 1, dtype=np.uint64))
-                hit = np.flatnonzero(np.isin(h ^ salt[doc], strings ^ salt[which]))
-                hit = hit[hit + length <= block.ends[doc[hit]]]
-                np.add.at(edge, hit, 1)
-                np.add.at(edge, hit + length, -1)
-            removed, spans, kept = np.zeros(rows, np.int64), np.zeros(rows, np.int64), []
-            gone = np.cumsum(edge[:-1]) > 0 if any_ else None
-            for d in range(rows):
-                raw = block.bytes[block.begins[d]: block.ends[d]]
-                if any_ and (mask := gone[block.begins[d]: block.ends[d]]).any():
-                    removed[d] = mask.sum()
-                    spans[d] = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum())
-                    raw = raw[~mask]
-                kept.append(raw.tobytes())
+                hit = spot[_among(block.grams(length)[spot] ^ salt[doc], strings ^ salt[which])]
+                starts.append(hit)
+                stops.append(hit + length)
+            removed, spans = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+            kept = [block.raw[a:b] for a, b in zip(block.begins.tolist(), block.ends.tolist())]
+            starts, stops = np.concatenate(starts), np.concatenate(stops)
+            if len(starts):
+                room = len(block.bytes) + 1
+                edge = np.bincount(starts, minlength=room) - np.bincount(stops, minlength=room)
+                gone = np.cumsum(edge) > 0
+                cut = np.flatnonzero(np.diff(gone.view(np.int8), prepend=0) > 0)
+                removed = np.add.reduceat(gone, block.begins, dtype=np.int64) - gone[block.ends]
+                spans = np.bincount(np.searchsorted(block.ends, cut), minlength=rows)[:rows]
+                for d in np.flatnonzero(removed).tolist():
+                    a, b = block.begins[d], block.ends[d]
+                    kept[d] = block.bytes[a:b][~gone[a:b]].tobytes()
             last = pa.array(kept, pa.binary()) if texts else pa.array([hashlib.sha256(k).hexdigest() for k in kept])
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(block.sizes), pa.array(removed), pa.array(spans), last],
                                              names=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
@@ -372,17 +417,15 @@ def _dedup(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str,
     replies = stage(answer(rows.select("doc", "rk", "text", place("rk").alias("place")).mapInArrow(
         _anchor_asks(n, bits, length, gram), ASKS), 6, smaller=False, often=often))
     common = b"".join(r.hashes for r in replies.where("common").select("hashes").collect())
-    sample = rows.select("text", "rk").orderBy("rk").limit(SPLITTER_DOCS).select("text").mapInArrow(_gram_sample(length, gram), "gram binary")
+    sample = rows.select("text", "rk").orderBy("rk").limit(max(SPLITTER_DOCS, n // 8)).select("text").mapInArrow(_gram_sample(length, gram), "gram binary")
     grams = np.sort(np.array([bytes(g) for g in sample.toArrow().column("gram").to_pylist()], f"S{gram}"))
-    splitters = np.unique(grams[np.linspace(0, len(grams), n + 1).astype(int)[1:-1]]) if len(grams) > n else grams[:0]
+    splitters = np.unique(grams[np.linspace(0, len(grams), n + 1).astype(int)[1:-1]]) if len(grams) else grams
     shared = spark.sparkContext.broadcast((splitters, np.frombuffer(common, "<u8")))
     # The joins deal the texts out by the same key, so one exchange of them serves all.
     near = rows.join(gathered(replies.where("not common")), "rk").select("doc", "rk", "text", "found")
-    masks = near.mapInArrow(_suffix_runs(shared, length, gram), RUNS).groupBy("part").applyInArrow(_merged(length, gram), MASKS)
-    strings = answer(near.mapInArrow(_string_asks(n, shared, length, gram), ASKS), 8, smaller=True)
+    settled = near.mapInArrow(_runs_and_asks(n, shared, length, gram), RUNS).groupBy("part").applyInArrow(_settled(length, gram), MASKS)
     none = F.lit(None).cast("binary")
-    marks = masks.select("rk", "masks", none.alias("hashes"), F.lit(False).alias("copy")).unionByName(
-        strings.select("rk", none.alias("masks"), "hashes", F.lit(False).alias("copy"))).unionByName(
+    marks = settled.select("*", F.lit(False).alias("copy")).unionByName(
         copies.select("rk", none.alias("masks"), none.alias("hashes"), F.lit(True).alias("copy"))).groupBy("rk").agg(
         F.collect_list("masks").alias("masks"), F.collect_list("hashes").alias("found"), F.max("copy").alias("copy"))
     whole = rows.join(marks, "rk", "left").select("doc", "text", "masks", "found", "copy")
