@@ -7,8 +7,6 @@ the next label; those two embeddings are "uncertain" for the finding.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from catalog.registry import Tables, query
@@ -210,11 +208,10 @@ def q_scoring_gaps(t: Tables) -> DataFrame:
 
 @query(f"WITH {_SCORED} SELECT finding, vec_id, y_true::BIGINT AS y_true, round(y_score, 6) AS y_score FROM scored")
 def q_zero_shot_blocks(t: Tables) -> DataFrame:
-    """The same scores with prompts in blocks of three findings."""
+    """The same scores from one read of the embeddings, with prompts in blocks of three findings."""
     first = first_ids_of(t)
     prompts, labels = zeroshot.pair_prompts(prompt_rows_of(t, first)), labels_of(t, first)
-    parts = [zeroshot.zero_shot_scores(t.embeddings, labels, prompts, FINDINGS[i: i + 3], "vec_id") for i in range(0, CLASSES, 3)]
-    return reduce(DataFrame.unionByName, parts)
+    return zeroshot.zero_shot_scores(t.embeddings, labels, prompts, FINDINGS, "vec_id", matrix_findings=3)
 
 
 _PARTIAL = """WITH p AS (

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +10,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlab.constants import COSINE_EPS, UNCERTAIN
 from cohortlab.functions.predicates import certain, col
+from cohortlab.sources.placed import store_of
+from cohortlab.staging import new_folder
 
 # Findings whose prompts are held as one matrix in every task, and scores computed at a time.
 MATRIX_FINDINGS = 2_000
 CELLS = 1_000_000
+# Images that meet all blocks of findings together.
+ROWS_TOGETHER = 20_000
 
 
 def flatten_prompts(spark, phrases: Mapping[str, tuple[str, str]]) -> DataFrame:
@@ -37,7 +40,7 @@ def latest_embedding(df: DataFrame, key: str, embedding: str, order: str) -> Dat
 
 def zero_shot_scores(
     images: DataFrame, labels: DataFrame, prompts: DataFrame, findings: list[str], key: str,
-    embedding: str = "embedding", uncertain: int = UNCERTAIN, strict: bool = True,
+    embedding: str = "embedding", uncertain: int = UNCERTAIN, strict: bool = True, matrix_findings: int | None = None,
 ) -> DataFrame:
     """(finding, key, y_true, y_score) for every image and finding with a certain label.
 
@@ -47,9 +50,11 @@ def zero_shot_scores(
     a label for a finding raises with `strict`; otherwise it is left out, and
     `scoring_gaps` lists it.
 
-    Images meet their label row once, and vectors move at most once: prompts
-    come to them, in blocks of findings held as matrices in every task. Scores
-    of some images and a block are one matrix product.
+    Images meet their label row once, and are read once: prompts come to them,
+    in blocks of findings held as matrices in every task. Scores of some
+    images and a block are one matrix product. Beyond `matrix_findings`
+    findings (MATRIX_FINDINGS if it is not given) the blocks are written to the shared folder, and a task opens one after
+    the other for every ROWS_TOGETHER of its images.
     """
     findings = list(dict.fromkeys(findings))
     wanted = prompts.select(col("finding").cast("string").alias("finding"), "present", "absent")
@@ -61,9 +66,10 @@ def zero_shot_scores(
     if strict:
         rows = rows.withColumn(key, _checked(rows, findings, key))
     rows = rows.filter(col("_vector").isNotNull() & col("_known")).select(col(key), "_vector", *map(col, findings))
-    parts = [_scored(rows, wanted, findings[i: i + MATRIX_FINDINGS], key, uncertain)
-             for i in range(0, len(findings), MATRIX_FINDINGS)]
-    return reduce(DataFrame.unionByName, parts)
+    size = matrix_findings or MATRIX_FINDINGS
+    if len(findings) <= size:
+        return _scored(rows, wanted, findings, key, uncertain)
+    return _scored_by_blocks(rows, wanted, findings, key, uncertain, size)
 
 
 def _with_labels(images: DataFrame, labels: DataFrame, findings: list[str], key: str, embedding: str) -> DataFrame:
@@ -110,18 +116,71 @@ def _scored(rows: DataFrame, prompts: DataFrame, findings: list[str], key: str,
         .filter(certain("y_true", uncertain))
 
 
-def _batch_scorer(present: np.ndarray, absent: np.ndarray):
-    """Arrow function from a batch of vectors to its scores for all findings."""
-    eps = COSINE_EPS
-    present_norm, absent_norm = np.linalg.norm(present, axis=1), np.linalg.norm(absent, axis=1)
+def _scored_by_blocks(rows: DataFrame, prompts: DataFrame, findings: list[str], key: str, uncertain: int, size: int) -> DataFrame:
+    """Scores for any number of findings in one pass over the images."""
+    spark, together = rows.sparkSession, ROWS_TOGETHER
+    folder = new_folder(spark, "prompts")
+    places = spark.createDataFrame(list(enumerate(findings)), "at int, finding string")
+    placed = prompts.join(places, "finding").withColumn("block", F.expr(f"at div {size}").cast("int"))
+    placed.select("at", col("present").cast("array<double>").alias("present"), col("absent").cast("array<double>").alias("absent"), "block") \
+        .repartition("block").write.partitionBy("block").parquet(folder)
+    blocks = -(-len(findings) // size)
+    narrow = rows.select(col(key).alias("key"), col("_vector").cast("array<double>").alias("vector"),
+                         F.array(*[col(f).cast("int") for f in findings]).alias("labels"))
+
+    def run(batches):
+        held, count = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                count += batch.num_rows
+            if count >= together:
+                yield from scored(held)
+                held, count = [], 0
+        if held:
+            yield from scored(held)
+
+    def scored(held):
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys, vectors, labels = (table.column(c).chunk(0) for c in ("key", "vector", "labels"))
+        matrix = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)
+        flat = labels.flatten()
+        states = flat.fill_null(uncertain).to_numpy(zero_copy_only=False).reshape(len(keys), len(findings))
+        for number in range(blocks):
+            first = number * size
+            score = _scorer(*_prompt_block(folder, number, first))
+            names = pa.array(findings[first: first + size])
+            part = states[:, first: first + size]
+            step = max(1, CELLS // len(names))
+            for a in range(0, len(keys), step):
+                row, column = np.nonzero(part[a: a + step] != uncertain)
+                if len(row):
+                    values = score(matrix[a: a + step])[row, column]
+                    yield pa.RecordBatch.from_arrays(
+                        [names.take(pa.array(column)), keys.take(pa.array(row + a)), pa.array(part[a: a + step][row, column]), pa.array(values)],
+                        names=["finding", "key", "y_true", "y_score"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    out = narrow.mapInArrow(run, f"finding string, key {kind}, y_true int, y_score double")
+    return out.select("finding", col("key").alias(key), "y_true", "y_score")
+
+
+def _prompt_block(folder: str, number: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """The prompts of one block as matrices, a row per finding."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, root = store_of(f"{folder}/block={number}")
+    files = [x.path for x in store.get_file_info(fs.FileSelector(root)) if x.path.endswith(".parquet")]
+    table = pa.concat_tables([pq.ParquetFile(store.open_input_file(f)).read() for f in files])
+    order = np.argsort(table.column("at").to_numpy() - first)
+    sides = (table.column(c).combine_chunks() for c in ("present", "absent"))
+    return tuple(x.flatten().to_numpy(zero_copy_only=False).reshape(len(order), -1)[order] for x in sides)
 
-    def similarity(vectors, norms, matrix, matrix_norms):
-        return vectors @ matrix.T / np.maximum(np.outer(norms, matrix_norms), eps)
 
-    def score(vectors: np.ndarray) -> np.ndarray:
-        norms = np.linalg.norm(vectors, axis=1)
-        gap = similarity(vectors, norms, absent, absent_norm) - similarity(vectors, norms, present, present_norm)
-        return 1.0 / (1.0 + np.exp(gap))
+def _batch_scorer(present: np.ndarray, absent: np.ndarray):
+    """Arrow function from a batch of vectors to its scores for all findings."""
+    score = _scorer(present, absent)
 
     @F.arrow_udf("array<double>")
     def scores(column: pa.Array) -> pa.Array:
@@ -133,3 +192,19 @@ def _batch_scorer(present: np.ndarray, absent: np.ndarray):
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
 
     return scores
+
+
+def _scorer(present: np.ndarray, absent: np.ndarray):
+    """From a matrix of vectors to that of their scores for all findings."""
+    eps = COSINE_EPS
+    present_norm, absent_norm = np.linalg.norm(present, axis=1), np.linalg.norm(absent, axis=1)
+
+    def similarity(vectors, norms, matrix, matrix_norms):
+        return vectors @ matrix.T / np.maximum(np.outer(norms, matrix_norms), eps)
+
+    def score(vectors: np.ndarray) -> np.ndarray:
+        norms = np.linalg.norm(vectors, axis=1)
+        gap = similarity(vectors, norms, absent, absent_norm) - similarity(vectors, norms, present, present_norm)
+        return 1.0 / (1.0 + np.exp(gap))
+
+    return score

@@ -101,3 +101,13 @@ def test_results_file_and_report(spark, frames):
     direct = {r.finding: tuple(r)[1:] for r in plan.evaluate(*frames, FINDINGS, "study_id", strict=False).collect()}
     assert {r.finding: pytest.approx(tuple(r)[1:]) for r in report.collect()} == direct
     assert macro.first().n_groups == 3
+
+
+def test_images_are_read_once_for_all_blocks(spark, data, frames, monkeypatch):
+    """Blocks of one finding, few images at a time, and a single scan of the images."""
+    monkeypatch.setattr(zeroshot, "ROWS_TOGETHER", 7)
+    images, labels, prompts = frames
+    out = zeroshot.zero_shot_scores(images.repartition(2), labels, prompts, FINDINGS, "study_id", strict=False, matrix_findings=1)
+    assert out._jdf.queryExecution().analyzed().toString().count("embedding#") <= 4
+    got = {(r.finding, r.study_id): (r.y_true, round(r.y_score, 9)) for r in out.collect()}
+    assert got == {k: (y, round(s, 9)) for k, (y, s) in by_hand(data).items()}
