@@ -20,5 +20,5 @@ def test_query_agrees_with_sql(spark, name):
 
 def test_all_operators_are_registered():
     names = entry.queries()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
     assert set(QUERIES) <= set(names)
