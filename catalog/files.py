@@ -84,6 +84,18 @@ def q_fetch_manifest(t: Tables) -> DataFrame:
     return volumes.fetch_manifest(t.documents, t.labels, "doc_id", "volumes")
 
 
+@query(f"""WITH {SCANS}, asked AS (SELECT lang || '_' || source AS id, max(toxic) AS toxic FROM scans GROUP BY ALL)
+SELECT id, id || '.txt' AS name, CASE WHEN toxic >= 1 THEN 'present' ELSE 'fetch' END AS status FROM asked WHERE id IS NOT NULL""")
+def q_manifest_of_folder(t: Tables) -> DataFrame:
+    """What is there comes from an inventory of the folder: one file for each language and source that has a toxic document."""
+    path = new_folder(t.spark, "volumes")
+    scans = stage(t.scans("source").select(F.concat("lang", F.lit("_"), "source").alias("split"), F.col("doc_id").alias("id"), "toxic").where("split IS NOT NULL"))
+    id_lists.write_split_files(scans.where("toxic >= 1"), path)
+    asked = scans.select(F.col("split").alias("id")).distinct()
+    manifest = volumes.fetch_manifest(asked, volumes.file_inventory(t.spark, path, ".txt"), "id", path, ".txt")
+    return manifest.select("id", F.substring_index("path", "/", -1).alias("name"), "status")
+
+
 @query("""
 SELECT doc_id AS id, 'volumes/' || doc_id || '.nii.gz' AS path FROM documents
 WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
