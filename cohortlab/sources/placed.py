@@ -42,6 +42,15 @@ def store_of(path: str):
     return (fs.LocalFileSystem(), os.path.abspath(local)) if local is not None else fs.FileSystem.from_uri(path)
 
 
+def openable(path: str) -> bool:
+    """Can tasks open files of this store themselves? Some stores are known to Spark alone."""
+    try:
+        store_of(path)
+    except (pa.ArrowException, OSError, ValueError, NotImplementedError):
+        return False
+    return True
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """Bytes written by a task, and the files it streamed: (name, unfinished name)."""

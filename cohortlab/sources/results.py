@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from cohortlab.functions.predicates import col
 from cohortlab.operators.running import RANGE_ROWS, running_sums
 from cohortlab.sources.json_ranges import CHUNK_BYTES, object_entries
-from cohortlab.sources.placed import write_placed
+from cohortlab.sources.placed import openable, write_placed
 from cohortlab.staging import small_table, stage
 
 ROWS_PER_ENTRY = 100_000
@@ -107,10 +107,13 @@ def read_results(spark: SparkSession, path: str, one_document: bool = False, chu
 
     Lines as written by `write_results`, or with `one_document` files that are
     a single JSON document over many lines, whose entries are read by many
-    tasks. Text that is not such JSON raises, and so do arrays of unequal
-    length.
+    tasks (by one per file in stores that only Spark can open). Text that is
+    not such JSON raises, and so do arrays of unequal length.
     """
-    documents = object_entries(spark, path, chunk_bytes) if one_document else spark.read.text(path).filter(F.trim("value") != "")
+    if one_document and openable(path):
+        documents = object_entries(spark, path, chunk_bytes)
+    else:
+        documents = spark.read.text(path, wholetext=one_document).filter(F.trim("value") != "")
     entries = F.from_json("value", f"map<string,struct<part:bigint,{_FIELDS}>>", {"mode": "FAILFAST"})
     parsed = documents.select(F.explode(entries).alias("finding", "d"))
     sizes = [F.size(F.col(f"d.{c}")) for c in ("study_id", "y_true", "y_score")]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlab.functions.predicates import col
 from cohortlab.operators.running import numbered
-from cohortlab.sources.placed import store_of
+from cohortlab.sources.placed import openable, store_of
 from cohortlab.staging import stage
 
 SUFFIX = ".nii.gz"
@@ -27,16 +27,14 @@ def file_inventory(spark: SparkSession, folder: str, suffix: str = SUFFIX, recur
     """
     from pyarrow import fs
 
-    try:
+    if openable(folder):
         store, root = store_of(folder)
-        there = store.get_file_info(root).type
-    except (pa.ArrowException, OSError, ValueError, NotImplementedError):
-        reader = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}")
-        found = reader.option("recursiveFileLookup", recursive).load(folder).select("path", "length")
-    else:
-        if there != fs.FileType.Directory:
+        if store.get_file_info(root).type != fs.FileType.Directory:
             raise FileNotFoundError(f"no such folder: {folder}")
         found = _listed(spark, folder, suffix, recursive)
+    else:
+        reader = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}")
+        found = reader.option("recursiveFileLookup", recursive).load(folder).select("path", "length")
     name = F.substring_index("path", "/", -1)
     return found.select(name.substr(F.lit(1), F.length(name) - len(suffix)).alias("id"), "path", "length")
 

@@ -157,3 +157,15 @@ def test_running_sums_equal_plain_ones(spark, range_rows):
         seen[g] = (s + v, n + 1)
     assert {r["g"]: (r["s"], r["n"]) for r in totals.collect()} == seen
     assert sorted(r.place for r in numbered(df, ["o"]).collect()) == list(range(1, len(rows) + 1))
+
+
+def test_stores_that_only_spark_opens(spark, tmp_path, scored, monkeypatch):
+    """Documents and inventories then come through Spark's own readers."""
+    from cohortlab.sources import volumes
+
+    assert placed.openable(str(tmp_path)) and placed.openable(f"file://{tmp_path}") and not placed.openable("viewfs://cluster/x")
+    (tmp_path / "a.json").write_text('{"f": ' + ENTRY + "}")
+    for module in (results, volumes):
+        monkeypatch.setattr(module, "openable", lambda path: False)
+    assert [r.finding for r in results.read_results(spark, str(tmp_path / "a.json"), one_document=True).collect()] == ["f"]
+    assert [r.id for r in volumes.file_inventory(spark, str(tmp_path), ".json").collect()] == ["a"]
