@@ -17,6 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortlab.llm.common import word_count
+from cohortlab.operators.running import running_sums
 from cohortlab.staging import stage
 
 MAX_REPEATS = 3
@@ -125,14 +126,33 @@ def position(start):
 
 
 def mix_documents(docs: DataFrame, schedule: Callable[[int], Knots] = cycle_ramps, repeats: float = MAX_REPEATS) -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes it, range-sorted by training position; columns unchanged."""
+    """The rows of `docs`, each as often as the mix takes it, range-sorted by training position; columns unchanged.
+
+    Rows equal in id, source and text may take different numbers of copies, where one of them is cut by the target: they are numbered
+    on both sides, so each gets its own. Any may be which, as they are alike.
+    """
     key = F.xxhash64("doc_id", "source", "text")
-    plan = plan_mix(docs, schedule, repeats, keys={"_rk": key})
-    one = plan.where("copies > 0").groupBy("_rk").agg(
-        F.max("copies").alias("copies"), F.min("position").alias("position"), F.first("source_size").alias("size"),
-        F.first("target").alias("target"))
-    out = docs.select(F.struct("*").alias("row"), key.alias("_rk")).join(one, "_rk").withColumn(
-        "copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
+    plan = plan_mix(docs, schedule, repeats, keys={"_rk": key}).select("_rk", "copies", "position", F.col("source_size").alias("size"), "target")
+    rows = docs.select(F.struct("*").alias("row"), key.alias("_rk"))
+    # Only rows that are repeated need numbers: others are the first of their key.
+    often = stage(rows.groupBy("_rk").agg(F.count("*").alias("n")).where("n > 1").select("_rk"))
+    if often.isEmpty():
+        narrow, numbered = _first(plan), _first(rows)
+    else:
+        narrow, numbered = _numbered(plan, often, "position", "copies"), _numbered(rows, often)
+    narrow = narrow.where("copies > 0")
+    out = numbered.join(narrow, ["_rk", "_no"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
     # Later passes over a source lie later by the share of its target that one pass takes.
     at = F.col("position") + F.col("copy") * F.least(F.lit(1.0), F.col("size") / F.col("target"))
     return out.orderBy(at, "_rk").select("row.*")
+
+
+def _first(df: DataFrame) -> DataFrame:
+    return df.withColumn("_no", F.lit(0).cast("bigint"))
+
+
+def _numbered(df: DataFrame, often: DataFrame, *order: str) -> DataFrame:
+    """`df` with the number of each row among those of its key, from 0; only keys in `often` have several rows."""
+    several = df.join(often, "_rk", "left_semi").withColumn("_m", F.monotonically_increasing_id())
+    placed, _ = running_sums(several, ["_rk"], [*order, "_m"], {"_no": F.lit(1).cast("bigint")})
+    return _first(df.join(often, "_rk", "left_anti")).unionByName(placed.drop("_m"))

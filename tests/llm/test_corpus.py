@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cohortlab.llm import lm_scores, mixing, pieces
@@ -57,6 +58,18 @@ def test_mixed_documents(docs, nothing):
     assert mixing.plan_mix(nothing).count() == 0 and mixing.mix_documents(nothing).count() == 0
 
 
+def test_copies_out_equal_copies_planned(spark):
+    """300 equal rows, of which the mix cuts the second pass somewhere in the middle."""
+    rows = [(7, "three words each", "a")] * 300 + [(8, "one", "b")] * 5 + [(i, f"w{i} " * (i % 9), "b" if i % 4 else "c") for i in range(100, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    plan = mixing.plan_mix(docs)
+    per_copy = {(r.copies, r.doc_id == 7) for r in plan.collect()}
+    assert len({c for c, alike in per_copy if alike}) == 2
+    planned = {r.source: r.n for r in plan.groupBy("source").agg(F.sum("copies").alias("n")).collect()}
+    out = Counter(r.source for r in mixing.mix_documents(docs).collect())
+    assert out == {k: v for k, v in planned.items() if v}
+
+
 def test_encoding_matches_the_reference_library(docs, texts, nothing):
     other = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     out = pieces.encode(docs)
