@@ -169,3 +169,26 @@ def test_pipeline_stages(spark, tmp_path):
     out = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert out.columns == [*columns, "n_tokens", "ids"] and out.count() == docs.count()
     assert "password=" not in " ".join(r.text for r in docs.select("text").collect())
+
+
+def test_pipeline_on_odd_rows(spark, docs, nothing, tmp_path):
+    """NULLs in any column, blanks, ties, repeated rows, a long text and clashing columns; and an empty table."""
+    columns = docs.columns
+    secret = spark.createDataFrame([(900, "our password = hunter22222 here", None, "a", 1, *["x"] * 5)], docs.schema)
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    for name, table in (("odd", docs.unionByName(secret)), ("none", nothing)):
+        folder = tmp_path / name
+        table.write.parquet(str(folder / "documents.parquet"))
+        labels.write.parquet(str(folder / "labels.parquet"))
+        out = corpus_pipeline.run(spark, str(folder))
+        assert out.columns == [*columns, "n_tokens", "ids"]
+        rows = out.collect()
+        if name == "none":
+            assert rows == []
+            continue
+        known = {(r.doc_id, r.lang, r.source) for r in table.collect()}
+        assert rows and {(r.doc_id, r.lang, r.source) for r in rows} <= known
+        # One of each group of near copies: 0 to 4 are one, 14 and 15 as well; equal rows are one.
+        taken = {r.doc_id for r in rows}
+        assert not taken & {1, 2, 3, 4, 15} and all(r.n_tokens == len(r.ids) for r in rows)
+        assert "hunter22222" not in " ".join(r.text or "" for r in rows)
