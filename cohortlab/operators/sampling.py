@@ -26,7 +26,7 @@ from cohortlab.constants import DEFAULT_SEED
 from cohortlab.functions.numeric import half_even
 from cohortlab.functions.predicates import col, definite
 from cohortlab.operators.least_rows import COUNT, ORDER, RANK, least_rows
-from cohortlab.staging import small_table, stage
+from cohortlab.staging import small_table
 
 # Most keys ranked by one task.
 RANK_ROWS = 1_000_000
@@ -300,9 +300,10 @@ def draw_at_once(
 
 
 def _settle(candidates: DataFrame, counts: DataFrame, allocation: DataFrame, strata: list[str], ids: list[str], strict: bool) -> DataFrame:
-    """The first k candidates of each order and stratum; raises as `draw` does."""
-    needs = small_table(allocation.filter(F.col("k") > 0).select(ORDER, *map(col, strata), "k"))[0]
-    placed = stage(candidates.join(needs, [ORDER, *strata]).filter(F.col(RANK) <= F.col("k") + 1))
+    """The first k candidates of each order and stratum; raises as `draw` does. `allocation` is a table checked to be small."""
+    # Candidates are staged and few, so they are read again rather than written again.
+    needs = allocation.filter(F.col("k") > 0).select(ORDER, *map(col, strata), "k")
+    placed = candidates.join(F.broadcast(needs), [ORDER, *strata]).filter(F.col(RANK) <= F.col("k") + 1)
     ends = placed.filter(F.col(RANK) >= F.col("k")).groupBy(ORDER, *map(col, strata)).agg(
         F.count("*").alias("_ends"), F.count_distinct(F.struct(*map(col, ids))).alias("_ids"))
     _complain(ends, None, "_ends > _ids", "a draw ends among copies of one id; name columns that make rows unique", strata)
@@ -445,12 +446,12 @@ def _subsamples_at_once(
     pool = df.select(col(id_col), col(label), col(stratum))
     room = [size + 100 for _, size, _ in specs]
     candidates, counts = least_rows(pool, [label, stratum], [id_col], [draw_key([id_col], seed) for _, _, seed in specs], room)
-    counts, _ = small_table(counts)
+    counts = small_table(counts)[0]
     named = F.broadcast(df.sparkSession.range(1).select(F.posexplode(spec).alias(ORDER, "x")).select(ORDER, "x._name", "x._size"))
     every = counts.select(col(label), col(stratum), F.col(COUNT).alias("n"), F.explode(F.array(*[F.lit(i) for i in range(len(specs))])).alias(ORDER))
     allocation = _ratio_allocation(every.join(named, ORDER), label, stratum).join(named.select(ORDER, "_name"), "_name")
-    allocation = small_table(allocation)[0]
-    if allocation.agg(F.max("k")).first()[0] is not None and not allocation.join(named.select(ORDER, "_size"), ORDER).filter("k >= _size + 100").isEmpty():
+    allocation, rows = small_table(allocation.select(ORDER, col(label), col(stratum), "k"))
+    if rows is None or any(k >= room[i] for i, k in zip(rows[ORDER].to_pylist(), rows["k"].to_pylist())):
         return ratio_subsamples(df, specs, label, stratum, id_col, strict, 0)
     taken = _settle(candidates, counts, allocation, [label, stratum], [id_col], strict)
     return taken.join(named, ORDER).select(F.concat("_name", F.lit("_"), col(label)).alias("split"), col(id_col).alias("id"))
