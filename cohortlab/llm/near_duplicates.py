@@ -6,6 +6,10 @@ order, those of the longest common prefixes whose signatures agree best, and the
 Where a region is dense the neighbours share long prefixes, where it is sparse short ones, so depth adapts by itself and no region
 is paired out. Candidates that the signature makes plausible are confirmed on full sets; components give the groups.
 
+A class whose region in some order is larger than what is looked at there, or that had more plausible neighbours than are taken, is
+open. Open classes are completed exactly: two sets that are alike enough share one of the rarest shingles of both, so open classes
+meet at their rarest shingles, by hash, in chunks, and only where a shingle joins different groups; no partner is capped.
+
 Defined cases: NULL, empty and wordless texts have an empty set, link with nothing and are kept; texts with fewer words than a
 shingle are one shingle; a missing id counts as the largest and is shown as NULL (such rows lead a group only among themselves);
 repeated rows fall into one class; an empty table gives an empty result; other columns are ignored or, in `keep_one`, kept.
@@ -30,6 +34,10 @@ SKETCH, SLACK = TREES * DEPTH, 0.2
 # Neighbours looked at on either side, those taken in one tree, and the prefix they must share.
 REACH, TAKEN, LEAST_PREFIX = 32, 4, 2
 LEADER_DEPTHS = (2, 3, 4, 6, 8)
+# Counters that tell rare shingles from common ones: a fixed 8 MB, whatever the input. Any order of shingles is exact; a good one is fast.
+COUNTERS = 2**20
+# Open classes at one shingle are compared in chunks of about this many.
+CHUNK = 256
 _A = mix(np.arange(1000, 1000 + TREES * DEPTH, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(5000, 5000 + TREES * DEPTH, dtype=np.uint64))
 
@@ -87,10 +95,12 @@ def _trees(batches):
 
 
 def _candidates(least: float):
-    """Pairs of a sorted stretch: the most alike among neighbours by prefix, and first documents of regions."""
+    """Pairs of a sorted stretch: the most alike among neighbours by prefix, and first documents of regions. A class paired with itself is open."""
     def run(batches):
-        tail = None
+        tail, head, last = None, None, None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             now = [batch.column("cls").to_numpy(), batch.column("doc").to_numpy(),
                    np.concatenate((batch.column("tree").to_numpy().astype(">u4")[:, None],
                                    np.frombuffer(b"".join(batch.column("label").to_pylist()), ">u4").reshape(-1, DEPTH)), 1),
@@ -108,6 +118,14 @@ def _candidates(least: float):
                 return i[good], j[good], share[good]
 
             run_of = {d: np.concatenate(([0], np.cumsum((label[1:, : d + 1] != label[:-1, : d + 1]).any(1)))) for d in LEADER_DEPTHS} if n else {}
+            # Open: rows with a row of their region out of reach, and those of the regions at either end of this task's rows.
+            region = run_of[LEAST_PREFIX]
+            far = np.flatnonzero(region[REACH + 1:] == region[:-REACH - 1])
+            open_ = [far, far + REACH + 1]
+            if head is None:
+                head = label[0, : LEAST_PREFIX + 1].copy()
+            open_.append(np.flatnonzero((label[:, : LEAST_PREFIX + 1] == head).all(1)))
+            last = cls[max(0, n - 2 * REACH):][region[max(0, n - 2 * REACH):] == region[-1]]
             near = []
             for step in range(1, min(REACH, n - 1) + 1):
                 i = np.flatnonzero(run_of[LEAST_PREFIX][step:] == run_of[LEAST_PREFIX][:-step])
@@ -123,6 +141,7 @@ def _candidates(least: float):
                 start = np.flatnonzero(np.concatenate(([True], one[1:] != one[:-1]))) if len(one) else one
                 place_ = np.arange(len(one)) - np.repeat(start, np.diff(np.concatenate((start, [len(one)]))))
                 pairs.append(np.stack((one, other), 1)[place_ < TAKEN])
+                open_.append(one[place_ >= TAKEN])
             for runs in run_of.values():
                 order = np.lexsort((doc, runs))
                 first = order[np.concatenate(([True], runs[order][1:] != runs[order][:-1]))][runs]
@@ -130,7 +149,86 @@ def _candidates(least: float):
                 pairs.append(np.stack(alike(i, first[i])[:2], 1))
             pairs = cls[np.concatenate(pairs)]
             pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            yield _pair_rows(np.concatenate((pairs, np.repeat(np.unique(cls[np.concatenate(open_)])[:, None], 2, 1))))
+        if last is not None:
+            yield _pair_rows(np.repeat(last[:, None], 2, 1))
+    return run
+
+
+def _pair_rows(pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _elements(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of the full sets of a batch, and (row number, shingle) of all of their elements."""
+    full = batch.column("full").to_pylist()
+    n = np.array([len(x) // 8 for x in full], np.int64)
+    return n, np.repeat(np.arange(len(n)), n), np.frombuffer(b"".join(full), "<u8")
+
+
+def _counted(batches):
+    """Counters of the shingles of a task's sets."""
+    counts = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        np.add.at(counts, (_elements(batch)[2] % np.uint64(COUNTERS)).astype(np.int64), 1)
+    at = np.flatnonzero(counts)
+    for i in range(0, len(at), 65536):
+        yield pa.RecordBatch.from_arrays([pa.array(at[i: i + 65536]), pa.array(counts[at[i: i + 65536]])], names=["at", "n"])
+
+
+def _rarest(shared, percent: int):
+    """(shingle, class, group, size, place) of the rarest shingles of a set, so many that any set alike enough has one of them too."""
+    def run(batches):
+        for batch in batches:
+            n, row, h = _elements(batch)
+            order = np.lexsort((h, shared.value[(h % np.uint64(COUNTERS)).astype(np.int64)], row))
+            row, h = row[order], h[order]
+            at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            first = at <= (n - -(-percent * n // 100))[row]
+            row = row[first]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[first].view(np.int64)), batch.column("cls").take(pa.array(row)), batch.column("root").take(pa.array(row)),
+                 pa.array(n[row].astype(np.int32)), pa.array(at[first].astype(np.int32))], names=["h", "cls", "root", "n", "at"])
+    return run
+
+
+def _meet(percent: int):
+    """Pairs of different groups among the entries of each (shingle, chunk, chunk), as sizes and places allow; entries come sorted."""
+    def pairs(batch: pa.RecordBatch) -> pa.RecordBatch:
+        h, lo, hi, own, cls, root, n, at = (batch.column(c).to_numpy() for c in ("h", "lo", "hi", "own", "cls", "root", "n", "at"))
+        fresh = (h[1:] != h[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        group = np.concatenate(([0], np.cumsum(fresh)))
+        out = []
+        for step in range(1, len(h)):
+            i = np.flatnonzero(group[step:] == group[:-step])
+            if not len(i):
+                break
+            j = i + step
+            i, j = (x[(root[i] != root[j]) & ((lo[i] == hi[i]) | (own[i] != own[j]))] for x in (i, j))
+            most = np.minimum(n[i] - at[i], n[j] - at[j])
+            good = most * (100 + percent) >= percent * (n[i] + n[j])
+            out.append(np.stack((i[good], j[good]), 1))
+        both = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        swap = cls[both[:, 0]] > cls[both[:, 1]]
+        both[swap] = both[swap][:, ::-1]
+        both = np.unique(np.concatenate((cls[both], root[both]), 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, c]) for c in range(4)], names=["a", "b", "ra", "rb"])
+
+    def run(batches):
+        tail = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if tail is not None:
+                batch = pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
+            key = [batch.column(c).to_numpy() for c in ("h", "lo", "hi")]
+            # The last group may go on in the next batch.
+            cut = batch.num_rows - int(np.argmin(np.append(np.all([k[::-1] == k[-1] for k in key], axis=0), False)))
+            tail = batch.slice(cut)
+            if cut:
+                yield pairs(batch.slice(0, cut))
+        if tail is not None:
+            yield pairs(tail)
     return run
 
 
@@ -161,6 +259,32 @@ def _confirm(percent: int):
     return run
 
 
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are alike enough."""
+    return pairs.join(sets.select(F.col("cls").alias("a"), F.col("full").alias("x")), "a").join(
+        sets.select(F.col("cls").alias("b"), F.col("full").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(
+        _confirm(percent), "a long, b long")
+
+
+def _completed(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of the groups that further links join: all links between open classes (cls, root, full) of different groups."""
+    spark = opened.sparkSession
+    opened = stage(opened)
+    counts = opened.select("full").mapInArrow(_counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(COUNTERS, np.int64)
+    table[counts["at"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    entries = stage(opened.mapInArrow(_rarest(spark.sparkContext.broadcast(table), percent), "h long, cls long, root long, n int, at int"))
+    mixed = entries.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows")).where(
+        "low != high").select("h", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks"))
+    own = entries.join(mixed, "h").withColumn("own", F.pmod(F.xxhash64("cls"), "chunks").cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+        "h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cls", "root", "n", "at")
+    pairs = stage(met.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi").mapInArrow(
+        _meet(percent), "a long, b long, ra long, rb long").distinct())
+    links = _linked(pairs.select("a", "b"), sets, percent).join(pairs, ["a", "b"])
+    return components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+
+
 def groups(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, rk, n_shingles, component) of every row; ids as in `keyed`."""
     rows = keyed(docs, id_col, text_col)
@@ -170,20 +294,19 @@ def groups(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY, id
     classes = stage(signed.where("n > 0").groupBy("cls").agg(
         F.min(F.struct("doc", "rk")).alias("first"), F.any_value("sig").alias("sig")).select("cls", "first.*", "sig"))
     forest = classes.select("cls", "doc", "sig").mapInArrow(_trees, "tree int, label binary, cls long, doc long, sketch binary")
-    pairs = stage(forest.repartitionByRange("tree", "label", "doc").sortWithinPartitions("tree", "label", "doc").mapInArrow(
+    found = stage(forest.repartitionByRange("tree", "label", "doc").sortWithinPartitions("tree", "label", "doc").mapInArrow(
         _candidates(similarity - SLACK), "a long, b long").distinct())
-    wanted = classes.select("cls", "rk").join(
-        pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls")
-    wanted = stage(wanted)
+    pairs, open_ = found.where("a != b"), found.where("a = b").select(F.col("a").alias("cls"))
+    wanted = stage(classes.select("cls", "rk").join(found.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls"))
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "rk"))
     sets = stage(rows.select("rk", "text", place("rk").alias("place")).mapInArrow(_sets(bits, k), "rk long, full binary")
                  .join(wanted, "rk").groupBy("cls").agg(F.any_value("full").alias("full")))
-    links = pairs.join(sets.select(F.col("cls").alias("a"), F.col("full").alias("x")), "a").join(
-        sets.select(F.col("cls").alias("b"), F.col("full").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(
-        _confirm(percent), "a long, b long")
-    roots = components(links)
+    roots = stage(components(_linked(pairs, sets, percent)))
+    rest = _completed(sets.join(open_, "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
+        "cls", F.coalesce("root", "cls").alias("root"), "full"), sets, percent)
     named = classes.select("cls", "doc").join(roots, classes.cls == roots.node, "left").select(
-        "cls", "doc", F.coalesce("root", "cls").alias("root"))
+        "cls", "doc", F.coalesce("root", "cls").alias("node"))
+    named = named.join(rest, "node", "left").select("cls", "doc", F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy("root").agg(F.min("doc").alias("component"))
     named = named.join(smallest, "root").select("cls", "component")
     return signed.select("doc", "rk", "n", "cls").join(named, "cls", "left").select(

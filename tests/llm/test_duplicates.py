@@ -51,6 +51,41 @@ def test_near_duplicates(docs, texts, k):
     assert got == want
 
 
+def family(n: int) -> list[str]:
+    """Variants of one text that few others resemble enough, so that groups hang on single links."""
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(100)]
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for at in rng.integers(0, 100, rng.integers(2, 10)):
+            words[at] = f"v{rng.integers(0, 60)}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("partitions", [2, 50])
+def test_dense_family_loses_no_link(spark, partitions):
+    members = family(3_000)
+    sets = [shingle_set(t, 2) for t in members]
+    number_of = {s: i for i, s in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((len(sets), len(number_of)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [number_of[x] for x in s]] = 1
+    both, size = has @ has.T, has.sum(1)
+    near = 100 * both >= 80 * (size[:, None] + size[None] - both)
+    root = roots([(int(i), int(j)) for i, j in zip(*np.nonzero(near)) if i < j], range(len(sets)))
+    assert 100 < len(set(root.values())) < 2_900
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = {r.doc_id: r.component_id for r in near_duplicates.report(
+            spark.createDataFrame(list(enumerate(members)), "doc_id long, text string"), 2).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == root
+
+
 def test_keep_one_keeps_rows_and_columns(docs, texts):
     kept = near_duplicates.keep_one(docs)
     assert kept.columns == docs.columns
