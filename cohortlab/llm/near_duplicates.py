@@ -34,7 +34,7 @@ SKETCH, SLACK = TREES * DEPTH, 0.2
 # Neighbours looked at on either side, those taken in one tree, and the prefix they must share.
 REACH, TAKEN, LEAST_PREFIX = 32, 4, 2
 LEADER_DEPTHS = (2, 3, 4, 6, 8)
-# Counters that tell rare shingles from common ones: a fixed 8 MB, whatever the input. Any order of shingles is exact; a good one is fast.
+# Counters that tell rare shingles from common ones: a fixed 4 MB, whatever the input. Any order of shingles is exact; a good one is fast.
 COUNTERS = 2**20
 # Open classes at one shingle are compared in chunks of about this many.
 CHUNK = 256
@@ -270,9 +270,11 @@ def _completed(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, root) of the groups that further links join: all links between open classes (cls, root, full) of different groups."""
     spark = opened.sparkSession
     opened = stage(opened)
-    counts = opened.select("full").mapInArrow(_counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(COUNTERS, np.int64)
-    table[counts["at"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    counts = opened.select("full").mapInArrow(_counted, "at long, n long").groupBy(F.col("at").cast("int").alias("at")).agg(
+        F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+    table = np.zeros(COUNTERS, np.int32)
+    table[counts["at"].to_numpy()] = counts["n"].to_numpy()
+    del counts
     entries = stage(opened.mapInArrow(_rarest(spark.sparkContext.broadcast(table), percent), "h long, cls long, root long, n int, at int"))
     mixed = entries.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows")).where(
         "low != high").select("h", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks"))
