@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlab.llm.common import keyed, shown_id
-from cohortlab.llm.graph import among, bitmap, components, place
+from cohortlab.llm.graph import BITMAP_BITS, among, bitmap, components, place
 from cohortlab.llm.textscan import CODES, Block, Words, blocks, mix
 from cohortlab.staging import stage
 
@@ -176,8 +176,11 @@ def _counted(batches):
         yield pa.RecordBatch.from_arrays([pa.array(at[i: i + 65536]), pa.array(counts[at[i: i + 65536]])], names=["at", "n"])
 
 
-def _rarest(shared, percent: int):
-    """(shingle, class, group, size, place) of the rarest shingles of a set, so many that any set alike enough has one of them too."""
+def _rarest(shared, percent: int, bits=None):
+    """(shingle, class, group, size, place) of the rarest shingles of a set, so many that any set alike enough has one of them too.
+
+    With `bits` only shingles in the bitmap are given.
+    """
     def run(batches):
         for batch in batches:
             n, row, h = _elements(batch)
@@ -185,6 +188,8 @@ def _rarest(shared, percent: int):
             row, h = row[order], h[order]
             at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
             first = at <= (n - -(-percent * n // 100))[row]
+            if bits is not None:
+                first[first] = among(bits.value, (h[first] % np.uint64(BITMAP_BITS)).astype(np.int64))
             row = row[first]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h[first].view(np.int64)), batch.column("cls").take(pa.array(row)), batch.column("root").take(pa.array(row)),
@@ -275,7 +280,16 @@ def _completed(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     table = np.zeros(COUNTERS, np.int32)
     table[counts["at"].to_numpy()] = counts["n"].to_numpy()
     del counts
-    entries = stage(opened.mapInArrow(_rarest(spark.sparkContext.broadcast(table), percent), "h long, cls long, root long, n int, at int"))
+    shared = spark.sparkContext.broadcast(table)
+    kinds = "h long, cls long, root long, n int, at int"
+    # Shingles of one group only need no comparison. Those of several are marked in a bitmap of fixed size, so only their entries travel.
+    words = opened.mapInArrow(_rarest(shared, percent), kinds).groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
+        "low != high").select(F.pmod("h", F.lit(BITMAP_BITS)).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("p") % 64).cast("int"))).alias("bits")).toArrow()
+    bits = np.zeros(BITMAP_BITS // 64, np.int64)
+    bits[words["w"].to_numpy()] = words["bits"].to_numpy()
+    del words
+    entries = stage(opened.mapInArrow(_rarest(shared, percent, spark.sparkContext.broadcast(bits)), kinds))
     mixed = entries.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows")).where(
         "low != high").select("h", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks"))
     own = entries.join(mixed, "h").withColumn("own", F.pmod(F.xxhash64("cls"), "chunks").cast("int"))
