@@ -290,10 +290,15 @@ def _completed(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     bits[words["w"].to_numpy()] = words["bits"].to_numpy()
     del words
     entries = stage(opened.mapInArrow(_rarest(shared, percent, spark.sparkContext.broadcast(bits)), kinds))
-    mixed = entries.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows")).where(
-        "low != high").select("h", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks"))
-    own = entries.join(mixed, "h").withColumn("own", F.pmod(F.xxhash64("cls"), "chunks").cast("int"))
-    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+    # The largest group at a shingle is not compared with itself: chunks of it (from 0 on) meet chunks of the rest, which meet each other too.
+    sizes = entries.groupBy("h", "root").agg(F.count("*").alias("rows")).groupBy("h").agg(
+        F.max(F.struct("rows", "root")).alias("top"), F.sum("rows").alias("rows"), F.count("*").alias("roots")).where("roots > 1")
+    sizes = sizes.select("h", F.col("top.root").alias("top"), F.ceil(F.col("top.rows") / CHUNK).cast("int").alias("main"),
+                         F.ceil((F.col("rows") - F.col("top.rows")) / CHUNK).cast("int").alias("rest"))
+    at_top = F.col("root") == F.col("top")
+    own = entries.join(sizes, "h").withColumn("own", F.when(at_top, F.pmod(F.xxhash64("cls"), "main")).otherwise(
+        F.col("main") + F.pmod(F.xxhash64("cls"), "rest")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.when(at_top, F.col("main")).otherwise(F.lit(0)), F.col("main") + F.col("rest") - 1))).select(
         "h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cls", "root", "n", "at")
     pairs = stage(met.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi").mapInArrow(
         _meet(percent), "a long, b long, ra long, rb long").distinct())
