@@ -6,9 +6,11 @@ order, those of the longest common prefixes whose signatures agree best, and the
 Where a region is dense the neighbours share long prefixes, where it is sparse short ones, so depth adapts by itself and no region
 is paired out. Candidates that the signature makes plausible are confirmed on full sets; components give the groups.
 
-A class whose region in some order is larger than what is looked at there, or that had more plausible neighbours than are taken, is
-open. Open classes are completed exactly: two sets that are alike enough share one of the rarest shingles of both, so open classes
-meet at their rarest shingles, by hash, in chunks, and only where a shingle joins different groups; no partner is capped.
+Where a class's region is larger than what is looked at, only a longer prefix is sure to be found in that order. A class for which
+this raises the chance of missing a link to more than twice that of full regions, or that had more plausible neighbours than are
+taken, is open. Open classes are completed exactly: two sets that are alike enough share one of the rarest shingles of both, so open
+classes meet at their rarest shingles, by hash, in chunks, and only where a shingle joins different groups; no partner is capped. A
+bound on what two sets can share, from counts of their shingles in bins, spares most of the pairs the comparison of full sets.
 
 Defined cases: NULL, empty and wordless texts have an empty set, link with nothing and are kept; texts with fewer words than a
 shingle are one shingle; a missing id counts as the largest and is shown as NULL (such rows lead a group only among themselves);
@@ -34,6 +36,12 @@ SKETCH, SLACK = TREES * DEPTH, 0.2
 # Neighbours looked at on either side, those taken in one tree, and the prefix they must share.
 REACH, TAKEN, LEAST_PREFIX = 32, 4, 2
 LEADER_DEPTHS = (2, 3, 4, 6, 8)
+# How often the chance of missing a link may be that of a forest whose regions are all looked at: below 10^-5 at similarity 0.8.
+MISSED = 2.0
+# In place of a depth: nothing of a region is sure to be seen; the class is open whatever its other trees say.
+UNSEEN, OPEN = DEPTH + 1, DEPTH + 2
+# Bins in which the shingles of a set are counted for the bound on what two sets share.
+BINS = 256
 # Counters that tell rare shingles from common ones: a fixed 4 MB, whatever the input. Any order of shingles is exact; a good one is fast.
 COUNTERS = 2**20
 # Open classes at one shingle are compared in chunks of about this many.
@@ -58,22 +66,31 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[fresh], h[fresh]
 
 
+def _named(doc: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of the sets of a batch, and two hashes of each: what a class is named by."""
+    n = np.bincount(doc, minlength=rows)
+    full = np.flatnonzero(n)
+    one, two = np.zeros((2, rows), np.uint64)
+    if len(full):
+        start = (np.cumsum(n) - n)[full]
+        one[full], two[full] = np.add.reduceat(mix(h), start), np.bitwise_xor.reduceat(h, start)
+    return n, one.view(np.int64), two.view(np.int64)
+
+
 def _signatures(k: int):
     def run(batches):
         for batch in blocks(batches):
             doc, h = shingles(Block(batch.column("text")).words(lower=True), k)
-            n = np.bincount(doc, minlength=batch.num_rows)
+            n, one, two = _named(doc, h, batch.num_rows)
             full = np.flatnonzero(n)
             start = (np.cumsum(n) - n)[full]
-            one, two = np.zeros((2, batch.num_rows), np.uint64)
             sig = np.zeros((batch.num_rows, TREES * DEPTH), ">u4")
             if len(full):
-                one[full], two[full] = np.add.reduceat(mix(h), start), np.bitwise_xor.reduceat(h, start)
                 for j in range(TREES * DEPTH):
                     sig[full, j] = np.minimum.reduceat((h * _A[j] + _B[j]) >> np.uint64(32), start)
             raw = sig.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("rk"), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
+                [batch.column("doc"), batch.column("rk"), pa.array(n), pa.array(one), pa.array(two),
                  pa.array([raw[i: i + 4 * TREES * DEPTH] for i in range(0, len(raw), 4 * TREES * DEPTH)], pa.binary())],
                 names=["doc", "rk", "n", "one", "two", "sig"])
     return run
@@ -95,7 +112,10 @@ def _trees(batches):
 
 
 def _candidates(least: float):
-    """Pairs of a sorted stretch: the most alike among neighbours by prefix, and first documents of regions. A class paired with itself is open."""
+    """Pairs of a sorted stretch: the most alike among neighbours by prefix, and first documents of regions.
+
+    A class paired with itself tells from what depth on its region in a tree was looked at, where that is not the least.
+    """
     def run(batches):
         tail, head, last = None, None, None
         for batch in batches:
@@ -118,14 +138,18 @@ def _candidates(least: float):
                 return i[good], j[good], share[good]
 
             run_of = {d: np.concatenate(([0], np.cumsum((label[1:, : d + 1] != label[:-1, : d + 1]).any(1)))) for d in LEADER_DEPTHS} if n else {}
-            # Open: rows with a row of their region out of reach, and those of the regions at either end of this task's rows.
-            region = run_of[LEAST_PREFIX]
-            far = np.flatnonzero(region[REACH + 1:] == region[:-REACH - 1])
-            open_ = [far, far + REACH + 1]
+            # Not seen at a depth: rows with a row of their region out of reach, and those of the regions at either end of this task's rows.
+            seen = np.full(n, LEAST_PREFIX, np.int32)
+            end = max(0, n - 2 * REACH)
+            last = cls[end:], label[end:, 0].astype(np.int32), np.full(n - end, LEAST_PREFIX, np.int32)
             if head is None:
-                head = label[0, : LEAST_PREFIX + 1].copy()
-            open_.append(np.flatnonzero((label[:, : LEAST_PREFIX + 1] == head).all(1)))
-            last = cls[max(0, n - 2 * REACH):][region[max(0, n - 2 * REACH):] == region[-1]]
+                head = label[0].copy()
+            for d, deeper in zip(LEADER_DEPTHS, (*LEADER_DEPTHS[1:], UNSEEN)):
+                region = run_of[d]
+                far = np.flatnonzero(region[REACH + 1:] == region[:-REACH - 1])
+                for at in (far, far + REACH + 1, np.flatnonzero((label[:, : d + 1] == head[: d + 1]).all(1))):
+                    seen[at] = deeper
+                last[2][region[end:] == region[-1]] = deeper
             near = []
             for step in range(1, min(REACH, n - 1) + 1):
                 i = np.flatnonzero(run_of[LEAST_PREFIX][step:] == run_of[LEAST_PREFIX][:-step])
@@ -141,7 +165,7 @@ def _candidates(least: float):
                 start = np.flatnonzero(np.concatenate(([True], one[1:] != one[:-1]))) if len(one) else one
                 place_ = np.arange(len(one)) - np.repeat(start, np.diff(np.concatenate((start, [len(one)]))))
                 pairs.append(np.stack((one, other), 1)[place_ < TAKEN])
-                open_.append(one[place_ >= TAKEN])
+                seen[one[place_ >= TAKEN]] = OPEN
             for runs in run_of.values():
                 order = np.lexsort((doc, runs))
                 first = order[np.concatenate(([True], runs[order][1:] != runs[order][:-1]))][runs]
@@ -149,14 +173,28 @@ def _candidates(least: float):
                 pairs.append(np.stack(alike(i, first[i])[:2], 1))
             pairs = cls[np.concatenate(pairs)]
             pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
-            yield _pair_rows(np.concatenate((pairs, np.repeat(np.unique(cls[np.concatenate(open_)])[:, None], 2, 1))))
+            yield _found(pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int32), np.zeros(len(pairs), np.int32))
+            yield _unseen(cls, label[:, 0].astype(np.int32), seen)
         if last is not None:
-            yield _pair_rows(np.repeat(last[:, None], 2, 1))
+            yield _unseen(*last)
     return run
 
 
-def _pair_rows(pairs: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+def _found(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "tree", "depth"])
+
+
+def _unseen(cls: np.ndarray, tree: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(seen > LEAST_PREFIX)
+    return _found(cls[at], cls[at], tree[at], seen[at])
+
+
+def _open(found: DataFrame, similarity: float) -> DataFrame:
+    """(cls) of the classes of which more links may be missed than MISSED allows, by the depths seen in each tree."""
+    least = 1 - similarity ** LEAST_PREFIX
+    missed = F.when(F.col("depth") == UNSEEN, F.lit(1.0)).otherwise(1 - F.pow(F.lit(similarity), F.col("depth"))) / least
+    return found.where("a = b").groupBy(F.col("a").alias("cls")).agg(F.max("depth").alias("depth"), F.sum(F.log(missed)).alias("missed")).where(
+        (F.col("depth") == OPEN) | (F.col("missed") > float(np.log(MISSED)))).select("cls")
 
 
 def _elements(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,16 +275,50 @@ def _meet(percent: int):
     return run
 
 
-def _sets(shared, k: int):
-    """Full shingle sets of the rows whose key is in the bitmap."""
+def _sets(paired, opened, k: int):
+    """Full shingle sets of the rows whose key is in one of the bitmaps, with what names their class."""
     def run(batches):
         for batch in blocks(batches):
-            batch = batch.filter(pa.array(among(shared.value, batch.column("place").to_numpy())))
+            at = batch.column("place").to_numpy()
+            in_pair, in_open = among(paired.value, at), among(opened.value, at)
+            kept = in_pair | in_open
+            batch = batch.filter(pa.array(kept))
             if batch.num_rows:
                 doc, h = shingles(Block(batch.column("text")).words(lower=True), k)
+                n, one, two = _named(doc, h, batch.num_rows)
                 offsets = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=batch.num_rows)))).astype(np.int32) * 8
                 data = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(h.astype("<u8"))])
-                yield pa.RecordBatch.from_arrays([batch.column("rk"), data], names=["rk", "full"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(n), pa.array(one), pa.array(two), pa.array(in_pair[kept]), pa.array(in_open[kept]), data],
+                    names=["n", "one", "two", "paired", "opened", "full"])
+    return run
+
+
+def _binned(batches):
+    """Sizes of sets, and how many of their shingles fall into each bin; no counts where one does not fit a byte."""
+    for batch in batches:
+        n, row, h = _elements(batch)
+        bins = np.bincount(row * BINS + (h % np.uint64(BINS)).astype(np.int64), minlength=len(n) * BINS).reshape(len(n), BINS)
+        fits = bins.max(1, initial=0) < 256
+        raw = bins.astype(np.uint8)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("cls"), pa.array(n), pa.array([x.tobytes() if good else b"" for x, good in zip(raw, fits)], pa.binary())],
+            names=["cls", "n", "bins"])
+
+
+def _bounded(percent: int):
+    """The pairs that may be alike enough: two sets share at most the lesser count of each bin."""
+    def run(batches):
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+            keep = np.ones(batch.num_rows, bool)
+            x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
+            known = np.array([i for i in range(len(x)) if x[i] and y[i]], np.int64)
+            if len(known):
+                x, y = (np.frombuffer(b"".join(z[i] for i in known), np.uint8).reshape(-1, BINS) for z in (x, y))
+                most = np.minimum(x, y).sum(1, dtype=np.int64)
+                keep[known] = most * (100 + percent) >= percent * (n[known] + m[known])
+            yield batch.select(["a", "b", "ra", "rb"]).filter(pa.array(keep))
     return run
 
 
@@ -271,7 +343,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         _confirm(percent), "a long, b long")
 
 
-def _completed(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _single(sets: DataFrame) -> DataFrame:
+    """One set of each class: rows that are repeated have theirs more than once."""
+    return sets.groupBy("cls").agg(F.any_value("full").alias("full"))
+
+
+def _completed(opened: DataFrame, percent: int) -> DataFrame:
     """(node, root) of the groups that further links join: all links between open classes (cls, root, full) of different groups."""
     spark = opened.sparkSession
     opened = stage(opened)
@@ -302,7 +379,12 @@ def _completed(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         "h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cls", "root", "n", "at")
     pairs = stage(met.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi").mapInArrow(
         _meet(percent), "a long, b long, ra long, rb long").distinct())
-    links = _linked(pairs.select("a", "b"), sets, percent).join(pairs, ["a", "b"])
+    bins = opened.select("cls", "full").mapInArrow(_binned, "cls long, n long, bins binary")
+    likely = stage(pairs.join(bins.select(F.col("cls").alias("a"), "n", F.col("bins").alias("x")), "a").join(
+        bins.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("bins").alias("y")), "b").select(
+        "a", "b", "ra", "rb", "n", "m", "x", "y").mapInArrow(_bounded(percent), "a long, b long, ra long, rb long"))
+    met = stage(likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+    links = _linked(likely.select("a", "b"), opened.join(met, "cls", "left_semi"), percent).join(likely, ["a", "b"])
     return components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
 
 
@@ -316,15 +398,18 @@ def groups(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY, id
         F.min(F.struct("doc", "rk")).alias("first"), F.any_value("sig").alias("sig")).select("cls", "first.*", "sig"))
     forest = classes.select("cls", "doc", "sig").mapInArrow(_trees, "tree int, label binary, cls long, doc long, sketch binary")
     found = stage(forest.repartitionByRange("tree", "label", "doc").sortWithinPartitions("tree", "label", "doc").mapInArrow(
-        _candidates(similarity - SLACK), "a long, b long").distinct())
-    pairs, open_ = found.where("a != b"), found.where("a = b").select(F.col("a").alias("cls"))
-    wanted = stage(classes.select("cls", "rk").join(found.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls"))
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "rk"))
-    sets = stage(rows.select("rk", "text", place("rk").alias("place")).mapInArrow(_sets(bits, k), "rk long, full binary")
-                 .join(wanted, "rk").groupBy("cls").agg(F.any_value("full").alias("full")))
-    roots = stage(components(_linked(pairs, sets, percent)))
-    rest = _completed(sets.join(open_, "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "cls", F.coalesce("root", "cls").alias("root"), "full"), sets, percent)
+        _candidates(similarity - SLACK), "a long, b long, tree int, depth int").groupBy("a", "b", "tree").agg(F.max("depth").alias("depth")))
+    pairs, open_ = found.where("a != b").select("a", "b"), stage(_open(found, similarity))
+    keys = classes.select("cls", "rk")
+    paired = keys.join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls")
+    bits = [docs.sparkSession.sparkContext.broadcast(bitmap(x, "rk")) for x in (paired, keys.join(open_, "cls"))]
+    # Sets are written where they are made; a key that is not wanted may slip through a bitmap, which does no harm.
+    sets = stage(rows.select("rk", "text", place("rk").alias("place")).mapInArrow(
+        _sets(*bits, k), "n long, one long, two long, paired boolean, opened boolean, full binary").select(
+        F.xxhash64("n", "one", "two").alias("cls"), "paired", "opened", "full"))
+    roots = stage(components(_linked(pairs, _single(sets.where("paired")), percent)))
+    rest = _completed(_single(sets.where("opened")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
+        "cls", F.coalesce("root", "cls").alias("root"), "full"), percent)
     named = classes.select("cls", "doc").join(roots, classes.cls == roots.node, "left").select(
         "cls", "doc", F.coalesce("root", "cls").alias("node"))
     named = named.join(rest, "node", "left").select("cls", "doc", F.coalesce("root", "node").alias("root"))

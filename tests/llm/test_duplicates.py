@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cohortlab.llm import embeddings, exchange, graph, near_duplicates, substrings, suffixes
@@ -86,6 +87,47 @@ def test_dense_family_loses_no_link(spark, partitions):
     assert got == root
 
 
+def test_a_large_region_in_few_trees_opens_no_class(spark):
+    """What one or two trees leave unseen at two values is made up by the others; more, or neighbours left out, open a class."""
+    near = near_duplicates
+    rng = np.random.default_rng(3)
+    n = 3 * near.REACH
+    sig = rng.integers(0, 2**32, (n, near.TREES, near.DEPTH), dtype=np.uint64).astype(">u4")
+    sketch = [x.tobytes() for x in rng.integers(0, 256, (n, near.SKETCH)).astype(np.uint8)]
+    for crowded, all_open in ((1, False), (2, False), (3, True)):
+        sig[:, :crowded, :2] = 5
+        labels = [sorted((sig[i, t].tobytes(), i) for i in range(n)) for t in range(near.TREES)]
+        batches = [pa.RecordBatch.from_arrays(
+            [pa.array([t] * n, pa.int32()), pa.array([x for x, _ in rows], pa.binary()), pa.array([i for _, i in rows]),
+             pa.array([i for _, i in rows]), pa.array([sketch[i] for _, i in rows], pa.binary())],
+            names=["tree", "label", "cls", "doc", "sketch"]) for t, rows in enumerate(labels)]
+        found = pa.Table.from_batches(near._candidates(0.6)(iter(batches))).to_pandas().groupby(["a", "b", "tree"], as_index=False).max()
+        opened = {r.cls for r in near._open(spark.createDataFrame(found), 0.8).collect()}
+        # Some classes lie at the ends of the sorted rows or within reach of all of a region.
+        assert len(opened) > n / 3 if all_open else len(opened) <= 2
+
+
+def test_bound_on_shared_shingles_spares_no_link():
+    rng = np.random.default_rng(4)
+    sets = []
+    for size in (1, 3, 40, 400, 90_000):
+        base = rng.integers(0, 2**64, size, dtype=np.uint64)
+        for change in (0, 0.05, 0.1, 0.15, 0.5, 1):
+            sets.append(np.unique(np.where(rng.random(size) < change, rng.integers(0, 2**64, size, dtype=np.uint64), base)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets))), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "full"])
+    cls, n, bins = next(near_duplicates._binned([batch])).columns
+    assert not bins[len(sets) - 1].as_py() and bins[0].as_py()
+    a, b = (np.array(x) for x in zip(*[(i, j) for i in range(len(sets)) for j in range(i)]))
+    pairs = pa.RecordBatch.from_arrays(
+        [pa.array(a), pa.array(b), pa.array(a), pa.array(b), n.take(pa.array(a)), n.take(pa.array(b)), bins.take(pa.array(a)), bins.take(pa.array(b))],
+        names=["a", "b", "ra", "rb", "n", "m", "x", "y"])
+    kept = next(near_duplicates._bounded(80)([pairs]))
+    kept = set(zip(kept.column("a").to_pylist(), kept.column("b").to_pylist()))
+    links = {(i, j) for i, j in zip(a.tolist(), b.tolist())
+             if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert links <= kept and len(links) < len(kept) < len(a) / 2
+
+
 def test_keep_one_keeps_rows_and_columns(docs, texts):
     kept = near_duplicates.keep_one(docs)
     assert kept.columns == docs.columns
