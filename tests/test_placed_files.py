@@ -140,6 +140,41 @@ def test_entries_at_any_cut(spark, tmp_path, chunk):
     assert sorted(k for x in got for k in json.loads(x)) == ['"q,{', "k\\"]
 
 
+@pytest.mark.parametrize("chunk_bytes, block_bytes", [(61, 7), (1_000, 100), (32_000_000, 1_000_000)])
+def test_long_entries_come_in_pieces(spark, tmp_path, scored, monkeypatch, chunk_bytes, block_bytes):
+    """No text of a long entry is more than a piece, whatever its strings hold, and together they are the whole document."""
+    monkeypatch.setattr(json_ranges, "PIECE_ROWS", 10)
+    monkeypatch.setattr(json_ranges, "BLOCK_BYTES", block_bytes)
+    rows, df = scored
+    path = str(tmp_path / "results.json")
+    results.write_document(df, path)
+    got = results.read_results(spark, path, one_document=True, chunk_bytes=chunk_bytes, long_bytes=100)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(rows, key=repr)
+    texts = [r.value for r in json_ranges.object_entries(spark, path, chunk_bytes, 100).collect()]
+    assert len(texts) >= 20 and max(len(a) for x in texts for d in json.loads(x).values() for a in d.values()) == 10
+
+
+@pytest.mark.parametrize("arrays, error", [
+    ('"study_id": ["a", "b", "c"], "y_true": [1, 0], "y_score": [1, 2, 3]', "unequal"), ('"study_id": ["a", "b"], "y_true": [1, 0]', "unequal"),
+    ('"study_id": ["a", "b"], "y_true": null, "y_score": [1, 2]', "unequal"), ('"study_id": ["a", "b",], "y_true": [1, 0], "y_score": [1, 2]', "MALFORMED"),
+    ('"study_id": ["a", "b"], "y_true": [1, 0] "y_score": [1, 2]', "MALFORMED"), ('"study_id": ["a", "b"], "y_true": [1, x], "y_score": [1, 2]', "MALFORMED")])
+def test_broken_long_entries_raise(spark, tmp_path, monkeypatch, arrays, error):
+    monkeypatch.setattr(json_ranges, "PIECE_ROWS", 2)
+    (tmp_path / "broken.json").write_text('{"f": {' + arrays + "}}")
+    with pytest.raises(Exception, match=error):
+        results.read_results(spark, str(tmp_path / "broken.json"), one_document=True, chunk_bytes=9, long_bytes=5).collect()
+
+
+def test_long_entries_of_other_forms(spark, tmp_path, monkeypatch):
+    """Fields in any order, objects beside them, and empty arrays."""
+    monkeypatch.setattr(json_ranges, "PIECE_ROWS", 2)
+    (tmp_path / "x.json").write_text('{"\\"f,": {"more": {"a": [1, 2], "b": {"c": 1}}, "y_score": [1,\n2, 3 ], "study_id": ["a", "]", "\\"c,"], "y_true": [1, 0, null]},'
+                                     ' "g": {"study_id": [ ], "y_true": [], "y_score": []}, "h": {"study_id": ["x"], "y_true": [1], "y_score": [0.5]}}')
+    for long_bytes in (5, 60, 1_000):
+        got = results.read_results(spark, str(tmp_path / "x.json"), one_document=True, chunk_bytes=13, long_bytes=long_bytes)
+        assert sorted(map(tuple, got.collect())) == [('"f,', '"c,', None, 3.0), ('"f,', "]", 0, 2.0), ('"f,', "a", 1, 1.0), ("h", "x", 1, 0.5)]
+
+
 def test_folder_of_documents(spark, tmp_path, scored):
     for name in ("a.json", "b.json", "_SUCCESS"):
         (tmp_path / name).write_text("" if name[0] == "_" else '{"f": ' + ENTRY + "}")
